@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import bpe, media, mixing, quality, secrets
 
 QUERIES = {
+    "op3_byte_bpe": bpe.op3_byte_bpe,
+    "op4_png_media": media.op4_png_media,
+    "op6_secret_scan": secrets.op6_secret_scan,
+    "op8_curriculum_mix": mixing.op8_curriculum_mix,
     "op10_quality_ledger": quality.op10_quality_ledger,
 }
 ORACLE_SQL = {
+    "op8_curriculum_mix": mixing.OP8_SQL,
     "op10_quality_ledger": quality.OP10_SQL,
 }
