@@ -8,14 +8,13 @@ through the next ones until one is found. Decoding concatenates the raw bytes of
 
 Cases: a null or empty text has no ids; a null doc_id is kept; repeated rows are encoded row by row; an empty table
 gives an empty result; other columns are ignored by the query and kept by ``with_tokens``. The strings of special
-tokens are ordinary text. An id out of range makes decoding fail with ``KeyError``.
+tokens are ordinary text. An id out of range makes decoding fail with ``IndexError``.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -31,7 +30,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Code points of a chunk, and of the overlap with the next one.
 CHUNK, OVERLAP = 1 << 15, 1 << 9
 #: Pieces that are kept with their ids in a worker, longer ones are not.
-CACHED, CACHED_CHARS = 1 << 17, 32
+CACHED, CACHED_CHARS = 1 << 18, 32
 
 
 class Codec:
@@ -40,7 +39,11 @@ class Codec:
     def __init__(self, path: str):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.raw = {i: b for b, i in ranks.items()}
+        self.raw = [b""] * (max(ranks.values()) + 1)
+        for b, i in ranks.items():
+            self.raw[i] = b
+        #: The ids as text, for digests.
+        self.names = list(map(str, range(len(self.raw))))
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.one = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, tuple[int, ...]] = {}
@@ -60,22 +63,24 @@ class Codec:
         """Where the pieces of text[start:end] begin, as if it were a text of its own, and ``end``."""
         return [start + m.start() for m in self.pattern.finditer(text[start:end])] + [end]
 
-    def pieces(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[str]:
+    def pieces(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
         if len(text) <= chunk + overlap:
-            yield from self.pattern.findall(text)
-            return
+            return self.pattern.findall(text)
         cuts = [self.boundaries(text, a, min(a + chunk + overlap, len(text))) for a in range(0, len(text), chunk)]
-        for a, b in stitch(self, text, cuts):
-            yield from self.pattern.findall(text[a:b])
+        return [p for a, b in stitch(self, text, cuts) for p in self.pattern.findall(text[a:b])]
 
     def encode(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
+        known, piece = self.known, self.piece
         out: list[int] = []
         for p in self.pieces(text, chunk, overlap):
-            out += self.piece(p)
+            out += known.get(p) or piece(p)
         return out
 
     def decode(self, ids) -> bytes:
-        return b"".join([self.raw[i] for i in ids])
+        return b"".join(map(self.raw.__getitem__, ids))
+
+    def listed(self, ids) -> bytes:
+        return ",".join(map(self.names.__getitem__, ids)).encode()
 
 
 @lru_cache(maxsize=2)
@@ -114,7 +119,7 @@ def _encode(batch: pa.RecordBatch, path: str) -> dict:
     for t in batch.column("text").to_pylist():
         ids = c.encode(t or "")
         n.append(len(ids))
-        ids_sha.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        ids_sha.append(hashlib.sha256(c.listed(ids)).hexdigest())
         raw_sha.append(hashlib.sha256(c.decode(ids)).hexdigest())
     return {"doc_id": batch.column("doc_id"), "n_tokens": n, "ids_sha256": ids_sha, "decoded_sha256": raw_sha}
 
@@ -178,7 +183,7 @@ def encode_documents(docs: DataFrame, path: str = VOCABULARY, chunk: int = CHUNK
         c, ids_sha, raw_sha, n = codec(path), hashlib.sha256(), hashlib.sha256(), 0
         for ids in t.sort_by("part")["ids"].to_pylist():
             if ids:
-                ids_sha.update((b"," if n else b"") + ",".join(map(str, ids)).encode())
+                ids_sha.update((b"," if n else b"") + c.listed(ids))
                 raw_sha.update(c.decode(ids))
                 n += len(ids)
         return pa.table([[t["key"][0].as_py()], [n], [ids_sha.hexdigest()], [raw_sha.hexdigest()]], names=["key", "n_tokens", "ids_sha256", "decoded_sha256"])
