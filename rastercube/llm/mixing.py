@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, n_words
+from .common import keyed, materialize, n_words
 
 WEIGHTS = (5, 2, 1)
 #: The ramp of each weight class: heavy sources early, light ones late.
@@ -93,16 +93,14 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     A document that the mix takes only in part (one a source at most) is a copy if half of it or more is taken.
     """
-    others = F.struct(*docs.columns)
-    # only (key, size) goes through the sums; the texts are joined afterwards, once
-    keyed = materialize(docs.select(F.expr("uuid()").alias("key"), others.alias("row")), "mixdocs")
-    m = mix(keyed.select("key", "row.doc_id", "row.text", "row.source"), "key")
-    copies = F.col("passes") + F.when(2 * F.col("part") >= F.col("size"), 1).otherwise(0)
+    rows = keyed(docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("row")), "text", "source", "row")
+    # only narrow rows go through the sums; the texts are joined afterwards, once
+    m = mix(rows.select("_key", "doc_id", "text", "source"), "_key")
+    copies = F.col("passes") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)
     m = m.withColumn("copies", copies.cast("int")).where("size > 0 and copies > 0")
-    m = m.select("key", "size", "source_size", "target", "start", "ramp", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
-    m = m.select("key", _position(F.col("copy"), F.col("size").cast("double")).alias("position"))
-    out = keyed.join(m, "key").select("row.*", F.coalesce("position", F.lit(1.0)).alias("__position"))
-    return out.sortWithinPartitions("__position").drop("__position")
+    m = m.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    m = m.select("_key", _position(F.col("copy"), F.col("size").cast("double")).alias("position"))
+    return rows.select("_key", "row").join(m, "_key").orderBy("position", "_key").select("row.*")
 
 
 def op8_curriculum_mix(spark, sf_dir: str) -> DataFrame:
