@@ -1,0 +1,83 @@
+"""Product and dataset documents of a catalog, from schemas and items."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions.scalar import is_uuid, uuid5
+from ..operators.bands import band_aliases
+from ..operators.grids import one_pixel
+from ..operators.infer import Collections, MDConfig
+
+#: Property names of items and what they are called in a dataset document.
+RENAME = {
+    "datetime": "datetime", "start_datetime": "dtr:start_datetime", "end_datetime": "dtr:end_datetime", "created": "odc:processing_datetime",
+    "platform": "eo:platform", "instruments": "eo:instrument", "gsd": "eo:gsd", "eo:cloud_cover": "eo:cloud_cover", "constellation": "eo:constellation", "odc:region_code": "odc:region_code",
+}
+
+
+def rename_properties(properties: Column | str, names: dict[str, str] = RENAME) -> Column:
+    """A map with keys renamed; other keys stay. Of two keys that become one the later wins."""
+    p = F.col(properties) if isinstance(properties, str) else properties
+    table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    return F.map_from_entries(F.map_values(F.map_from_entries(F.transform(F.map_entries(p), lambda e: F.struct(F.coalesce(F.element_at(table, e["key"]), e["key"]).alias("k"), F.struct(F.coalesce(F.element_at(table, e["key"]), e["key"]), e["value"]))))))
+
+
+def dataset_uuid(mode: str = "auto", id: str = "id", collection: str = "collection_id", extras: Column | None = None) -> Column:
+    """``native``: the id; ``random``: a new one; ``auto``: the id if it is a UUID, else version 5 of collection, id, and
+    ``extras`` (a map) as ``key=value`` lines in order of key."""
+    if mode == "native":
+        return F.col(id)
+    if mode == "random":
+        return F.uuid()
+    more = F.lit("")
+    if extras is not None:
+        more = F.array_join(F.transform(F.array_sort(F.map_entries(extras)), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("None")), F.lit("\n"))), "")
+    made = uuid5(F.concat(F.col(collection), F.lit("\n"), F.col(id), F.lit("\n"), more))
+    return made if mode == "v5" else F.when(is_uuid(id), F.lower(F.regexp_replace(id, "[{}]", ""))).otherwise(made)
+
+
+def products(found: Collections) -> DataFrame:
+    """(collection_id, product): a JSON document with a measurement for each band: its name (``asset``, or ``asset_n``
+    of an asset with several), type, nodata, unit, the band's number if it is not 1, and the aliases it is first for."""
+    many = F.count("*").over(W.partitionBy("collection_id", "asset"))
+    b = found.bands.withColumn("n", many).join(band_aliases(found.aliases, unique=True), ["collection_id", "asset", "idx"], "left")
+    name = F.when(F.col("n") == 1, F.col("asset")).otherwise(F.concat_ws("_", "asset", F.col("idx").cast("string")))
+    m = F.struct(name.alias("name"), F.col("data_type").alias("dtype"), F.coalesce("nodata", F.lit(float("nan"))).alias("nodata"), F.col("unit").alias("units"), F.when(F.col("idx") > 1, F.col("idx")).alias("band"), F.col("aliases"))
+    rows = b.groupBy("collection_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("band_pos", m.alias("m")))), lambda x: x["m"]).alias("measurements"))
+    doc = F.struct(F.col("collection_id").alias("name"), F.struct(F.struct(F.col("collection_id").alias("name")).alias("product")).alias("metadata"), "measurements")
+    return rows.select("collection_id", F.to_json(doc).alias("product"), "measurements")
+
+
+def datasets(found: Collections, config: MDConfig | dict | None = None) -> DataFrame:
+    """(item_seq, id, product, dataset): an item as a dataset document: identifier, grids by name, measurements with
+    their paths, properties renamed. An item without any grid gets one of a single pixel over its geometry, or fails."""
+    config = config if isinstance(config, MDConfig) else MDConfig(config or {})
+    mode = config.cfg.get("uuid", {}).get("mode", "auto") if isinstance(config.cfg.get("uuid"), dict) else "auto"
+    src = found.sources().join(found.grids, ["collection_id", "asset"], "left")
+    several = F.count("*").over(W.partitionBy("item_seq", "asset"))
+    src = src.withColumn("n", several)
+    name = F.when(F.col("n") == 1, F.col("asset")).otherwise(F.concat_ws("_", "asset", F.col("idx").cast("string")))
+    m = F.struct(name.alias("name"), F.struct(F.col("uri").alias("path"), F.when(F.col("idx") > 1, F.col("idx")).alias("band"), F.when(F.col("grid_name") != "default", F.col("grid_name")).alias("grid")).alias("m"))
+    shape = lambda g: F.struct(F.array(g["h"], g["w"]).alias("shape"), F.array(*[g[k] for k in "abcdef"], F.lit(0.0), F.lit(0.0), F.lit(1.0)).alias("transform"))
+    ms = src.groupBy("item_seq").agg(F.map_from_entries(F.collect_list(m)).alias("measurements"))
+    own = src.where("grid IS NOT NULL").groupBy("item_seq", F.coalesce("grid_name", F.lit("default")).alias("g")).agg(F.min_by("grid", "band_pos").alias("grid"))
+    own = own.groupBy("item_seq").agg(F.map_from_entries(F.collect_list(F.struct("g", shape(F.col("grid")).alias("s")))).alias("grids"), F.min(F.col("grid.crs")).alias("crs"))
+    xs, ys = F.transform("geometry", lambda p: p["x"]), F.transform("geometry", lambda p: p["y"])
+    box = F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
+    single = F.create_map(F.lit("default"), shape(one_pixel(box, F.lit("EPSG:4326"))))
+    none = F.raise_error(F.concat(F.lit("Neither grid nor footprint: item "), F.col("id")))
+    props = F.from_json(F.to_json("properties"), "map<string,string>")
+    x = found.items.join(ms, "item_seq", "left").join(own, "item_seq", "left")
+    doc = F.struct(
+        dataset_uuid(mode).alias("id"), F.struct(F.col("collection_id").alias("name")).alias("product"),
+        F.coalesce("crs", F.lit("EPSG:4326")).alias("crs"),
+        F.coalesce("grids", F.when(F.col("geometry").isNotNull(), single).otherwise(none.cast(_GRIDS))).alias("grids"),
+        "measurements", rename_properties(props).alias("properties"),
+    )
+    return x.select("item_seq", doc["id"].alias("id"), F.col("collection_id").alias("product"), F.to_json(doc).alias("dataset"))
+
+
+_GRIDS = "map<string,struct<shape:array<int>,transform:array<double>>>"
\ No newline at end of file
