@@ -37,9 +37,10 @@ from .common import per_batch
 KEY = b"surrogates of this corpus"
 ROUNDS = 10
 
+#: Letters that have one capital of their own; others (as a sharp s) stay.
 ALPHABETS = [
-    "aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåæèéêëìíîïòóôõöøœùúûüýÿ", "çñßðþšžćčđłńśźż",
-    "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь", "αεηιουωάέήίόύώ", "βγδζθκλμνξπρσςτφχψ",
+    "aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåæèéêëìíîïòóôõöøœùúûüýÿ", "çñðþšžćčđłńśźż",
+    "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь", "αεηιουωάέήίόύώ", "βγδζθκλμνξπρστφχψ",
 ]
 DIGITS = "0123456789"
 _CLASS = {c: (a, i) for a in [*ALPHABETS, DIGITS] for i, c in enumerate(a)}
@@ -68,7 +69,7 @@ PHONE = re.compile(r"(?<![\w.+])(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}([
 PLUS = re.compile(r"(?<![\w.])\+(\d{1,3})([ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4})(?!\w)")
 IP = re.compile(r"(?<![\w.])(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})(?!\w|\.\d)")
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
-NAME = re.compile(rf"\b(?=[{''.join(sorted({t[0] for t in _TITLE}))}])({'|'.join(sorted(map(re.escape, _TITLE), key=len, reverse=True))})(\.?\x20)([^\W\d_]+(?:[-’'][^\W\d_]+)*)(?:(\x20)([^\W\d_]+(?:[-’'][^\W\d_]+)*))?")
+NAME = re.compile(rf"\b(?=[{''.join(sorted({t[0] for t in _TITLE}))}])({'|'.join(sorted(map(re.escape, _TITLE), key=len, reverse=True))})(\.?\x20)([^\W\d_]+(?:[-’'](?!s\b)[^\W\d_]+)*)(?:(\x20)([^\W\d_]+(?:[-’'](?!s\b)[^\W\d_]+)*))?")
 
 
 class Surrogates:

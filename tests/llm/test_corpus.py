@@ -254,13 +254,16 @@ def test_mix(make):
 
 
 def test_schedule_is_kept(make):
-    """Half of a source's words come by the time at which its integrated schedule says so."""
-    df = make([(i, prose(20, i), "ab"[i % 2]) for i in range(600)])
+    """A source that is taken once at most has its words by time t as its integrated schedule says."""
+    df = make([(i, prose(20, i), "abc"[i % 3]) for i in range(900)])
     got = mixing.mix(df, "source").where("n_copies > 0").collect()
-    for source, ramp in (("a", 0.5), ("b", 0.0)):
-        by = sorted((r.first_position + r.last_position) / 2 for r in got if r.source == source)
-        early = sum(p < 0.5 for p in by) / len(by)
-        assert abs(early - (0.5 + ramp / 4)) < 0.12, (source, early)
+    for source, ramp in (("b", 0.0), ("c", -0.5)):
+        by = [r.first_position for r in got if r.source == source]
+        for t in (0.25, 0.5, 0.75):
+            assert abs(sum(p < t for p in by) / len(by) - (t + ramp * (t - t * t))) < 0.03, (source, t)
+    first = [r.first_position for r in got if r.source == "a"]
+    size = 300 / 562.5  # the first of nearly two passes is over when D(t) says so
+    assert abs(max(first) + 0.5 * (max(first) - max(first) ** 2) - size) < 0.03
 
 
 def test_mixed_documents(make):
