@@ -96,7 +96,8 @@ def shared_segments(docs: DataFrame, parse: Callable[[bytes], Parsed]) -> tuple[
     rows = rows.select("seed", F.shiftright("segment", ORDINAL).alias("digest"), "_key", F.col("segment").bitwiseAND(F.lit((1 << ORDINAL) - 1)).cast("int").alias("ord"))
     kinds = rows.groupBy("seed", "digest").agg(F.count("*").alias("n"), F.min(F.struct("_key", "ord")).alias("first"))
     kinds = materialize(kinds, "kinds")
-    mixed_seeds = kinds.groupBy("seed").count().where("count > 1").select("seed", F.lit(True).alias("mixed"))
+    # a table of its own: a sum below a join would keep Spark from splitting an anchor with very many segments
+    mixed_seeds = materialize(kinds.groupBy("seed").count().where("count > 1").select("seed", F.lit(True).alias("mixed")), "mixed")
     return rows, kinds.join(mixed_seeds, "seed", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False)))
 
 

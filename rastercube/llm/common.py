@@ -8,6 +8,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -40,8 +41,9 @@ def _remove(spark: SparkSession, path: str) -> None:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back, which cuts its lineage.
 
-    The table survives lost executors. It is removed at exit. The collector call afterwards lets Spark
-    drop the shuffle files of the stages that ended, so that their disk space is not held twice.
+    The table survives lost executors. It is removed at exit. Collecting garbage afterwards lets Spark drop the
+    shuffle files of the stages that ended, so that their disk space is not held twice; the second round frees what the
+    first one let go of.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -49,8 +51,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
     return out
 
 
