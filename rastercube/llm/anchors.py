@@ -90,13 +90,13 @@ def shared_segments(docs: DataFrame, parse: Callable[[bytes], Parsed]) -> tuple[
     different ones of them (seed, digest, n, the first by (_key, ord), and ``mixed``: its anchor has others too)."""
     cols = docs.select("_key", "text")
     seeds = per_batch(cols, _segments, "seed long", parse=parse, seeds_only=True)
-    twice = seeds.groupBy("seed").count().where("count > 1").select("seed")
+    # tables of their own: a sum below a join would keep Spark from splitting an anchor that very many documents have
+    twice = materialize(seeds.groupBy("seed").count().where("count > 1").select("seed"), "twice")
     rows = per_batch(cols, _segments, "seed long, segment long, _key long", parse=parse, seeds_only=False)
     rows = materialize(rows.join(twice, "seed"), "segments")
     rows = rows.select("seed", F.shiftright("segment", ORDINAL).alias("digest"), "_key", F.col("segment").bitwiseAND(F.lit((1 << ORDINAL) - 1)).cast("int").alias("ord"))
     kinds = rows.groupBy("seed", "digest").agg(F.count("*").alias("n"), F.min(F.struct("_key", "ord")).alias("first"))
     kinds = materialize(kinds, "kinds")
-    # a table of its own: a sum below a join would keep Spark from splitting an anchor with very many segments
     mixed_seeds = materialize(kinds.groupBy("seed").count().where("count > 1").select("seed", F.lit(True).alias("mixed")), "mixed")
     return rows, kinds.join(mixed_seeds, "seed", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False)))
 
