@@ -241,22 +241,24 @@ def load(
     if isinstance(items, Collections):
         found = items
     else:
-        texts = items if isinstance(items, DataFrame) else stac.items_from(spark, items)
-        if texts.isEmpty():
+        docs = items if isinstance(items, DataFrame) else list(items)
+        if docs.isEmpty() if isinstance(docs, DataFrame) else not docs:
             raise ValueError("Can't load empty sequence")
-        parsed = stac.parse_documents(texts)
-        found = collections_of(stac.items_table(parsed), stac.assets_table(parsed), MDConfig(stac_cfg or {}))
+        parsed = stac.parse_documents(docs if isinstance(docs, DataFrame) else stac.items_from(spark, docs))
+        found = collections_of(stac.items_table(parsed).persist(), stac.assets_table(parsed), MDConfig(stac_cfg or {})).settled()
     query = B.band_query(spark, bands)
     resolved = B.resolve_bands(query, found.bands, found.aliases, outer=True)
-    if query is not None:
+    named = resolved.collect()  # as many rows as bands are asked for
+    if any(r.asset is None for r in named):
         first_collection = found.items.agg(F.min_by("collection_id", "item_seq")).first()[0]
-        unknown = [r.query for r in resolved.where(F.col("collection_id") == first_collection).where("asset IS NULL").collect()]
-        if unknown:
+        if unknown := [r.query for r in named if r.asset is None and r.collection_id == first_collection]:
             raise ValueError(f"No such band: {', '.join(unknown)}")
-    metas = resolved.where("asset IS NOT NULL").groupBy("query").agg(F.min("pos").alias("pos"), F.min_by("data_type", "collection_id").alias("data_type"), F.min_by("nodata", "collection_id").alias("nodata"))
+    known = sorted((r for r in named if r.asset is not None), key=lambda r: (r.pos, r.collection_id))
+    metas = spark.createDataFrame([(q, *next((r.data_type, r.nodata) for r in known if r.query == q)) for q in dict.fromkeys(r.query for r in known)], "query string, data_type string, nodata double")
     config = {r.band: r.asDict() for r in B.load_config(metas, resampling=resampling, dtype=dtype, nodata=nodata, use_overviews=use_overviews, fail_on_error=fail_on_error).collect()}
+    resolved = spark.createDataFrame(known, resolved.schema)
     sources = found.sources(fail_on_error)
-    wanted = sources.join(resolved.where("asset IS NOT NULL").select("collection_id", F.col("query").alias("band"), "asset", "idx"), ["collection_id", "asset", "idx"])
+    wanted = sources.join(resolved.select("collection_id", F.col("query").alias("band"), "asset", "idx"), ["collection_id", "asset", "idx"]).persist()
     grid = output_grid(spark, found.items, wanted, crs=crs, resolution=resolution, anchor=anchor, align=align, geobox=geobox, like=like, geopolygon=geopolygon, bbox=bbox, lon=lon, lat=lat, x=x, y=y)
     if grid is None:
         raise ValueError("Failed to auto-guess CRS/resolution")
