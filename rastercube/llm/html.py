@@ -37,7 +37,7 @@ CLOSES_P = BLOCK - frozenset("head body html title td th tr tbody thead tfoot op
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 BARRIER = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
-TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?>[^>"']++|"[^"]*"|'[^']*')*+)(>|\Z)|/?[a-zA-Z].*\Z)""", re.S)
+TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?>[^>"']++|"[^"]*"|'[^']*')*+)(>|\Z)|/?(?:[a-zA-Z].*)?\Z)""", re.S)
 ATTR = re.compile(r"""(?:class|id|role|itemprop|itemtype)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 TAGS = {t: i for i, t in enumerate("p div article section main h1 h2 h3 li ul a span b td tr table nav aside footer header form head title blockquote pre body html".split(), 1)}

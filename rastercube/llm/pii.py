@@ -174,6 +174,11 @@ class Surrogates:
         return new
 
 
+def lower(text: str) -> str:
+    """Letter by letter, so that a letter's lower case does not depend on its neighbours (as a final sigma's does)."""
+    return "".join(map(str.lower, text))
+
+
 def luhn(digits: str) -> int:
     """The check digit of all but the last digit of a card number."""
     total = 0
@@ -265,7 +270,7 @@ def found_values(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     def f(batch: pa.RecordBatch) -> dict:
         s, out = Surrogates(key), []
         for t in batch.column("text").to_pylist():
-            out += [(k, v.lower(), x.lower()) for k, v, x in surrogate_text(s, t or "")[1]]
+            out += [(k, lower(v), lower(x)) for k, v, x in surrogate_text(s, t or "")[1]]
         return dict(zip(("kind", "value", "surrogate"), zip(*out, strict=True) if out else [[]] * 3, strict=True))
 
     return per_batch(docs.select("text"), f, "kind string, value string, surrogate string").distinct()
