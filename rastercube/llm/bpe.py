@@ -17,6 +17,7 @@ import base64
 import hashlib
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
@@ -194,13 +195,21 @@ def encode_documents(docs: DataFrame, path: str = VOCABULARY, chunk: int = CHUNK
 
 
 def _tokens(batch: pa.RecordBatch, path: str) -> dict:
-    c = codec(path)
-    return {n: batch.column(n) for n in batch.schema.names} | {"ids": [c.encode(t or "") for t in batch.column("text").to_pylist()]}
+    """Ids as one flat array, a text at a time, so that Python holds the list of one text only."""
+    c, flat, offsets, same = codec(path), [np.zeros(0, np.int32)], [0], []
+    for t in batch.column("text").to_pylist():
+        ids = c.encode(t or "")
+        same.append(c.decode(ids) == (t or "").encode())
+        flat.append(np.array(ids, np.int32))
+        offsets.append(offsets[-1] + len(ids))
+    ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(flat)))
+    return {n: batch.column(n) for n in batch.schema.names} | {"ids": ids, "round_trip": same}
 
 
 def with_tokens(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """``docs`` with a column ``ids``, row by row (a text's chunks in one task), no shuffle."""
-    return per_batch(docs, _tokens, f"{docs._jdf.schema().toDDL()}, ids array<int>", path=path)
+    """``docs`` with ``ids`` and ``round_trip`` (the ids decode to the text's bytes), row by row (a text's chunks in one
+    task), no shuffle."""
+    return per_batch(docs, _tokens, f"{docs._jdf.schema().toDDL()}, ids array<int>, round_trip boolean", most=1 << 21, path=path)
 
 
 def decoded(tokens: DataFrame, path: str = VOCABULARY) -> DataFrame:

@@ -77,20 +77,21 @@ def binaries(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def per_batch(df: DataFrame, f: Callable[..., dict[str, Iterable]], schema: str, **how) -> DataFrame:
-    """``mapInArrow`` whose function takes a record batch and returns columns by name."""
+def per_batch(df: DataFrame, f: Callable[..., dict[str, Iterable]], schema: str, *, most: int = 1 << 24, **how) -> DataFrame:
+    """``mapInArrow`` whose function takes a record batch, of at most ``most`` bytes or one row, and returns columns by
+    name."""
     arrow = _arrow_schema(df, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in _pieces(b):
+            for part in _pieces(b, most):
                 got = f(part, **how)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x := got[a.name], pa.Array) else pa.array(x, a.type) for a in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
 
-def _pieces(b: pa.RecordBatch, most: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+def _pieces(b: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of at most ``most`` bytes or one row, which bounds what Python holds at once."""
     if b.num_rows > 1 and b.nbytes > most:
         half = b.num_rows // 2
