@@ -133,8 +133,10 @@ def to_dtype(v: Column | str, dtype: str) -> Column:
         return col(v).cast(spark)
     x = F.when(F.isnan(col(v).cast("double")), F.lit(0.0)).otherwise(col(v).cast("double"))
     if hi >= 2**53:  # beyond what a double can hold exactly
-        x = col(v).cast("decimal(20,0)")
-        return F.greatest(F.least(x, F.lit(hi).cast("decimal(20,0)")), F.lit(lo).cast("decimal(20,0)")).cast(spark)
+        whole = lambda n: F.lit(str(n)).cast("decimal(20,0)")
+        d = F.when(F.isnan(col(v).cast("double")), F.lit(0)).otherwise(col(v)).try_cast("decimal(38,6)")
+        d = F.when(d >= 0, F.floor(d)).when(d < 0, F.ceil(d)).when(col(v) > 0, whole(hi)).otherwise(whole(lo))
+        return F.greatest(F.least(d, whole(hi)), whole(lo)).cast(spark)
     return F.greatest(F.least(x, F.lit(float(hi))), F.lit(float(lo))).cast(spark)
 
 

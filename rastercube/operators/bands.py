@@ -47,10 +47,9 @@ def resolve_bands(query: DataFrame | None, bands: DataFrame, aliases: DataFrame,
     whole = F.struct(F.col("query").alias("asset"), F.lit(1).alias("idx"))
     x = x.withColumn("key", F.when(F.col("has").isNotNull(), whole).otherwise(F.coalesce("first", band_of("query"))))
     x = x.select("collection_id", "pos", "query", "key.*").join(bands, ["collection_id", "asset", "idx"], "left")
-    if not outer:
-        bad = F.raise_error(F.concat(F.lit("No such band: "), F.col("query")))
-        x = x.withColumn("asset", F.when(F.col("band_pos").isNull(), bad.cast("string")).otherwise(F.col("asset")))
-    return x.select("collection_id", "pos", "query", F.when(F.col("band_pos").isNotNull(), F.col("asset")).alias("asset"), F.when(F.col("band_pos").isNotNull(), F.col("idx")).alias("idx"), "data_type", "nodata", "unit")
+    have = F.col("band_pos").isNotNull()
+    none = F.lit(None) if outer else F.raise_error(F.concat(F.lit("No such band: "), F.col("query")))
+    return x.select("collection_id", "pos", "query", F.when(have, F.col("asset")).otherwise(none.cast("string")).alias("asset"), F.when(have, F.col("idx")).alias("idx"), "data_type", "nodata", "unit")
 
 
 def item_bands(resolved: DataFrame, items: DataFrame, sources: DataFrame) -> DataFrame:

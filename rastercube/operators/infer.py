@@ -136,6 +136,12 @@ class Collections:
     aliases: DataFrame
     grids: DataFrame
 
+    def settled(self) -> Collections:
+        """The same with what belongs to collections (bands, aliases, grids: as many rows as collections have bands, not
+        items) fetched once, and what belongs to items kept for the plans to come."""
+        local = lambda df: df.sparkSession.createDataFrame(df.collect(), df.schema)
+        return Collections(self.items, self.assets, local(self.bands), local(self.aliases), local(self.grids))
+
     def sources(self, fail_on_error: bool = True) -> DataFrame:
         """(item_seq, collection_id, asset, idx, band_pos, uri, grid): a source for each band of the schema that an item
         has. Within an item the assets of one grid name share the grid of the first of them. Relative hrefs are
@@ -157,6 +163,6 @@ class Collections:
 def collections_of(items: DataFrame, assets: DataFrame, config: MDConfig | dict | None = None) -> Collections:
     """Schemas of all collections of ``items`` and ``assets``."""
     config = config if isinstance(config, MDConfig) else MDConfig(config or {})
-    raster = keep_raster(assets, items, config)
+    raster = keep_raster(assets, items, config).persist()
     first = first_assets(raster)
     return Collections(items, raster, bands_table(first, config), aliases_table(first, config), grids_table(first))

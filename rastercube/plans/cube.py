@@ -180,44 +180,43 @@ def output_grid(spark: SparkSession, items: DataFrame, sources: DataFrame, *, cr
     return grids.from_bbox(box, C.norm_crs(crs), resolution, anchor)
 
 
-def source_crs_list(sources: DataFrame) -> list[str]:
-    """The projections among sources' grids: as many as there are zones, not items."""
-    return sorted(r.crs for r in sources.where("grid IS NOT NULL").select(F.col("grid.crs").alias("crs")).distinct().collect())
-
-
-def footprints(items: DataFrame, sources: DataFrame, crs: str, to: Callable[[Column, Column, str], tuple[Column, Column]]) -> DataFrame:
-    """(item_seq, footprint): the finest grid's outline, else the item's geometry, moved by ``to`` (x, y, crs)."""
+def footprints(items: DataFrame, sources: DataFrame, target: Grid | str, *carry: str) -> DataFrame:
+    """(item_seq, *carry, footprint): the outline of an item's finest grid, else its geometry, as a ring of points, in
+    pixels of a grid or in a projection. Series of projections make huge expressions, so numpy does them, item by item."""
     finest = grids.finest_grids(sources)
-    n = 8
-    edge = [(k / n, 0.0) for k in range(n)] + [(1.0, k / n) for k in range(n)] + [(1 - k / n, 1.0) for k in range(n)] + [(0.0, 1 - k / n) for k in range(n)]
-    g = F.col("grid")
-
-    def outline(source: str) -> Column:
-        pts = []
-        for px, py in edge:
-            cx, cy = g["w"] * F.lit(px), g["h"] * F.lit(py)
-            x, y = to(g["a"] * cx + g["b"] * cy + g["c"], g["d"] * cx + g["e"] * cy + g["f"], source)
-            pts.append(F.struct(x.alias("x"), y.alias("y")))
-        return F.array(*pts)
+    rows = items.select("item_seq", *carry, "geometry").join(finest, "item_seq", "left")
+    schema = f"{rows.drop('geometry', 'grid')._jdf.schema().toDDL()}, footprint array<struct<x:double,y:double>>"
+    t = np.linspace(0, 1, 8, endpoint=False)
+    edge = np.concatenate([np.column_stack(p) for p in ((t, 0 * t), (0 * t + 1, t), (1 - t, 0 * t + 1), (0 * t, 1 - t))])
+    point = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+
+    def outline(row: dict):
+        g = Grid.of(row["grid"])
+        if g is not None:
+            (x, y), source = g.xy(edge[:, 0] * g.w, edge[:, 1] * g.h), g.crs
+        elif row["geometry"]:
+            ring = np.array([(p["x"], p["y"]) for p in row["geometry"]])
+            x, y = (np.concatenate([(ring[:-1, k, None] + (ring[1:, k] - ring[:-1, k])[:, None] * t).ravel()]) for k in (0, 1))
+            source = "EPSG:4326"
+        else:
+            return None
+        crs = target.crs if isinstance(target, Grid) else target
+        x, y = C.transform(x, y, source, crs)
+        if isinstance(target, Grid):
+            x, y = target.pixel(x, y)
+        return [{"x": a, "y": b} for a, b in zip(x.tolist(), y.tolist(), strict=True)]
 
-    def moved(p: Column) -> Column:
-        x, y = to(p["x"], p["y"], "EPSG:4326")
-        return F.struct(x.alias("x"), y.alias("y"))
+    def run(batches):
+        for b in batches:
+            cols = [b.column(n) for n in ("item_seq", *carry)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([outline(r) for r in b.select(["geometry", "grid"]).to_pylist()], point)], names=["item_seq", *carry, "footprint"])
 
-    geometry = F.transform(F.slice("geometry", 1, F.greatest(F.size("geometry") - 1, F.lit(0))), moved)
-    out = geometry
-    for s in source_crs_list(sources):
-        out = F.when(g["crs"] == s, outline(C.norm_crs(s))).otherwise(out)
-    return items.join(finest, "item_seq", "left").withColumn("footprint", out).drop("grid")
+    return rows.mapInArrow(run, schema)
 
 
 def items_bbox(items: DataFrame, sources: DataFrame, crs: str) -> DataFrame:
     """Union box of all footprints in a projection."""
-
-    def to(x, y, source):
-        return C.transform(x, y, source, crs)
-
-    f = footprints(items, sources, crs, to)
+    f = footprints(items, sources, crs)
     xs, ys = F.transform("footprint", lambda p: p["x"]), F.transform("footprint", lambda p: p["y"])
     return grids.union_bbox(f.where("footprint IS NOT NULL").select(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1")))
 
@@ -271,10 +270,7 @@ def load(
     tile = chunk_shape(grid, chunks, config)
     spine = binning.tile_spine(spark, grid, tile)
 
-    def to(px, py, source):
-        return binning.to_pixels(px, py, source, grid)
-
-    fp = footprints(grouped.select("item_seq", "t_idx", "prio", "geometry"), wanted, grid.crs, to)
+    fp = footprints(grouped, wanted, grid, "t_idx", "prio")
     binned = binning.bin_items(fp, grid, tile)
     bins = binned.select("t_idx", "ty", "tx", "prio", "item_seq")
     # only what a task needs goes on: no metadata of items, no assets that nobody asked for
