@@ -150,7 +150,7 @@ def test_payloads(tricky):
     images = media.text_images(tricky)
     back = media.read_images(images).collect()
     assert all(r.error is None and r.width == 576 for r in back) and len(back) == len(TRICKY)
-    broken = images.selectExpr("doc_id", "cast(substring(media, 1, 90) as binary) as media")
+    broken = images.selectExpr("doc_id", "substring(media, 1, length(media) - 13) as media")  # the last image data byte and IEND gone
     assert all(r.error for r in media.read_images(broken).collect())
     assert media.payloads(tricky.limit(0)).count() == 0
 
