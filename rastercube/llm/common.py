@@ -13,8 +13,10 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -77,6 +79,20 @@ def binaries(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+@F.arrow_udf(BinaryType())
+def packed(text: pa.Array) -> pa.Array:
+    """A text's bytes, compressed for themselves; null stays null."""
+    z = zstandard.ZstdCompressor(level=1)
+    return pa.array([None if t is None else z.compress(t) for t in binaries(text)], pa.binary())
+
+
+@F.arrow_udf(StringType())
+def unpacked(z: pa.Array) -> pa.Array:
+    """The texts that ``packed`` took."""
+    d = zstandard.ZstdDecompressor()
+    return pa.array([None if t is None else d.decompress(t) for t in z.to_pylist()], pa.binary()).cast(pa.string())
+
+
 def per_batch(df: DataFrame, f: Callable[..., dict[str, Iterable]], schema: str, *, most: int = 1 << 24, **how) -> DataFrame:
     """``mapInArrow`` whose function takes a record batch, of at most ``most`` bytes or one row, and returns columns by
     name."""

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import keyed, materialize, n_words
+from .common import keyed, materialize, n_words, packed, unpacked
 
 WEIGHTS = (5, 2, 1)
 #: The ramp of each weight class: heavy sources early, light ones late.
@@ -94,13 +94,16 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     A document that the mix takes only in part (one a source at most) is a copy if half of it or more is taken.
     """
     rows = keyed(docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("row")), "text", "source", "row")
-    # only narrow rows go through the sums; the texts are joined afterwards, once
+    # only narrow rows go through the sums; the texts are joined afterwards, and go through that and the sort compressed
     m = mix(rows.select("_key", "doc_id", "text", "source"), "_key")
     copies = F.col("passes") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)
     m = m.withColumn("copies", copies.cast("int")).where("size > 0 and copies > 0")
     m = m.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     m = m.select("_key", _position(F.col("copy"), F.col("size").cast("double")).alias("position"))
-    return rows.select("_key", "row").join(m, "_key").orderBy("position", "_key").select("row.*")
+    rest = F.struct(*[F.col("row")[c].alias(c) for c in docs.columns if c != "text"])
+    rows = rows.select("_key", rest.alias("rest"), packed("text").alias("z"))
+    out = rows.join(m, "_key").orderBy("position", "_key")
+    return out.select(*[unpacked("z").alias(c) if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns])
 
 
 def op8_curriculum_mix(spark, sf_dir: str) -> DataFrame:
