@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from rastercube.llm import anchors, bwt, mixing, rlz, simhash
+from rastercube.llm import anchors, bwt, mixing, rlz, similar, simhash
 
 from .conftest import TRICKY, prose
 
@@ -128,6 +128,49 @@ def test_one_of_each(make):
     assert sorted(r.doc_id for r in simhash.one_of_each(clean).collect()) == list(range(30))
 
 
+# --- near copies of the pipeline
+
+
+def brute_shingles(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def brute_similarity(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_one_of_similar(make, spark):
+    """One changed word in 100, a chain of such changes, a crowd of near copies, and pairs that are not near enough."""
+    from corpus_pipeline import near_dedup
+
+    r, docs = random.Random(3), list(TRICKY)
+    for i in range(8):
+        words = prose(100, 700 + i).split()
+        docs.append((200 + 10 * i, " ".join(words), "a"))
+        for j in range(1, 6):
+            words[r.randrange(100)] = f"edit{i}{j}"
+            docs.append((200 + 10 * i + j, " ".join(words), "a"))
+    crowd = prose(120, 900).split()
+    docs += [(400 + i, " ".join([*crowd[: 3 * i], f"w{i}", *crowd[3 * i + 1 :]]), "b") for i in range(40)]
+    half = prose(60, 950)
+    docs += [(500 + i, half + " " + prose(60, 960 + i), "c") for i in range(20)]
+    docs = make(docs)
+    kept = near_dedup(spark, docs, "")
+    assert kept.columns == docs.columns
+    old, new = [brute_shingles(x.text) for x in docs.collect()], [brute_shingles(x.text) for x in kept.collect()]
+    assert not [1 for i, a in enumerate(new) for b in new[:i] if brute_similarity(a, b) >= 0.8]
+    group = list(range(len(old)))
+    find = lambda i: i if group[i] == i else find(group[i])
+    for i, a in enumerate(old):
+        for j in range(i):
+            if brute_similarity(a, old[j]) >= 0.8:
+                group[find(i)] = find(j)
+    assert {find(old.index(x)) for x in new} == {find(i) for i in range(len(old))}  # no group is lost
+    assert {x.doc_id for x in kept.collect()} >= {500 + i for i in range(20)}
+    assert near_dedup(spark, docs.limit(0), "").count() == 0
+
+
 # --- repeated windows
 
 
