@@ -25,15 +25,19 @@ KINDS = ("assign", "access", "hex", "der_key", "ssh_key", "signed_token")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-#: What may be an encoded key: wrapped base64 counts as one run, as do both alphabets.
-ENCODED = re.compile(r"[A-Za-z0-9+/_-]{40,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
+#: A line break in a run, also indented or escaped (as in JSON).
+BREAK = r"(?:[ \t]*\r?\n[ \t]*|(?:\\r)?\\n)"
+#: What may be an encoded key, one alphabet at a time: wrapped base64 counts as one run.
+ENCODED = tuple(re.compile(rf"[A-Za-z0-9{a}]{{40,}}(?:{BREAK}[A-Za-z0-9{a}]+)*={{0,2}}") for a in ("+/", "_-"))
+#: The body of a PEM block may be short, and its lines too.
+PEM = re.compile(rf"-----BEGIN [A-Z0-9 ]+-----{BREAK}([A-Za-z0-9+/]+(?:{BREAK}[A-Za-z0-9+/]+)*={{0,2}})")
 HEXED = re.compile(r"(?:[0-9a-fA-F]{2}){32,}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 
 
 def b64(text: str) -> bytes | None:
     """A run in either base64 alphabet, wrapped or not, padded or not."""
-    s = re.sub(r"[\r\n=]", "", text).translate({45: 43, 95: 47})
+    s = re.sub(rf"{BREAK}|=", "", text).translate({45: 43, 95: 47})
     try:
         return base64.b64decode(s + "=" * (-len(s) % 4), validate=True)
     except (binascii.Error, ValueError):
@@ -105,6 +109,59 @@ def is_ssh_key(data: bytes | None) -> bool:
     return fields >= 2
 
 
+def _declared(data: bytes) -> int | None:
+    """How long the DER value at the start says it is, with its header."""
+    if len(data) < 2 or data[0] != 0x30:
+        return None
+    n, k = data[1], data[1] & 0x7F
+    if not n & 0x80:
+        return 2 + n
+    return 2 + k + int.from_bytes(data[2 : 2 + k], "big") if 1 <= k <= 4 else None
+
+
+def _key_kind(data: bytes | None) -> int | None:
+    return 3 if is_der_key(data) else 4 if is_ssh_key(data) else None
+
+
+def key_in(run: str) -> tuple[int, int] | None:
+    """(kind, length) of the key that a run of base64 starts with: the whole run, else as much of it as the DER's own
+    length takes, else as many whole lines as make a key (the most first)."""
+    if kind := _key_kind(b64(run)):
+        return kind, len(run)
+    letters = [m.span() for m in re.finditer(r"[A-Za-z0-9+/_-]+", re.sub(r"\\r(?=\\n)|\\n", lambda m: " " * len(m[0]), run))]
+    bare = "".join(run[a:b] for a, b in letters)
+    if n := _declared(b64(bare[:8]) or b""):
+        size = -(-n * 4 // 3)
+        if size <= len(bare) and is_der_key(b64(bare[:size])):
+            for a, b in letters:
+                if size <= b - a:
+                    end = a + size
+                    # the padding belongs to the key where it stands
+                    return 3, end + len(re.match("={0,2}", run[end:])[0])
+                size -= b - a
+    elif bare.startswith(("AAAA", "b3Bl")):
+        for _, b in reversed(letters[:-1]):
+            if is_ssh_key(b64(run[:b])):
+                return 4, b
+    return None
+
+
+def encoded_keys(text: str) -> list[tuple[int, int, int]]:
+    """Keys in base64: of each run, from its start and from the start of each of its lines."""
+    out: dict[tuple[int, int], int] = {}
+    for pattern in (*ENCODED, PEM):
+        for m in pattern.finditer(text):
+            at, end = m.span(1) if pattern is PEM else m.span()
+            starts = [at, *(at + x.end() for x in re.finditer(BREAK, text[at:end]))]
+            done = at
+            for a in starts:
+                # base64 of 0x30 0x00-0xFF, of a length below 2**24 (public keys), or of the magic
+                if a >= done and text.startswith(("M", "AAAA", "b3Bl"), a) and (got := key_in(text[a:end])):
+                    done = a + got[1]
+                    out[a, got[0]] = max(done, out.get((a, got[0]), 0))
+    return [(a, k, b) for (a, k), b in out.items()]
+
+
 def is_signed_token(header: str, payload: str) -> bool:
     try:
         h, p = (json.loads(b64(x) or b"") for x in (header, payload))
@@ -120,12 +177,7 @@ def scan(text: str | None) -> list[tuple[int, int, int]]:
     if "AKIA" in text:
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    for m in ENCODED.finditer(text):
-        data = b64(m[0])
-        if is_der_key(data):
-            out.append((m.start(), 3, m.end()))
-        elif is_ssh_key(data):
-            out.append((m.start(), 4, m.end()))
+    out += encoded_keys(text)
     for m in HEXED.finditer(text):
         if is_der_key(bytes.fromhex(m[0])):
             out.append((m.start(), 3, m.end()))

@@ -186,6 +186,23 @@ def test_structures_are_confirmed():
     assert not [s for s in secrets.scan(noise) if s[1] > 2]
 
 
+def test_unpadded_keys_before_text():
+    """Keys of 3n bytes have no padding, so what stands on the next line must not count as theirs."""
+    number = random.Random(8)
+    ed = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2b\x65\x70")) + der(4, der(4, number.randbytes(32))))
+    rsa = der(0x30, der(0x30, der(6, b"\x2a\x86\x48") + der(5, b"")) + der(3, b"\0" + number.randbytes(270)))
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    ssh = field(b"ssh-ed25519") + field(number.randbytes(32))
+    assert len(ed) % 3 == 0 and len(ssh) % 3 == 0
+    for kind, data in (("der_key", ed), ("der_key", rsa), ("ssh_key", ssh), *((k, d) for k, ds in keys().items() for d in ds)):
+        lines = base64.encodebytes(data).decode().strip()
+        one = base64.b64encode(data).decode()
+        for code in (lines, one, lines.replace("\n", "\n    "), lines.replace("\n", "\\n"), lines.replace("\n", "\r\n")):
+            for before, after in (("-----BEGIN PRIVATE KEY-----\n", "\n-----END PRIVATE KEY-----\n"), ("key:\n", "\nsecond line of prose"), ("-----BEGIN PRIVATE KEY-----\\n", "\\n-----END PRIVATE KEY-----\\n")):
+                text = before + code + after
+                assert (len(before), secrets.KINDS.index(kind), len(before) + len(code)) in secrets.scan(text), (kind, text[:70], text[-40:])
+
+
 def test_signed_tokens():
     part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
     good = f"{part({'alg': 'HS256', 'typ': 'JWT'})}.{part({'sub': 1})}.c2ln"
