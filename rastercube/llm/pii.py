@@ -10,7 +10,7 @@ keyed conjugate of a cyclic shift, ``f(f'(x) + 1)`` with a Feistel network f, so
 * card numbers: the check digit stays as valid or invalid as it was; grouping stays
 * IBANs: country and format stay, the check digits are computed anew if they were right
 * IPv4 addresses, social-security-like numbers (ddd-dd-dddd)
-* names after a title: a known given name becomes one of the same gender and script; any other name part changes its
+* names after titles, all their parts, and further mentions of a part in the same document: a known given name becomes one of the same gender and script; any other name part changes its
   letters inside vowels and consonants of its script. Outcomes of the second kind that collide with a known given name
   are moved on until they do not (the collision check of a permutation: cycle walking).
 
@@ -69,7 +69,14 @@ PHONE = re.compile(r"(?<![\w.+])(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}([
 PLUS = re.compile(r"(?<![\w.])\+(\d{1,3})([ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4})(?!\w)")
 IP = re.compile(r"(?<![\w.])(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})(?!\w|\.\d)")
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
-NAME = re.compile(rf"\b(?=[{''.join(sorted({t[0] for t in _TITLE}))}])({'|'.join(sorted(map(re.escape, _TITLE), key=len, reverse=True))})(\.?\x20)([^\W\d_]+(?:[-’'](?!s\b)[^\W\d_]+)*)(?:(\x20)([^\W\d_]+(?:[-’'](?!s\b)[^\W\d_]+)*))?")
+#: Without a country code: a trunk zero (030 1234567, 0171/2345678, 01 23 45 67 89, (020) 7946 0958), nine digits as in
+#: Spain, ten as in America with blanks or after a 1.
+NATIONAL = re.compile(r"(?<![\w.+/-])(?:\(?0\d{1,5}\)?(?:(?:[ .-]|\x20?[/-]\x20?)\d{2,8}){1,5}|\(0\d{1,5}\)\d{4,8}|0[1-9]\d{8,10}|[6-9]\d{2}(?:\x20\d{3}){2}|[6-9]\d{2}(?:\x20\d{2}){3}|\d{3}\x20\d{3}\x20\d{4}|1[ .-]\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w|[.-]\d)")
+DATE = re.compile(r"\d{1,2}([./ -])\d{1,2}\1\d{2,4}")
+_GAP = r"(?:[^\S\n]*\n[^\S\n]*|[^\S\n]+)"
+TITLED = re.compile(rf"\b(?=[{''.join(sorted({t[0] for t in _TITLE}))}])(?:(?:{'|'.join(sorted(map(re.escape, _TITLE), key=len, reverse=True))})(?:\.{_GAP}?|{_GAP}))+(?<![^\W\d_])")
+PART = re.compile(r"[^\W\d_]+(?:[-’'](?!s\b)[^\W\d_]+)*")
+PARTICLES = set("von vom van zu zur zum der den dem de del della di da do dos das du la las le les los y e af av ten ter te bin ibn al el фон де".split())
 
 
 class Surrogates:
@@ -161,8 +168,8 @@ class Surrogates:
     def ip(self, *parts: str) -> str:
         return ".".join(map(str, self.digits("ip", [int(x) for x in parts], [256] * 4)))
 
-    def name(self, text: str, gender: str) -> str:
-        """One part of a name. The gender counts only for a name that is not known."""
+    def name(self, text: str) -> str:
+        """One part of a name."""
         low = text.lower()
         if low in _GIVEN:
             kind, i = _GIVEN[low]
@@ -192,6 +199,35 @@ def iban_check(country: str, rest: str) -> str:
     return f"{98 - int(''.join(str(int(c, 36)) for c in rest + country + '00')) % 97:02d}"
 
 
+def name_parts(text: str, at: int) -> list[tuple[int, int]]:
+    """Where the parts of the name that starts at ``at`` are: any number of capitalised words and initials, with
+    particles (which stay) before them, in one line."""
+    out = []
+    while m := PART.match(text, at):
+        big = m[0][0].isupper() or (m[0][1:2] in "’'" and m[0][2:3].isupper())
+        if m[0] in _TITLE or not big and m[0] not in PARTICLES:
+            break
+        if big:
+            out.append(m.span())
+        at = m.end()
+        if big and len(m[0]) == 1 and text[at : at + 1] == ".":
+            at += 1
+        gap = re.compile(r"[^\S\n]+").match(text, at)
+        at = gap.end() if gap else at
+        if not gap and text[at - 1] != ".":
+            break
+    return out
+
+
+def _named(text: str, at: int, parts: list[tuple[int, int]]) -> tuple:
+    """(what stands before, part) of each part."""
+    out = []
+    for a, b in parts:
+        out.append((text[at:a], text[a:b]))
+        at = b
+    return tuple(out)
+
+
 def entities(text: str) -> Iterator[tuple[int, int, str, tuple]]:
     """(start, end, kind, groups) of what is found, left to right, without overlaps: the earlier, then the kind listed
     first, wins."""
@@ -205,10 +241,20 @@ def entities(text: str) -> Iterator[tuple[int, int, str, tuple]]:
         found += [(m.start(), 4, m.end(), "phone", (m[1], m[2])) for m in PLUS.finditer(text)]
         found += [(m.start(), 5, m.end(), "phone", ("", m[0])) for m in PHONE.finditer(text)]
         found += [(m.start(), 6, m.end(), "ssn", (m[0],)) for m in SSN.finditer(text)]
-    for m in NAME.finditer(text):
-        if m[3][0].isupper():
-            last = m.end() if m[5] and m[5][0].isupper() else m.end(3)
-            found.append((m.start(), 7, last, "name", (m[1], m[2], m[3], *((m[4], m[5]) if last == m.end() and m[5] else ("", "")))))
+        found += [(m.start(), 9, m.end(), "phone", ("", m[0])) for m in NATIONAL.finditer(text) if 8 <= sum(map(str.isdigit, m[0])) <= 13 and not DATE.fullmatch(m[0])]
+    named, parts = [], set()
+    for m in TITLED.finditer(text):
+        got = name_parts(text, m.end())
+        if got:
+            named.append((m.start(), 7, got[-1][1], "name", _named(text, m.start(), got)))
+            for x in (text[a:b].lower() for a, b in got):
+                parts |= {x, *re.split("[-’']", x)} if len(x) > 1 else set()
+    found += named
+    if parts:  # further mentions of these people
+        parts = {x for x in parts if len(x) > 1 and x not in PARTICLES}
+        for m in PART.finditer(text):
+            if m[0][0].isupper() and m[0].lower() in parts and m[0] not in _TITLE:
+                found.append((m.start(), 8, m.end(), "name", (("", m[0]),)))
     end = 0
     for a, _, b, kind, groups in sorted(found):
         if a >= end:
@@ -221,9 +267,7 @@ def replacement(s: Surrogates, kind: str, groups: tuple) -> str:
         code, rest = groups
         return (f"+{code}" if code else "") + s.in_digits("phone", rest)
     if kind == "name":
-        title, gap, first, space, last = groups
-        gender = _TITLE[title]
-        return title + gap + s.name(first, gender) + space + (s.name(last, gender) if last else "")
+        return "".join(before + s.name(part) for before, part in groups)
     if kind == "ssn":
         return s.in_digits("ssn", groups[0])
     return getattr(s, kind)(*groups)

@@ -58,6 +58,29 @@ def test_names():
     assert re.search(r"Госпожа [А-Яа-яё]+ [А-Яа-яё]+\. Mr " + last + "'s", new)
 
 
+def test_whole_names_and_mentions():
+    for text, parts in (
+        ("Herr Dr. Peter Müller kam", "Peter Müller"), ("Prof. Dr. Heike Braun kam", "Heike Braun"), ("Señora María García López vino", "María García López"),
+        ("Mr. John Paul Smith left", "John Paul Smith"), ("Herr von Braun kam", "Braun"), ("Mr  Smith left", "Smith"), ("Mr.\nSmith left", "Smith"), ("Dr. J. R. Miller left", "Miller"),
+    ):
+        new = replaced(text)
+        assert not [x for x in parts.split() if x in new], (text, new)
+        assert new.split()[0] == text.split()[0] and new.split()[-1] == text.split()[-1]
+        assert ("Dr." in text) == ("Dr." in new) and ("von" in text) == ("von" in new)
+    new = replaced("Mr John Smith came. Later Smith and Anna Smith left; Smith's smith stayed.")
+    last = re.match(r"Mr \w+ (\w+) came", new)[1]
+    assert new.split(" came. ")[1] == f"Later {last} and Anna {last} left; {last}'s smith stayed."
+
+
+def test_national_telephones():
+    for number in ("030 1234567", "0171/2345678", "01 23 45 67 89", "01.23.45.67.89", "020 7946 0958", "(030) 1234567", "912 345 678", "555 123 4567", "1-800-555-1234", "017612345678"):
+        new, done = pii.surrogate_text(S, f"call {number} now")
+        assert [k for k, _, _ in done] == ["phone"] and number not in new, number
+        assert re.sub(r"\d", "0", new) == re.sub(r"\d", "0", f"call {number} now")
+    for text in ("on 01.02.2024 and 01/02/2024 or 01-02-2024", "12 345 678 rows", "version 0.12.34"):
+        assert replaced(text) == text
+
+
 def test_coreference_over_formats():
     assert replaced("A.b@Example.com a.b@example.com").lower().split()[0] == replaced("a.b@example.com")
     strip = lambda x: re.sub(r"\D", "", x)
