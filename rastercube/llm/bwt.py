@@ -5,17 +5,18 @@ increasing order: breadth first, the intervals of all strings of one length are
 where a new interval ends, the common prefix is the length reached. It stops at the minimum length; boundaries that are
 still open then have a common prefix of that length or more, which is all that dedup asks.
 
-A corpus has no single transform. Its windows of 200 bytes are cut into segments by anchors (see ``anchors``), and
-equal windows have equal anchors, so different segments with one anchor meet in one block, a block has its transform
-and its expansion, and no repeated string is split over blocks. Segments that are equal as a whole are repeated without
-a look inside. An anchor with more than ``CROWD`` different segments is not put in one block: their windows are summed
-up by digest over the cluster, which is as exact and needs no group in one task.
+A corpus has no single transform: its transform is sharded. Its windows of 200 bytes are cut into segments by anchors
+(see ``anchors``), and equal windows have equal anchors, so different segments with one anchor meet in one block; a block
+has its transform and its expansion, and no repeated string is split over blocks. Segments that are equal as a whole, by
+a 128-bit digest, are repeated without a look inside. An anchor with very many different segments is cut finer, level by
+level, until its parts fit blocks, and these are expanded like any other.
 
 Every byte of a string of 200 bytes that also starts anywhere else, in the same document or another, goes; strings are
 judged on the input, not on what is left; matches never cross documents.
 
 Cases: a null, empty or short text loses nothing; a null doc_id and rows with one doc_id are rows of their own, so of
-equal rows all repeated bytes go; an empty table gives an empty result; other columns are ignored.
+equal rows all repeated bytes go; an empty table gives an empty result; other columns are ignored. A very long text is
+held by one task at a time, with about forty times its size; repeated stretches travel as ranges, not byte by byte.
 """
 
 from __future__ import annotations
@@ -24,21 +25,19 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import Parsed, covered, mixed, shared_segments, with_marks
+from .anchors import Parsed, covered, mixed, ranges, settle, shared_segments, with_marks
 from .common import keyed, materialize, per_batch
 
 WINDOW, GRAM = 200, 32
-#: Different segments of one anchor that may share a block, and bytes of segments a block is meant to have.
-CROWD, BLOCK = 1024, 1 << 20
+#: Different segments of one anchor that may share a block before it is cut finer, and bytes a block is meant to have.
+CROWD, BLOCK = 256, 1 << 20
 _B = 0x9E3779B97F4A7C15
 _INVERSE = pow(_B, -1, 1 << 64)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-FULL, CHECK, KNOWN = 0, 1, 2
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +75,7 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
         key = key << 9 | padded[j : j + n]
     have = 7
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.concatenate([[0], np.diff(key[order]) != 0])
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new)
@@ -134,10 +133,13 @@ def repeated_windows(segments: list[bytes], known: list[bool]) -> list[np.ndarra
     return np.split(place[hit][by], np.cumsum(np.bincount(owner[hit], minlength=len(segments)))[:-1])
 
 
-def _block(t: pa.Table) -> pa.Table:
-    found = repeated_windows(t["bytes"].to_pylist(), t["known"].to_pylist())
-    keep = [(k, f + x) for k, f, known, xs in zip(t["_key"].to_pylist(), t["first"].to_pylist(), t["known"].to_pylist(), found, strict=True) if not known for x in xs.tolist()]
-    return pa.table([[k for k, _ in keep], [w for _, w in keep]], schema=pa.schema([("_key", pa.int64()), ("w", pa.int32())]))
+def _solve(t: pa.Table) -> pa.Table:
+    known, firsts = t["known"].to_pylist(), t["first"].to_pylist()
+    keys = np.array(t["_key"].to_pylist(), np.int64)
+    found = [np.zeros(0, np.int64) if k else x + f for x, f, k in zip(repeated_windows(t["bytes"].to_pylist(), known), firsts, known, strict=True)]
+    key, at = np.repeat(keys, list(map(len, found))), np.concatenate([np.zeros(0, np.int64), *found])
+    by = np.lexsort((at, key))
+    return ranges(key[by], at[by])
 
 
 # --- the corpus
@@ -150,70 +152,55 @@ def _result(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int
     return len(text), int(gone.sum()), spans, hashlib.sha256(raw[~gone].tobytes()).hexdigest()
 
 
+_NONE = np.zeros(0, np.int64)
 _NAMES = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
-_FIRST = "_key long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, z binary, starts array<int>, ends array<int>, seeds array<long>, firsts array<int>, knowns array<boolean>, segments array<binary>"
+_OPEN = ("z", "starts", "ends", "seeds", "firsts", "segments")
+_FIRST = "_key long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, z binary, starts array<int>, ends array<int>, seeds array<struct<seed:long,kin:long,known:boolean>>, firsts array<int>, segments array<binary>"
 
 
 def _first(batch: pa.RecordBatch) -> dict:
     """Whole segments that are repeated go; documents with segments to look into carry these and stay open."""
     unzip, out = zstandard.ZstdDecompressor(), []
-    none = np.zeros(0, np.int64)
     for z, marks in zip(batch.column("z").to_pylist(), batch.column("marks").to_pylist(), strict=True):
         text = unzip.decompress(z)
-        p, m = (parse(text), np.array(marks, np.int64)) if marks else (None, none)
-        full, look = m[m % 4 == FULL] // 4, m[m % 4 != FULL]
-        starts, ends = (p.first[full], p.last[full] + WINDOW) if p else (none, none)
-        if not len(look):
-            out.append((*_result(text, starts, ends), None, None, None, None, None, None, None))
+        if not marks:
+            out.append((*_result(text, _NONE, _NONE), *[None] * 6))
             continue
-        at = look // 4
+        p, ord_, kin, n = parse(text), *np.array([(m["ord"], m["kin"], m["n"]) for m in marks], np.int64).T
+        full, look = ord_[n > 1], kin > 1
+        starts, ends = p.first[full], p.last[full] + WINDOW
+        known = n[look] > 1
+        at = ord_[look]
+        seeds = [{"seed": s, "kin": k, "known": x} for s, k, x in zip(p.seed[at].tolist(), kin[look].tolist(), known.tolist(), strict=True)]
         parts = [bytes(p.slice(a, b + WINDOW)) for a, b in zip(p.first[at].tolist(), p.last[at].tolist(), strict=True)]
-        known = look % 4 == KNOWN
-        done = (0, 0, 0, "") if not known.all() else _result(text, starts, ends)
-        out.append((*done, None if known.all() else z, starts, ends, p.seed[at], p.first[at], known, parts))
-    names = (*_NAMES, "z", "starts", "ends", "seeds", "firsts", "knowns", "segments")
-    return {"_key": batch.column("_key"), "doc_id": batch.column("doc_id")} | dict(zip(names, zip(*out, strict=True) if out else [[]] * 11, strict=True))
+        open_ = len(at) and not known.all()  # else all that is looked into is repeated already
+        out.append((*((0, 0, 0, "") if open_ else _result(text, starts, ends)), z if open_ else None, starts, ends, seeds, p.first[at], parts))
+    return {"_key": batch.column("_key"), "doc_id": batch.column("doc_id")} | dict(zip((*_NAMES, *_OPEN), zip(*out, strict=True) if out else [[]] * 10, strict=True))
 
 
 def _second(batch: pa.RecordBatch) -> dict:
     unzip, out = zstandard.ZstdDecompressor(), []
     for z, starts, ends, more in zip(*(batch.column(c).to_pylist() for c in ("z", "starts", "ends", "more")), strict=True):
-        more = np.array(more or [], np.int64)
-        out.append(_result(unzip.decompress(z), np.concatenate([np.array(starts, np.int64), more]), np.concatenate([np.array(ends, np.int64), more + WINDOW])))
+        a, b = np.array([(r["a"], r["b"]) for r in more or ()], np.int64).reshape(-1, 2).T
+        out.append(_result(unzip.decompress(z), np.concatenate([np.array(starts, np.int64), a]), np.concatenate([np.array(ends, np.int64), b + WINDOW])))
     return {"doc_id": batch.column("doc_id")} | dict(zip(_NAMES, zip(*out, strict=True) if out else [[]] * 4, strict=True))
 
 
-def _windows(batch: pa.RecordBatch) -> dict:
-    key, w, known, d = [], [], [], []
-    for k, first, kn, s in zip(*(batch.column(c).to_pylist() for c in ("_key", "first", "known", "bytes")), strict=True):
-        for x in range(len(s) - WINDOW + 1):
-            key.append(k)
-            w.append(first + x)
-            known.append(kn)
-            d.append(xxhash.xxh3_128_digest(s[x : x + WINDOW]))
-    d = np.frombuffer(b"".join(d), ">i8").astype(np.int64)
-    return {"_key": key, "w": w, "known": known, "h": d[::2], "g": d[1::2]}
-
-
 def remove_repeats(docs: DataFrame, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the digest of the kept bytes of every row of ``docs``."""
     docs = keyed(docs, "text")
-    rows, kinds = shared_segments(docs, parse)
-    mark = lambda kind: (F.col("ord").cast("long") * 4 + kind).alias("mark")
-    full = rows.join(kinds.where("n > 1").select("seed", "digest"), ["seed", "digest"]).select("_key", mark(FULL))
-    look = kinds.where("mixed").select("first.*", F.when(F.col("n") > 1, KNOWN).otherwise(CHECK).alias("kind")).select("_key", mark(F.col("kind")))
-    first = materialize(per_batch(with_marks(docs, full.unionByName(look)), _first, _FIRST), "segmented")
-    parts = first.where("seeds is not null").select("_key", F.explode(F.arrays_zip("seeds", "firsts", "knowns", "segments")).alias("x"))
-    parts = parts.select("_key", F.col("x.seeds").alias("seed"), F.col("x.firsts").alias("first"), F.col("x.knowns").alias("known"), F.col("x.segments").alias("bytes"))
-    held = parts.groupBy("seed").agg(F.count("*").alias("n"), F.sum(F.length("bytes")).alias("b"))
-    total = held.agg(F.sum("b")).first()[0] or 0
-    many = held.where(F.col("n") > crowd).select("seed")
-    few = held.where(F.col("n") <= crowd).select("seed", F.pmod("seed", F.lit(total // block + 1)).alias("block"))
-    near = parts.join(few, "seed").groupBy("block").applyInArrow(_block, "_key long, w int")
-    windows = per_batch(parts.join(many, "seed"), _windows, "_key long, w int, known boolean, h long, g long")
-    often = windows.groupBy("h", "g").agg(F.sum(F.when(F.col("known"), 2).otherwise(1)).alias("n")).where("n > 1").select("h", "g")
-    far = windows.where("not known").join(often, ["h", "g"]).select("_key", "w")
-    more = near.unionByName(far).groupBy("_key").agg(F.collect_set("w").alias("more"))
+    rows, kinds, tables = shared_segments(docs, parse)
+    # of a segment that occurs twice or more all are repeated; its first one stands for it among those of its anchor
+    few = kinds.where("n > 1").select("seed", "h", "g", "n", "kin", "first")
+    mark = lambda kin, n: F.struct("ord", kin.cast("long").alias("kin"), n.cast("long").alias("n")).alias("mark")
+    stands = F.when(F.struct("_key", "ord") == F.col("first"), F.col("kin")).otherwise(1)
+    full = rows.join(few, ["seed", "h", "g"]).select("_key", mark(stands, F.col("n")))
+    single = kinds.where("n = 1 AND kin > 1").select("first.*", "kin").select("_key", mark(F.col("kin"), F.lit(1)))
+    first = materialize(per_batch(with_marks(docs, full.unionByName(single)), _first, _FIRST), "segmented", done=tables)
+    x = first.where("size(seeds) > 0").select("_key", F.explode(F.arrays_zip("seeds", "firsts", "segments")).alias("x"))
+    parts = x.select("x.seeds.seed", "x.seeds.kin", "_key", F.col("x.firsts").alias("first"), "x.seeds.known", F.col("x.segments").alias("bytes"))
+    more = settle(parts, parse, _solve, earliest=False, crowd=crowd, block=block)
+    more = more.groupBy("_key").agg(F.collect_list(F.struct("a", "b")).alias("more"))
     rest = first.where("z is not null").select("_key", "doc_id", "z", "starts", "ends").join(more, "_key", "left")
     done = first.where("z is null").select("doc_id", *_NAMES)
     return done.unionByName(per_batch(rest, _second, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))

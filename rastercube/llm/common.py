@@ -8,8 +8,8 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
-import time
 import uuid
+import weakref
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -23,10 +23,13 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local session (tests)
+    gets a folder of its own; a cluster, whose executors would not see that folder, gets an error."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not (sc.master or "").startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="shared"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
@@ -40,23 +43,34 @@ def _remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Where the tables are that ``materialize`` made, by the id of the DataFrame that reads them.
+_tables: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables that ``materialize`` made and that nothing will read again."""
+    for t in tables:
+        if path := _tables.pop(t, None):
+            _remove(t.sparkSession, path)
+
+
+def materialize(df: DataFrame, name: str, done: Iterable[DataFrame] = ()) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back, which cuts its lineage.
 
-    The table survives lost executors. It is removed at exit. Collecting garbage afterwards lets Spark drop the
-    shuffle files of the stages that ended, so that their disk space is not held twice; the second round frees what the
-    first one let go of.
+    The table survives lost executors. The tables ``done``, which only this one needed, are removed once it is written;
+    what is left, also of a job that fails, is removed at exit. Spark drops the shuffle files of stages that ended when
+    their plans are collected as garbage, so that is asked for here: else their disk space is held twice.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    _tables[out] = path
+    drop(*done)
     del df
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return out
 
 

@@ -189,9 +189,10 @@ def brute_words(docs, length=20):
     return sorted(out, key=repr)
 
 
-def test_lempel_ziv(make):
+@pytest.mark.parametrize("crowd", [256, 3, 1])
+def test_lempel_ziv(make, crowd):
     docs = corpus()
-    assert rows(rlz.remove_repeats(make(docs))) == brute_words(docs)
+    assert rows(rlz.remove_repeats(make(docs), crowd=crowd, block=2000)) == brute_words(docs)
     unique = [r for r in docs if r[0] not in (None, 6, 7)]
     got = rows(rlz.remove_repeats(make(unique)))
     assert got == brute_words(unique) and sum(r[2] for r in got) > 500
@@ -206,6 +207,41 @@ def test_lempel_ziv_straddling(make):
     assert rows(rlz.remove_repeats(make(docs))) == brute_words(docs)
 
 
+def test_one_line_in_many_documents(make):
+    """A line that all documents share in surroundings of their own: one anchor with many different segments, which are
+    cut finer; whatever is unique stays."""
+    line = prose(26, 80)
+    docs = [(i, f"{prose(12, 2000 + i)} {line} {prose(12, 3000 + i)}", None) for i in range(60)]
+    docs += [(100 + i, f"{prose(3, 4000 + i % 7)} {line} {prose(3, 5000 + i % 3)}", None) for i in range(30)]
+    for crowd in (256, 4):
+        assert rows(rlz.remove_repeats(make(docs), crowd=crowd, block=3000)) == brute_words(docs)
+        assert rows(bwt.remove_repeats(make(docs), crowd=crowd, block=3000)) == brute_bytes(docs)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abc"), min_size=1, max_size=60), min_size=1, max_size=8), st.integers(0, 9))
+def test_parse_of_a_block(stretches, copies):
+    """Greedy factors and the checks at their ends find all windows that start earlier in the block."""
+    stretches = [x + y for x, y in zip(stretches, [*stretches[1:], ["d"] * 25], strict=True)] + stretches[:copies]
+    seen, want = set(), []
+    for s in stretches:
+        mine = []
+        for i in range(len(s) - 19):
+            k = tuple(s[i : i + 20])
+            mine += [i] if k in seen else []
+            seen.add(k)
+        want.append(mine)
+    assert rlz.repeated_windows([" ".join(s).encode() for s in stretches]) == want
+
+
+def test_digests_tell_segments_apart():
+    """Anchors with very many segments need wide digests: 128 bits, nothing taken off for a segment's number."""
+    p = rlz.parse(prose(400, 90).encode())
+    d = p.digests()
+    assert d.shape == (len(p.first), 2) and d.dtype == np.int64
+    assert [tuple(x) for x in d.tolist()] == [tuple(int.from_bytes(h[i : i + 8], "big", signed=True) for i in (0, 8)) for h in (xxhash.xxh3_128_digest(p.slice(a, b + 20)) for a, b in zip(p.first, p.last, strict=True))]
+
+
 def brute_bytes(docs, length=200):
     raw = [(t or "").encode() for _, t, *_ in docs]
     count = Counter(x[i : i + length] for x in raw for i in range(len(x) - length + 1))
@@ -220,7 +256,7 @@ def brute_bytes(docs, length=200):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("crowd", [1024, 1])
+@pytest.mark.parametrize("crowd", [256, 1])
 def test_bwt(make, crowd):
     docs = corpus() + [(300, "ab" * 300, "a"), (301, "ab" * 150 + "c" * 250, "a"), (302, "c" * 199, "a")]
     got = rows(bwt.remove_repeats(make(docs), crowd=crowd, block=5000))
