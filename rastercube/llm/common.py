@@ -88,6 +88,12 @@ def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     return materialize(own.orderBy(*order).select(F.monotonically_increasing_id().alias("_key"), "doc_id", *columns), "keyed")
 
 
+def merged(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join by sorting both sides, at every size: both grow with the input, so neither is a side to broadcast, and a
+    plan that changed with the size could not be judged by smaller runs."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def binaries(column: pa.Array) -> list[bytes | None]:
     """A string column as UTF-8 bytes, without decoding it."""
     return column.cast(pa.binary()).to_pylist()

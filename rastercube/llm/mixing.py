@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import keyed, materialize, n_words, packed, unpacked
+from .common import keyed, materialize, merged, n_words, packed, unpacked
 
 WEIGHTS = (5, 2, 1)
 #: The ramp of each weight class: heavy sources early, light ones late.
@@ -102,7 +102,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     m = m.select("_key", _position(F.col("copy"), F.col("size").cast("double")).alias("position"))
     rest = F.struct(*[F.col("row")[c].alias(c) for c in docs.columns if c != "text"])
     rows = rows.select("_key", rest.alias("rest"), packed("text").alias("z"))
-    out = rows.join(m, "_key").orderBy("position", "_key")
+    out = merged(rows, m, "_key").orderBy("position", "_key")
     return out.select(*[unpacked("z").alias(c) if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns])
 
 
