@@ -1,9 +1,9 @@
 """Main text of web pages by gradient-boosted trees over DOM nodes with hierarchical decoding.
 
-Each page is parsed into a tree. A node's features are its tag, tokens of its class and id, depth, the text, link and
-tag density of its subtree, statistics of its siblings, and what its ancestors are. Boosted trees (trained here, on
-``TRAIN_PAGES`` generated pages whose nodes are labelled) give the chance that a node belongs to the main text. The
-decoder then picks the best labelling of the whole tree: a node is above the main text, in it, or out of it; below a
+Each page is parsed into a tree, in time linear in its length however deep it is. A node's features are its tag, tokens
+of its class and id, what its heading says, depth, the text, link and tag density of its subtree, statistics of its
+siblings and children, and what its ancestors are. Boosted trees (trained here, on ``TRAIN_PAGES`` generated pages whose
+nodes are labelled) give the chance that a node belongs to the main text. The decoder then picks the best labelling of the whole tree: a node is above the main text, in it, or out of it; below a
 node that is out everything is out, so no descendant contradicts an ancestor.
 
 Blocks are separated by block-level tags; white space inside a block becomes one space; character references are
@@ -19,6 +19,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -28,19 +29,25 @@ from pyspark.sql import DataFrame
 from .common import per_batch
 
 #: The bound of the training sample: generated pages, none of the input.
-TRAIN_PAGES, TREES, DEPTH, RATE, BINS = 400, 60, 4, 0.2, 32
+TRAIN_PAGES, TREES, DEPTH, RATE, BINS, LEAF = 800, 50, 5, 0.25, 32, 4
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea noscript template iframe svg select".split())
+#: Elements whose content is no markup, up to their end tag; and elements with markup in them that is no text of the page.
+RAW = frozenset("script style textarea iframe".split())
+MUTE = frozenset("svg select template noscript".split())
 BLOCK = frozenset("html head body title address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul option".split())
 CLOSES_P = BLOCK - frozenset("head body html title td th tr tbody thead tfoot option".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 BARRIER = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
 TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?>[^>"']++|"[^"]*"|'[^']*')*+)(>|\Z)|/?(?:[a-zA-Z].*)?\Z)""", re.S)
+MARK = re.compile(r"data-y=([01])")
 ATTR = re.compile(r"""(?:class|id|role|itemprop|itemtype)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
-TAGS = {t: i for i, t in enumerate("p div article section main h1 h2 h3 li ul a span b td tr table nav aside footer header form head title blockquote pre body html".split(), 1)}
+TAGS = {t: i for i, t in enumerate("p div article section main h1 h2 h3 h4 h5 h6 li ul ol a span b strong em td th tr table tbody thead caption dl dt dd figure figcaption nav aside footer header form button label head title blockquote pre code details summary time cite body html".split(), 1)}
+#: Groups of tags that are a feature each: a tag's number has no order that a cut could use.
+KINDS = ("article main", "h1 h2", "h3 h4 h5 h6", "p", "section", "div", "b strong em span code", "table tbody thead tr td th caption", "ul ol li dl dt dd", "figure figcaption blockquote pre", "nav footer header form aside button label")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 legend".split())
 #: What tokens of attributes say: groups that bear on a node for and against being main text.
 TOKENS = {
     "content": "content article post entry story main text body prose articlebody page hentry blog",
@@ -52,6 +59,13 @@ TOKENS = {
     "head": "header head masthead top logo site branding",
     "notice": "cookie cookies consent notice alert gdpr popup modal overlay newsletter subscribe signup login share social form search",
 }
+#: What headings say of what they stand over.
+SAYS = {
+    "comment": "comment comments reply replies responses discussion kommentar kommentare commentaire commentaires comentario comentarios réactions respuestas",
+    "side": "related recommended similar popular trending more also latest mehr ähnliche auch aussi articles más también recientes",
+    "notice": "advertisement anzeige publicité publicidad sponsored cookies newsletter subscribe share privacy login search",
+}
+_SAY = {t: k for k, ts in enumerate(SAYS.values()) for t in ts.split()}
 _TOKEN = {t: k for k, ts in enumerate(TOKENS.values()) for t in ts.split()}
 _OUT = {t: i for i, t in enumerate(("nav", "aside", "footer", "header", "form", "a", "head"))}
 _IN = {"article": 0, "main": 1}
@@ -60,14 +74,16 @@ _IN = {"article": 0, "main": 1}
 class Page:
     """The nodes of a page in page order; the subtree of node i is i up to end[i]."""
 
-    __slots__ = ("tag", "parent", "end", "own", "tokens", "events")
+    __slots__ = ("tag", "parent", "end", "own", "tokens", "says", "marks", "events", "_open")
 
-    def __init__(self, text: str):
-        self.tag, self.parent, self.end, self.own, self.tokens = ["#"], [-1], [0], [0], [0]
+    def __init__(self, text: str, marked: bool = False):
+        self.tag, self.parent, self.end, self.own, self.tokens, self.says, self.marks = ["#"], [-1], [0], [0], [0], [0], [0]
         #: (node, text) in page order; text None is a block boundary.
         self.events: list[tuple[int, str | None]] = []
+        #: How many elements of each name are open, so that nothing is looked for in the stack that is not there.
+        self._open: Counter[str] = Counter()
         stack, at, find = [0], 0, TAG.search
-        tag, events = self.tag, self.events
+        tag, events, is_open = self.tag, self.events, self._open
         while m := find(text, at):
             if m.start() > at:
                 self._text(stack[-1], text[at : m.start()])
@@ -77,7 +93,7 @@ class Page:
                 continue  # a comment, a declaration, or a tag that is cut off
             name = name.lower()
             if m[1]:
-                if any(tag[i] == name for i in stack[1:]):
+                if is_open[name]:
                     while tag[stack[-1]] != name:
                         self._close(stack)
                     self._close(stack)
@@ -90,7 +106,7 @@ class Page:
                 self._end_open(stack, CLOSES[name], BARRIER[name])
             node = len(tag)
             if name in BLOCK:
-                events.append((node, None))
+                events.append((stack[-1] if name in VOID else node, None))
             elif name == "br":
                 self._text(stack[-1], " ")
             if name in VOID:
@@ -99,10 +115,13 @@ class Page:
                 close = re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(text, at)
                 at = close.end() if close else len(text)
                 continue
+            if name in MUTE and m[3].endswith("/"):
+                continue
             tag.append(name)
             self.parent.append(stack[-1])
             self.end.append(0)
             self.own.append(0)
+            self.says.append(0)
             bits = 0
             if m[3] and not m[3].isspace():
                 for a in ATTR.findall(m[3]):
@@ -110,25 +129,38 @@ class Page:
                         if t in _TOKEN:
                             bits |= 1 << _TOKEN[t]
             self.tokens.append(bits)
-            if not m[3].endswith("/") or name not in ("svg", "path"):
-                stack.append(node)
-            else:
-                self.end[node] = node + 1
+            mark = self.marks[stack[-1]]
+            if marked and (got := MARK.search(m[3])):
+                mark = int(got[1])
+            self.marks.append(mark)
+            is_open[name] += 1
+            stack.append(node)
         if at < len(text):
             self._text(stack[-1], text[at:])
         while stack:
             self._close(stack)
 
     def _text(self, node: int, text: str) -> None:
+        if any(self._open[name] for name in MUTE):
+            return
         self.events.append((node, text))
         self.own[node] += len(text.strip())
+        if self.tag[node] in HEADINGS:
+            for t in re.split(r"[\W\d_]+", text.lower()):
+                if t in _SAY:
+                    self.says[node] |= 1 << _SAY[t]
 
     def _close(self, stack: list[int]) -> None:
-        self.end[stack.pop()] = len(self.tag)
+        node = stack.pop()
+        self.end[node] = len(self.tag)
+        self._open[self.tag[node]] -= 1
 
     def _end_open(self, stack: list[int], names: tuple, barrier: tuple) -> None:
         """Close the innermost open element of these names, unless a barrier stands before it."""
-        for i in reversed(stack[1:]):
+        if not any(self._open[name] for name in names):
+            return
+        for k in range(len(stack) - 1, 0, -1):
+            i = stack[k]
             if self.tag[i] in names:
                 while stack[-1] != i:
                     self._close(stack)
@@ -146,7 +178,7 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
     n = int(base[-1])
     shift = np.repeat(base[:-1], sizes)
     flat = lambda name, kind=np.int64: np.fromiter((x for p in pages for x in getattr(p, name)), kind, n)
-    parent, end, own, tokens = flat("parent"), flat("end") + shift, flat("own"), flat("tokens")
+    parent, end, own, tokens, says = flat("parent"), flat("end") + shift, flat("own"), flat("tokens"), flat("says")
     names = [t for p in pages for t in p.tag]
     tag = np.fromiter((TAGS.get(t, 0) for t in names), np.int64, n)
     root = parent < 0
@@ -165,31 +197,52 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
         return np.cumsum(d)[:n]
 
     is_a, is_p = tag == TAGS["a"], tag == TAGS["p"]
+    heading = np.isin(tag, [TAGS[h] for h in HEADINGS if h in TAGS])
     text = below(own)
     linked = below(np.where(above(is_a) > 0, own, 0))
     tags = end - i
     depth = above(np.ones(n, bool)) - 1
     whole = np.maximum(np.repeat(text[base[:-1]], sizes), 1)
-    kids = np.bincount(up[~root], minlength=n)
-    kid_text = np.bincount(up[~root], weights=text[~root], minlength=n)
-    kid_p = np.bincount(up[~root], weights=is_p[~root], minlength=n)
+    by_parent = lambda x: np.bincount(up[~root], weights=x[~root], minlength=n)
+    kids, kid_text, kid_p = by_parent(np.ones(n)), by_parent(text), by_parent(is_p)
     order = np.lexsort((i, up))
     place = np.empty(n, np.int64)
     first = np.concatenate([[True], np.diff(up[order]) > 0]) if n else np.zeros(0, bool)
     place[order] = i - np.maximum.accumulate(np.where(first, i, 0))
     kin = up * 64 + tag
     _, which, many = np.unique(kin, return_inverse=True, return_counts=True)
+    alike = np.zeros(n)
+    np.maximum.at(alike, up, many[which])
     before = np.concatenate([[0], np.cumsum(own)])[i] - np.repeat(np.concatenate([[0], np.cumsum(own)])[base[:-1]], sizes)
+    # children that begin with a short name and have little else, as comments do
+    names_it = np.isin(tag, [TAGS[t] for t in "b strong span a cite em h4 h5 h6 time".split()]) & (text < 40) & (text > 0)
+    led = np.zeros(n, bool)
+    led[up[names_it & (place <= 1) & ~root]] = True
+    led &= (kids >= 2) & (kids <= 5) & ~np.isin(tag, [TAGS[t] for t in ("p", "li", "td", "tr", "ul")])
+    leads = by_parent(led)
+    # what the first heading of a node's children says
+    say = says.copy()
+    heads = np.flatnonzero(heading)[::-1]
+    say[up[heads]] |= 0
+    for h in heads.tolist():  # the first one is written last
+        if place[h] <= 1:
+            say[up[h]] = says[h]
     cols = [
         tag, tag[up], tag[up[up]], depth, own, text, text / whole, before / whole, tags, text / tags, linked / np.maximum(text, 1),
         kids, kid_p, kid_p[up], kids[up], place, many[which], text / np.maximum(kid_text[up], 1), own / np.maximum(text, 1), below(is_p), below(is_a),
+        alike / np.maximum(kids, 1), kid_text / np.maximum(kids, 1), leads / np.maximum(kids, 1), (leads / np.maximum(kids, 1))[up], below(heading), led,
     ]
+    cols += [np.isin(tag, [TAGS[t] for t in ts.split()]) for ts in KINDS]
     for k in range(len(TOKENS)):
         has = (tokens >> k & 1).astype(bool)
+        cols += [has, above(has) - has, below(has) - has]
+    for k in range(len(SAYS)):
+        has = (say >> k & 1).astype(bool)
         cols += [has, above(has) - has]
     for t in (*_OUT, *_IN):
         has = tag == TAGS[t]
         cols.append(above(has) - has)
+    cols.append(below(np.isin(tag, [TAGS["article"], TAGS["main"]])))
     return np.column_stack(cols).astype(np.float32), base
 
 
@@ -227,7 +280,7 @@ class Trees:
                 gs, hs = (np.bincount(k, weights=v, minlength=width * (BINS + 1)).reshape(width, -1)[:, : BINS + 1].cumsum(axis=1) for v in (g, h))
                 gt, ht = gs[:, -1:], hs[:, -1:]
                 gain = gs**2 / (hs + 1) + (gt - gs) ** 2 / (ht - hs + 1) - gt**2 / (ht + 1)
-                gain[(hs < 2) | (ht - hs < 2)] = 0
+                gain[(hs < LEAF) | (ht - hs < LEAF)] = 0
                 c = gain.argmax(axis=1)
                 top = gain[np.arange(width), c]
                 hit = top > best
@@ -303,107 +356,154 @@ def assemble(page: Page, keep: list[bool]) -> str:
 
 # --- training pages
 
+_SYLLABLES = "ba de ti on er la schi pro ñu éa ing".split()
+
 
 def _words(r: random.Random, lo: int, hi: int) -> str:
-    return " ".join("".join(r.choice("ba de ti on er la schi pro ñu éa ing".split()) for _ in range(r.randint(1, 4))) for _ in range(r.randint(lo, hi)))
+    return " ".join("".join(r.choice(_SYLLABLES) for _ in range(r.randint(1, 4))) for _ in range(r.randint(lo, hi)))
 
 
-def training_page(r: random.Random) -> tuple[str, str]:
-    """A page as markup, and its main text. Elements of the main text carry no mark that the features would see."""
-    w = lambda lo, hi: _words(r, lo, hi)
-    links = lambda lo, hi: "".join(f'<li><a href="/{i}">{w(1, 3)}</a></li>' for i in range(r.randint(lo, hi)))
-    cls = lambda *names: r.choice([f' class="{r.choice(names)}"', f' id="{r.choice(names)}"'])
-    blocks: list[str] = []
+def _named(r: random.Random, *names: str) -> str:
+    return r.choice([f' class="{r.choice(names)}"', f' id="{r.choice(names)}"'])
+
+
+def _links(r: random.Random, lo: int, hi: int) -> str:
+    return "".join(f'<li><a href="/{i}">{_words(r, 1, 3)}</a></li>' for i in range(r.randint(lo, hi)))
 
-    def block(tag: str, text: str, inner: str | None = None) -> str:
-        blocks.append(" ".join(text.split()))
-        return f"<{tag}>{inner or text}" + (f"</{tag}>" if tag[0] == "h" or r.random() < 0.9 else "")
+
+def _said(r: random.Random, kind: str) -> str:
+    """A heading over something of this kind, in one of four languages."""
+    word = r.choice(SAYS[kind].split())
+    return r.choice([word.capitalize(), f"{word.capitalize()} ({r.randint(1, 99)})", f"{_words(r, 1, 2)} {word}"])
+
+
+def comments(r: random.Random) -> str:
+    """Reader comments: by name of class, by heading, or by nothing but their form."""
+    tag, inner, who = r.choice(["section", "div", "ul"]), r.choice(["div", "article", "li"]), r.choice(["b", "strong", "span", "cite", "h4"])
+    cue = r.random()
+    own = _named(r, "comments", "comment-list", "discussion", "replies") if cue < 0.5 else ""
+    each = ' class="comment"' if cue < 0.35 else ""
+    head = f"<h{r.choice('234')}>{_said(r, 'comment') if cue > 0.4 else _words(r, 1, 2)}</h3>" if cue > 0.15 else ""
+    one = lambda: f"<{inner}{each}><{who}>{_words(r, 1, 2)}</{who}>{r.choice(['', '<time>' + _words(r, 1, 1) + '</time>'])}<p>{_words(r, 2, 40)}</p></{inner}>"
+    return f"<{tag}{own} data-y=0>{head}{''.join(one() for _ in range(r.randint(1, 6)))}</{tag}>"
+
+
+def junk(r: random.Random) -> str:
+    """Something that is not of the article though it may stand in it."""
+    w = lambda lo, hi: _words(r, lo, hi)
+    return r.choice([
+        lambda: f'<div{_named(r, "ad", "ads", "advert", "banner", "sponsored", "promo")} data-y=0>{w(2, 25)}</div>',
+        lambda: f'<div{_named(r, "cookie", "cookie-notice", "consent", "notice", "alert")} data-y=0><p>{w(4, 20)}</p><button>{w(1, 2)}</button></div>',
+        lambda: f'<form action="/s" data-y=0><label>{w(1, 3)}</label><input name=q><select><option>{w(1, 2)}</select><button>{w(1, 2)}</button></form>',
+        lambda: f'<div{_named(r, "share", "social", "newsletter", "subscribe")} data-y=0><p>{w(2, 12)}</p><a href="#">{w(1, 2)}</a></div>',
+        lambda: f'<div{_named(r, "related", "recommended", "popular", "more")} data-y=0><h3>{w(1, 4)}</h3><ul>{_links(r, 2, 6)}</ul></div>',
+        lambda: f'<div data-y=0><h3>{_said(r, "side")}</h3><ul>{_links(r, 2, 6)}</ul></div>',
+        lambda: f'<section data-y=0><h4>{_said(r, "notice")}</h4><p>{w(2, 20)}</p></section>',
+        lambda: f'<aside data-y=0>{r.choice([f"<h3>{w(1, 3)}</h3>", ""])}<p>{w(3, 30)}</p></aside>',
+        lambda: f"<aside data-y=0>{w(3, 20)}</aside>",
+        lambda: f"<nav data-y=0><ol>{_links(r, 2, 6)}</ol></nav>",
+    ])()
+
+
+def _inline(r: random.Random, text: str) -> str:
+    tag = r.choice(["b", "em", "strong", "span", "i", "code"])
+    return r.choice([f"<a href=x>{text}</a>", f"<{tag}>{text}</{tag}>"])
+
+
+def article(r: random.Random) -> str:
+    """The blocks of an article, with what may stand between them."""
+    w = lambda lo, hi: _words(r, lo, hi)
+    end = lambda tag: f"</{tag}>" if r.random() < 0.9 else ""
 
     def paragraph() -> str:
-        a, b, c = w(2, 40), w(1, 3), w(1, 30)
-        if r.random() < 0.3:
-            return block("p", f"{a} {b} {c}", f"{a} {r.choice([f'<a href=x>{b}</a>', f'<b>{b}</b>', f'<em>{b}</em>'])} {c}")
-        if r.random() < 0.2:
-            return block("p", f"{a} {c}", f"<b>{a}<br>{c}")
-        return block("p", a if r.random() < 0.8 else w(1, 3))
-
-    junk = [
-        lambda: f'<div{cls("ad", "ads", "advert", "banner", "sponsored", "promo")}>{w(2, 25)}</div>',
-        lambda: f'<div{cls("cookie", "cookie-notice", "consent", "notice", "alert")}><p>{w(4, 20)}</p><button>{w(1, 2)}</button></div>',
-        lambda: f'<form action="/s"><label>{w(1, 3)}</label><input name=q><button>{w(1, 2)}</button></form>',
-        lambda: f'<div{cls("share", "social", "newsletter", "subscribe")}><p>{w(2, 12)}</p><a href="#">{w(1, 2)}</a></div>',
-        lambda: f'<div{cls("related", "recommended", "popular", "more")}><h3>{w(1, 4)}</h3><ul>{links(2, 6)}</ul></div>',
-    ]
-    body = []
-    if r.random() < 0.9:
-        body.append(f"<h1>{(t := w(2, 9))}</h1>")
-        blocks.append(t)
-    for _ in range(r.randint(1, 14)):
         k = r.random()
-        if k < 0.75:
+        if k < 0.3:
+            return f"<p>{w(2, 40)} {_inline(r, w(1, 3))} {w(1, 30)}{end('p')}"
+        if k < 0.4:
+            return f"<p><b>{r.choice([w(2, 40), w(1, 4)])}<br>{r.choice([w(1, 30), ''])}{end('p')}"
+        return f"<p>{w(2, 40) if k < 0.75 else w(1, 5)}{end('p')}"
+
+    def table() -> str:
+        cell = lambda t: f"<{t}>{r.choice([w(1, 4), str(r.randint(0, 9999)), _inline(r, w(1, 2)), f'<p>{w(1, 8)}</p>'])}{end(t)}"
+        width = r.randint(2, 5)
+        rows = "".join(f"<tr>{''.join(cell('td') for _ in range(width))}{end('tr')}" for _ in range(r.randint(1, 6)))
+        head = f"<thead><tr>{''.join(cell('th') for _ in range(width))}</tr></thead>" if r.random() < 0.5 else ""
+        body = f"<tbody>{rows}</tbody>" if r.random() < 0.5 else rows
+        return f"<table>{f'<caption>{w(1, 6)}</caption>' if r.random() < 0.3 else ''}{head}{body}</table>"
+
+    blocks = [
+        (0.62, paragraph),
+        (0.69, lambda: f"<{(h := r.choice(['h2', 'h3', 'h4']))}>{w(1, 6)}</{h}>"),
+        (0.74, lambda: f"<{(t := r.choice(['ul', 'ol']))}>{''.join(f'<li>{r.choice([w(1, 12), _inline(r, w(1, 3)) + " " + w(1, 9)])}{end("li")}' for _ in range(r.randint(2, 6)))}</{t}>"),
+        (0.79, table),
+        (0.82, lambda: f"<dl>{''.join(f'<dt>{w(1, 3)}{end("dt")}<dd>{w(1, 12)}{end("dd")}' for _ in range(r.randint(1, 5)))}</dl>"),
+        (0.86, lambda: f"<figure>{r.choice(['<img src=x.jpg>', '<svg><text>z</text></svg>'])}<figcaption>{w(2, 15)}</figcaption></figure>"),
+        (0.89, lambda: f"<blockquote>{r.choice([w(3, 20), f'<p>{w(3, 20)}</p><cite>{w(1, 3)}</cite>'])}</blockquote>"),
+        (0.91, lambda: f"<pre><code>{w(2, 20)}</code></pre>"),
+        (1.0, lambda: junk(r)),
+    ]
+    body = []
+    if r.random() < 0.85:
+        title = f"<h1>{w(2, 9)}</h1>"
+        body.append(f"<header>{title}<p>{w(2, 6)}</p></header>" if r.random() < 0.12 else title)
+        if r.random() < 0.5:
             body.append(paragraph())
-        elif k < 0.83:
-            body.append(block(r.choice(["h2", "h3"]), w(1, 6)))
-        elif k < 0.88:
-            items = [w(1, 12) for _ in range(r.randint(2, 5))]
-            blocks += items
-            body.append("<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>")
-        elif k < 0.92:
-            blocks.append(t := w(3, 20))
-            body.append(f"<blockquote>{t}</blockquote>")
-        else:
-            body.append(r.choice(junk)())
-    text = "".join(body)
+    for _ in range(r.choice([0, 1, 1, 2, 3, 5, 8, 14])):
+        k = r.random()
+        body.append(next(make for most, make in blocks if k < most)())
+        if r.random() < 0.04:
+            body.append(f"<section>{w_block}</section>" if (w_block := paragraph()) else "")
+    return "".join(body)
+
+
+def training_page(r: random.Random) -> str:
+    """A page as markup. ``data-y`` says where the main text begins and what in it is not: the features do not see it."""
+    w = lambda lo, hi: _words(r, lo, hi)
+    body, after = article(r), []
+    talk = comments(r) if r.random() < 0.4 else ""
+    if talk and r.random() < 0.4:
+        body += talk
+    elif talk:
+        after.append(talk)
     shell = r.random()
-    if shell < 0.55:
-        text = f"<article>{text}</article>"
-    elif shell < 0.7:
-        text = f"<main>{text}</main>"
+    if shell < 0.5:
+        text = f"<article data-y=1>{body}</article>"
+    elif shell < 0.65:
+        text = f"<main data-y=1>{body}</main>"
     else:
-        text = f'<div{cls("content", "post", "entry-content", "article-body", "story", "main", "x7")}>{text}</div>'
-    if r.random() < 0.3:
-        text = f'<div class="{r.choice(["wrap", "container", "page", "row"])}">{text}</div>'
-    comments = "".join(f'<div class="comment"><b>{w(1, 2)}</b><p>{w(3, 30)}</p></div>' for _ in range(r.randint(1, 4)))
-    after = [f'<section{cls("comments", "comment-list", "discussion", "replies")}><h2>{w(1, 2)}</h2>{comments}</section>'] if r.random() < 0.3 else []
-    before = [f"<nav><ul>{links(2, 8)}</ul></nav>" if r.random() < 0.7 else f'<div{cls("menu", "nav", "navbar", "breadcrumb")}><ul>{links(2, 8)}</ul></div>']
+        text = f'<div{_named(r, "content", "post", "entry-content", "article-body", "story", "main", "x7", "c1")} data-y=1>{body}</div>'
+    if r.random() < 0.15 and shell < 0.5:
+        text = f"<main>{text}{after.pop() if after else ''}</main>"
+    elif r.random() < 0.3:
+        text = f'<div class="{r.choice(["wrap", "container", "page", "row"])}">{text}{after.pop() if after and r.random() < 0.5 else ""}</div>'
+    before = [f"<nav><ul>{_links(r, 2, 8)}</ul></nav>" if r.random() < 0.7 else f'<div{_named(r, "menu", "nav", "navbar", "breadcrumb")}><ul>{_links(r, 2, 8)}</ul></div>']
     if r.random() < 0.4:
-        before.insert(0, f'<header><a href="/">{w(1, 3)}</a><p>{w(2, 6)}</p></header>' if r.random() < 0.6 else f'<div{cls("header", "masthead", "top")}><h2>{w(1, 4)}</h2></div>')
+        before.insert(0, f'<header><a href="/">{w(1, 3)}</a><p>{w(2, 6)}</p></header>' if r.random() < 0.6 else f'<div{_named(r, "header", "masthead", "top")}><h2>{w(1, 4)}</h2></div>')
     if r.random() < 0.4:
-        (before if r.random() < 0.3 else after).append(f"<aside><h3>{w(1, 3)}</h3><p>{w(4, 25)}</p></aside>" if r.random() < 0.6 else f'<div{cls("sidebar", "side", "widget")}><p>{w(4, 30)}</p><ul>{links(1, 5)}</ul></div>')
+        (before if r.random() < 0.3 else after).append(f"<aside><h3>{w(1, 3)}</h3><p>{w(4, 25)}</p></aside>" if r.random() < 0.6 else f'<div{_named(r, "sidebar", "side", "widget")}><p>{w(4, 30)}</p><ul>{_links(r, 1, 5)}</ul></div>')
     for _ in range(r.randint(0, 3)):
-        (before if r.random() < 0.5 else after).append(r.choice(junk)())
-    after.append(f"<footer>&copy; {w(2, 20)}</footer>" if r.random() < 0.8 else f'<div{cls("footer", "copyright", "legal")}><p>{w(2, 14)}</p></div>')
-    page = f"<!DOCTYPE html><html><head><title>{w(2, 8)}</title><style>p{{}}</style></head><body>{''.join(before)}\x01{text}\x02{''.join(after)}</body></html>"
-    if r.random() < 0.1:
-        page = page[: r.randint(page.index("\x01") + 1, len(page))]
-    return page, "\n".join(blocks)
-
-
-def labelled(page: str) -> tuple[Page, np.ndarray]:
-    """The nodes of a training page and whether they are main text: between the marks and not junk inside them."""
-    whole = Page(page.replace("\x01", '<x1 class="q">').replace("\x02", "</x1>"))
-    n = len(whole.tag)
-    y = np.zeros(n)
-    for i in range(1, n):
-        u = whole.parent[i]
-        if whole.tag[u] == "x1":
-            y[i] = whole.tag[i] in ("article", "main") or whole.tag[i] == "div"
-        elif y[u] or (whole.tag[u] == "div" and whole.tokens[u] == 0):
-            junk = whole.tag[i] in ("form", "button") or whole.tokens[i] & ~1
-            y[i] = y[u] and not junk
-    # the mark is no node of a real page: take it out
-    bare = Page(page.replace("\x01", "").replace("\x02", ""))
-    return bare, np.array([v for v, t in zip(y, whole.tag, strict=True) if t != "x1"])
+        (before if r.random() < 0.5 else after).append(junk(r))
+    after.append(f"<footer>&copy; {w(2, 20)}</footer>" if r.random() < 0.8 else f'<div{_named(r, "footer", "copyright", "legal")}><p>{w(2, 14)}</p></div>')
+    head = f"<!DOCTYPE html><html><head><title>{w(2, 8)}</title><style>p{{}}</style></head><body>{''.join(before)}"
+    page = f"{head}{text}{''.join(after)}</body></html>"
+    if r.random() < 0.25:  # cut off, perhaps before the article begins, or soon after
+        page = page[: r.choice([r.randint(100, len(page)), len(head) + r.randint(20, 200)])]
+    return page
+
+
+def marked_text(page: str) -> str:
+    """The main text of a page whose elements are marked."""
+    p = Page(page, marked=True)
+    return assemble(p, [m == 1 for m in p.marks])
 
 
 @lru_cache(maxsize=1)
 def model(pages: int = TRAIN_PAGES, seed: int = 5) -> Trees:
     r = random.Random(seed)
-    done = [labelled(training_page(r)[0]) for _ in range(pages)]
-    done = [(p, y) for p, y in done if len(p.tag) == len(y)]
-    x, _ = features([p for p, _ in done])
-    w = np.concatenate([1 + np.sqrt(np.array(p.own)) for p, _ in done])
-    return Trees(x, np.concatenate([y for _, y in done]), w / w.mean())
+    done = [Page(training_page(r), marked=True) for _ in range(pages)]
+    x, _ = features(done)
+    w = np.concatenate([1 + np.sqrt(np.array(p.own)) for p in done])
+    return Trees(x, np.concatenate([np.array(p.marks, float) for p in done]), w / w.mean())
 
 
 def main_texts(htmls: list[str | None], trees: Trees) -> list[str]:
