@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import binaries, materialize, per_batch
@@ -138,6 +138,20 @@ def _pack(batch: pa.RecordBatch) -> dict:
     return {"_key": batch.column("_key"), "doc_id": batch.column("doc_id"), "z": [z.compress(t or b"") for t in binaries(batch.column("text"))]}
 
 
+#: A mark in one long: a segment's number, how many different segments its anchor has (up to 2**22 - 1, far beyond what
+#: is cut finer), and whether it is repeated as a whole.
+_KIN = 22
+
+
+def mark(kin: Column, again: bool) -> Column:
+    return (F.col("ord").cast("long") * (1 << _KIN + 1) + F.least(kin.cast("long"), F.lit((1 << _KIN) - 1)) * 2 + int(again)).alias("mark")
+
+
+def unmarked(marks: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    m = np.array(marks, np.int64)
+    return m >> _KIN + 1, m >> 1 & (1 << _KIN) - 1, (m & 1).astype(bool)
+
+
 def with_marks(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """Each of ``docs`` (_key, doc_id, text) as _key, doc_id, z (the text, compressed before it is dealt out) and the
     sorted list ``marks`` of its ``marks`` (_key, mark), null if it has none."""
@@ -188,7 +202,7 @@ def settle(parts: DataFrame, parse: Callable[[bytes], Parsed], solve: Callable[[
         crowded = parts.where(F.col("kin") > crowd)
         if crowded.isEmpty():
             break
-        places *= 2
+        places = 2 if places == 1 else places * 4
         sub = materialize(per_batch(crowded, _finer, _SUB, parse=parse, places=places), "finer")
         own = F.struct("_key", "first")
         kinds = sub.groupBy("seed", "h", "g").agg(F.count("*").alias("n"), F.max("known").alias("known"), F.min(own).alias("top"), F.min_by("bytes", own).alias("bytes"))

@@ -29,10 +29,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import Parsed, covered, mixed, ranges, settle, shared_segments, with_marks
+from .anchors import Parsed, covered, mark, mixed, ranges, settle, shared_segments, unmarked, with_marks
 from .common import keyed, materialize, per_batch
 
-WINDOW, GRAM = 200, 32
+WINDOW, GRAM = 200, 48
 #: Different segments of one anchor that may share a block before it is cut finer, and bytes a block is meant to have.
 CROWD, BLOCK = 256, 1 << 20
 _B = 0x9E3779B97F4A7C15
@@ -67,23 +67,31 @@ def parse(text: bytes) -> Parsed:
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """The suffix array of symbols below 512, right as far as ``depth`` symbols; prefix doubling."""
+    """The suffix array of symbols below 512, right as far as ``depth`` symbols: prefix doubling, in which only suffixes
+    that still have equals are sorted again."""
     n = len(text)
     padded = np.concatenate([text.astype(np.int64), np.zeros(7, np.int64)])
     key = np.zeros(n, np.int64)
     for j in range(7):
         key = key << 9 | padded[j : j + n]
     have = 7
+    order = np.argsort(key)
+    rank = np.empty(n + 1, np.int64)
+    rank[n] = -1  # the end of the text
+    slots, key = np.arange(n), key[order]
     while True:
-        order = np.argsort(key)
-        new = np.concatenate([[0], np.diff(key[order]) != 0])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        if have >= depth or rank[order[-1]] == n - 1:
+        # slots of the order that hold suffixes with equals, and where their groups begin
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        start = slots[np.maximum.accumulate(np.where(new, np.arange(len(slots)), 0))]
+        rank[order[slots]] = start
+        alone = new & np.append(new[1:], True)
+        slots, start = slots[~alone], start[~alone]
+        if have >= depth or not len(slots):
             return order
-        after = np.zeros(n, np.int64)
-        after[: max(n - have, 0)] = rank[have:] + 1
-        key = rank * (n + 2) + after
+        some = order[slots]
+        key = start * (n + 2) + rank[np.minimum(some + have, n)] + 1
+        by = np.argsort(key)
+        order[slots], key = some[by], key[by]
         have *= 2
 
 
@@ -102,7 +110,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarr
         total = int(size.sum())
         at = np.repeat(lb - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(total)
         key = np.repeat(np.arange(len(lb)) << 9, size) + symbol[at]
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key, kind="stable")  # nearly sorted as it is
         key = key[by]
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         lb = np.minimum.reduceat(back[at[by]], start)
@@ -154,8 +162,8 @@ def _result(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int
 
 _NONE = np.zeros(0, np.int64)
 _NAMES = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
-_OPEN = ("z", "starts", "ends", "seeds", "firsts", "segments")
-_FIRST = "_key long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, z binary, starts array<int>, ends array<int>, seeds array<struct<seed:long,kin:long,known:boolean>>, firsts array<int>, segments array<binary>"
+_OPEN = ("z", "starts", "ends", "seed", "kin", "known", "first", "bytes")
+_FIRST = "_key long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, z binary, starts array<int>, ends array<int>, seed array<long>, kin array<long>, known array<boolean>, first array<int>, bytes array<binary>"
 
 
 def _first(batch: pa.RecordBatch) -> dict:
@@ -164,18 +172,16 @@ def _first(batch: pa.RecordBatch) -> dict:
     for z, marks in zip(batch.column("z").to_pylist(), batch.column("marks").to_pylist(), strict=True):
         text = unzip.decompress(z)
         if not marks:
-            out.append((*_result(text, _NONE, _NONE), *[None] * 6))
+            out.append((*_result(text, _NONE, _NONE), *[None] * 8))
             continue
-        p, ord_, kin, n = parse(text), *np.array([(m["ord"], m["kin"], m["n"]) for m in marks], np.int64).T
-        full, look = ord_[n > 1], kin > 1
+        p, (ord_, kin, again) = parse(text), unmarked(marks)
+        full, look = ord_[again], kin > 1
         starts, ends = p.first[full], p.last[full] + WINDOW
-        known = n[look] > 1
-        at = ord_[look]
-        seeds = [{"seed": s, "kin": k, "known": x} for s, k, x in zip(p.seed[at].tolist(), kin[look].tolist(), known.tolist(), strict=True)]
+        known, at = again[look], ord_[look]
         parts = [bytes(p.slice(a, b + WINDOW)) for a, b in zip(p.first[at].tolist(), p.last[at].tolist(), strict=True)]
         open_ = len(at) and not known.all()  # else all that is looked into is repeated already
-        out.append((*((0, 0, 0, "") if open_ else _result(text, starts, ends)), z if open_ else None, starts, ends, seeds, p.first[at], parts))
-    return {"_key": batch.column("_key"), "doc_id": batch.column("doc_id")} | dict(zip((*_NAMES, *_OPEN), zip(*out, strict=True) if out else [[]] * 10, strict=True))
+        out.append((*((0, 0, 0, "") if open_ else _result(text, starts, ends)), z if open_ else None, starts, ends, p.seed[at], kin[look], known, p.first[at], parts))
+    return {"_key": batch.column("_key"), "doc_id": batch.column("doc_id")} | dict(zip((*_NAMES, *_OPEN), zip(*out, strict=True) if out else [[]] * 12, strict=True))
 
 
 def _second(batch: pa.RecordBatch) -> dict:
@@ -192,13 +198,11 @@ def remove_repeats(docs: DataFrame, crowd: int = CROWD, block: int = BLOCK) -> D
     rows, kinds, tables = shared_segments(docs, parse)
     # of a segment that occurs twice or more all are repeated; its first one stands for it among those of its anchor
     few = kinds.where("n > 1").select("seed", "h", "g", "n", "kin", "first")
-    mark = lambda kin, n: F.struct("ord", kin.cast("long").alias("kin"), n.cast("long").alias("n")).alias("mark")
     stands = F.when(F.struct("_key", "ord") == F.col("first"), F.col("kin")).otherwise(1)
-    full = rows.join(few, ["seed", "h", "g"]).select("_key", mark(stands, F.col("n")))
-    single = kinds.where("n = 1 AND kin > 1").select("first.*", "kin").select("_key", mark(F.col("kin"), F.lit(1)))
+    full = rows.join(few, ["seed", "h", "g"]).select("_key", mark(stands, True))
+    single = kinds.where("n = 1 AND kin > 1").select("first.*", "kin").select("_key", mark(F.col("kin"), False))
     first = materialize(per_batch(with_marks(docs, full.unionByName(single)), _first, _FIRST), "segmented", done=tables)
-    x = first.where("size(seeds) > 0").select("_key", F.explode(F.arrays_zip("seeds", "firsts", "segments")).alias("x"))
-    parts = x.select("x.seeds.seed", "x.seeds.kin", "_key", F.col("x.firsts").alias("first"), "x.seeds.known", F.col("x.segments").alias("bytes"))
+    parts = first.where("size(seed) > 0").select("_key", F.inline(F.arrays_zip("seed", "kin", "first", "known", "bytes")))
     more = settle(parts, parse, _solve, earliest=False, crowd=crowd, block=block)
     more = more.groupBy("_key").agg(F.collect_list(F.struct("a", "b")).alias("more"))
     rest = first.where("z is not null").select("_key", "doc_id", "z", "starts", "ends").join(more, "_key", "left")

@@ -31,14 +31,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import Parsed, covered, mixed, ranges, settle, shared_segments, with_marks
+from .anchors import Parsed, covered, mark, mixed, ranges, settle, shared_segments, unmarked, with_marks
 from .common import keyed, materialize, per_batch
 
 WINDOW, GRAM = 20, 6
 #: Different stretches of one anchor that may share a block before it is cut finer, and bytes a block is meant to have.
 CROWD, BLOCK = 256, 1 << 20
 _MIX = np.random.default_rng(7).integers(1 << 62, size=GRAM, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-FULL, CHECK = 0, 1
 
 
 def parse(text: bytes) -> Parsed:
@@ -172,9 +171,9 @@ def _result(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int
 
 
 _NONE = np.zeros(0, np.int64)
-_OPEN = ("z", "starts", "ends", "seeds", "firsts", "segments")
+_OPEN = ("z", "starts", "ends", "seed", "kin", "first", "bytes")
 _RESULT = ("n_words", "n_removed", "kept_sha256")
-_FIRST = "_key long, doc_id long, n_words long, n_removed long, kept_sha256 string, z binary, starts array<int>, ends array<int>, seeds array<struct<seed:long,kin:long>>, firsts array<int>, segments array<binary>"
+_FIRST = "_key long, doc_id long, n_words long, n_removed long, kept_sha256 string, z binary, starts array<int>, ends array<int>, seed array<long>, kin array<long>, first array<int>, bytes array<binary>"
 
 
 def _first(batch: pa.RecordBatch) -> dict:
@@ -183,19 +182,18 @@ def _first(batch: pa.RecordBatch) -> dict:
     for z, marks in zip(batch.column("z").to_pylist(), batch.column("marks").to_pylist(), strict=True):
         text = unzip.decompress(z)
         if not marks:
-            out.append((*_result(text, _NONE, _NONE), *[None] * 6))
+            out.append((*_result(text, _NONE, _NONE), *[None] * 7))
             continue
-        p, ord_, kin = parse(text), *np.array([(m["ord"], m["kin"]) for m in marks], np.int64).T
-        full, look = ord_[kin == 0], kin > 0
+        p, (ord_, kin, again) = parse(text), unmarked(marks)
+        full, look = ord_[again], ~again
         starts, ends = p.first[full], p.last[full] + WINDOW
         if not look.any():
-            out.append((*_result(text, starts, ends), *[None] * 6))
+            out.append((*_result(text, starts, ends), *[None] * 7))
             continue
         at = ord_[look]
-        seeds = [{"seed": s, "kin": k} for s, k in zip(p.seed[at].tolist(), kin[look].tolist(), strict=True)]
         parts = [bytes(p.slice(a, b + WINDOW)) for a, b in zip(p.first[at].tolist(), p.last[at].tolist(), strict=True)]
-        out.append((p.n, 0, "", z, starts, ends, seeds, p.first[at], parts))
-    return {"_key": batch.column("_key"), "doc_id": batch.column("doc_id")} | dict(zip((*_RESULT, *_OPEN), zip(*out, strict=True) if out else [[]] * 9, strict=True))
+        out.append((p.n, 0, "", z, starts, ends, p.seed[at], kin[look], p.first[at], parts))
+    return {"_key": batch.column("_key"), "doc_id": batch.column("doc_id")} | dict(zip((*_RESULT, *_OPEN), zip(*out, strict=True) if out else [[]] * 10, strict=True))
 
 
 def _second(batch: pa.RecordBatch) -> dict:
@@ -210,14 +208,12 @@ def remove_repeats(docs: DataFrame, crowd: int = CROWD, block: int = BLOCK) -> D
     """doc_id, n_words, n_removed and the digest of the kept words of every row of ``docs``."""
     docs = keyed(docs, "text")
     rows, kinds, tables = shared_segments(docs, parse)
-    mark = lambda kin: F.struct("ord", kin.cast("long").alias("kin")).alias("mark")
     often = kinds.where("n > 1").select("seed", "h", "g", "first")
-    late = rows.join(often, ["seed", "h", "g"]).where(F.struct("_key", "ord") != F.col("first")).select("_key", mark(F.lit(0)))
-    new = kinds.where("kin > 1").select("first.*", "kin").select("_key", mark(F.col("kin")))
+    late = rows.join(often, ["seed", "h", "g"]).where(F.struct("_key", "ord") != F.col("first")).select("_key", mark(F.lit(1), True))
+    new = kinds.where("kin > 1").select("first.*", "kin").select("_key", mark(F.col("kin"), False))
     first = materialize(per_batch(with_marks(docs, late.unionByName(new)), _first, _FIRST), "parsed", done=tables)
     open_ = first.where("z is not null")
-    x = open_.select("_key", F.explode(F.arrays_zip("seeds", "firsts", "segments")).alias("x"))
-    parts = x.select("x.seeds.seed", "x.seeds.kin", "_key", F.col("x.firsts").alias("first"), F.lit(False).alias("known"), F.col("x.segments").alias("bytes"))
+    parts = open_.select("_key", F.lit(False).alias("known"), F.inline(F.arrays_zip("seed", "kin", "first", "bytes")))
     more = settle(parts, parse, _solve, earliest=True, crowd=crowd, block=block)
     more = more.groupBy("_key").agg(F.collect_list(F.struct("a", "b")).alias("more"))
     rest = open_.select("_key", "doc_id", "z", "starts", "ends").join(more, "_key", "left")
