@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
 import numpy as np
 
@@ -117,17 +117,44 @@ def sample(src: np.ndarray, px: np.ndarray, py: np.ndarray, kind: str, nodata: f
     return np.where(ok, total / np.where(ok, weight, 1), 0), ok
 
 
-def _mode(v: np.ndarray) -> float:
-    """The most frequent value; of equals the smallest."""
-    u, n = np.unique(v, return_counts=True)
-    return u[n.argmax()]
-
-
-REDUCE: dict[str, Callable[[np.ndarray], float]] = {
-    "average": np.mean, "mode": _mode, "max": np.max, "min": np.min, "sum": np.sum,
-    "med": lambda v: np.quantile(v, 0.5, method="inverted_cdf"), "q1": lambda v: np.quantile(v, 0.25, method="inverted_cdf"),
-    "q3": lambda v: np.quantile(v, 0.75, method="inverted_cdf"), "rms": lambda v: math.sqrt(np.mean(np.square(v, dtype=np.float64))),
-}
+QUANTILES = {"med": 0.5, "q1": 0.25, "q3": 0.75}
+
+
+def _reduce_rows(v: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's values, NaN being none, as one: and which rows have any. Quantiles are values that occur; of equally
+    frequent values the mode is the smallest."""
+    has = ~np.isnan(v)
+    n = has.sum(axis=1)
+    ok = n > 0
+    out = np.zeros(len(v))
+    x, m = v[ok], n[ok]
+    if not len(x):
+        return out, ok
+    if kind in QUANTILES:
+        x = np.sort(x, axis=1)  # NaN last
+        out[ok] = x[np.arange(len(x)), np.maximum(np.ceil(QUANTILES[kind] * m).astype(np.int64) - 1, 0)]
+    elif kind == "mode":
+        x = np.sort(x, axis=1)
+        first = np.concatenate([np.ones((len(x), 1), bool), x[:, 1:] != x[:, :-1]], axis=1).ravel()  # of a run of equals
+        at = np.flatnonzero(first)
+        size = np.diff(np.append(at, x.size))
+        size[np.isnan(x.ravel()[at])] = 0
+        row = at // x.shape[1]
+        start = np.flatnonzero(np.diff(row, prepend=-1))
+        best = np.maximum.reduceat(size * (x.shape[1] + 1) + (x.shape[1] - at % x.shape[1]), start)
+        place = x.shape[1] - best % (x.shape[1] + 1)
+        out[ok] = x[np.arange(len(x)), place]
+    else:
+        zero = np.where(np.isnan(x), 0.0, x)
+        if kind == "sum":
+            out[ok] = zero.sum(axis=1)
+        elif kind == "average":
+            out[ok] = zero.sum(axis=1) / m
+        elif kind == "rms":
+            out[ok] = np.sqrt((zero * zero).sum(axis=1) / m)
+        else:
+            out[ok] = np.nanmax(x, axis=1) if kind == "max" else np.nanmin(x, axis=1)
+    return out, ok
 
 
 def reduce_blocks(src: np.ndarray, ky: int, kx: int, kind: str, nodata: float | None) -> tuple[np.ndarray, np.ndarray]:
@@ -135,33 +162,32 @@ def reduce_blocks(src: np.ndarray, ky: int, kx: int, kind: str, nodata: float |
     h, w = -(-src.shape[0] // ky), -(-src.shape[1] // kx)
     pad = np.full((h * ky, w * kx), np.nan)
     pad[: src.shape[0], : src.shape[1]] = np.where(missing(src, nodata), np.nan, src.astype(np.float64))
-    blocks = pad.reshape(h, ky, w, kx).swapaxes(1, 2).reshape(h, w, ky * kx)
-    ok = (~np.isnan(blocks)).any(axis=2)
-    out = np.zeros((h, w))
-    if kind in ("average", "sum", "max", "min", "rms"):
-        b = blocks[ok]
-        got = {"average": np.nanmean, "sum": np.nansum, "max": np.nanmax, "min": np.nanmin, "rms": lambda x, axis: np.sqrt(np.nanmean(x * x, axis=axis))}[kind]
-        out[ok] = got(b, axis=1) if len(b) else 0
-    else:
-        for y, x in zip(*np.nonzero(ok), strict=True):
-            v = blocks[y, x]
-            out[y, x] = REDUCE[kind](v[~np.isnan(v)])
-    return out, ok
+    out, ok = _reduce_rows(pad.reshape(h, ky, w, kx).swapaxes(1, 2).reshape(h * w, ky * kx), kind)
+    return out.reshape(h, w), ok.reshape(h, w)
+
+
+#: Values that are gathered at once.
+GATHER = 1 << 22
 
 
 def reduce_at(src: np.ndarray, px: np.ndarray, py: np.ndarray, kind: str, nodata: float | None) -> tuple[np.ndarray, np.ndarray]:
     """Values of output pixels given by their corners in source pixels, px and py of shape (h + 1, w + 1): the source
-    pixels whose centres lie in the box of the corners."""
+    pixels whose centres lie in the box of the corners. Output pixels are gathered in runs that bound the memory."""
     h, w = px.shape[0] - 1, px.shape[1] - 1
-    out, ok = np.zeros((h, w)), np.zeros((h, w), bool)
     cell = lambda a: np.stack([a[:-1, :-1], a[:-1, 1:], a[1:, :-1], a[1:, 1:]])
+    edge = lambda a, n: np.clip(np.ceil(a - 0.5), 0, n).astype(np.int64).ravel()
     cx, cy = cell(px), cell(py)
-    x0, x1 = np.ceil(cx.min(axis=0) - 0.5).astype(int), np.ceil(cx.max(axis=0) - 0.5).astype(int)
-    y0, y1 = np.ceil(cy.min(axis=0) - 0.5).astype(int), np.ceil(cy.max(axis=0) - 0.5).astype(int)
-    good = ~missing(src, nodata)
-    for y in range(h):
-        for x in range(w):
-            a, b, c, d = max(y0[y, x], 0), min(y1[y, x], src.shape[0]), max(x0[y, x], 0), min(x1[y, x], src.shape[1])
-            if b > a and d > c and (v := src[a:b, c:d][good[a:b, c:d]]).size:
-                out[y, x], ok[y, x] = REDUCE[kind](v.astype(np.float64)), True
-    return out, ok
+    x0, x1 = edge(cx.min(axis=0), src.shape[1]), edge(cx.max(axis=0), src.shape[1])
+    y0, y1 = edge(cy.min(axis=0), src.shape[0]), edge(cy.max(axis=0), src.shape[0])
+    value = np.where(missing(src, nodata), np.nan, src.astype(np.float64)).ravel()
+    value = np.append(value, np.nan)  # what lies outside of a box
+    tall, wide = max(1, int((y1 - y0).max(initial=0))), max(1, int((x1 - x0).max(initial=0)))
+    dy, dx = np.divmod(np.arange(tall * wide), wide)
+    out, ok = np.zeros(h * w), np.zeros(h * w, bool)
+    step = max(1, GATHER // (tall * wide))
+    for a in range(0, h * w, step):
+        part = slice(a, a + step)
+        y, x = y0[part, None] + dy, x0[part, None] + dx
+        at = np.where((y < y1[part, None]) & (x < x1[part, None]), y * src.shape[1] + x, len(value) - 1)
+        out[part], ok[part] = _reduce_rows(value[at], kind)
+    return out.reshape(h, w), ok.reshape(h, w)

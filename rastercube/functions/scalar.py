@@ -85,6 +85,12 @@ def is_uuid(x: Column | str) -> Column:
     return F.coalesce(col(x).rlike(r"(?i)^\{?[0-9a-f]{8}-?([0-9a-f]{4}-?){3}[0-9a-f]{12}\}?$"), F.lit(False))
 
 
+def uuid_text(x: Column | str) -> Column:
+    """A UUID in any of its forms, as lower case in five groups."""
+    h = F.lower(F.regexp_replace(col(x), "[^0-9a-fA-F]", ""))
+    return F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+
+
 def chunk_sizes(n: Column | str, size: Column | str) -> Column:
     """A length in chunks: 11 by 4 is 4, 4, 3; a size below one or beyond the length is one chunk."""
     n, c = col(n).cast("int"), col(size).cast("int")

@@ -7,7 +7,7 @@ collection has bands, so joins with them are broadcast by Spark where their size
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -58,17 +58,53 @@ def item_bands(resolved: DataFrame, items: DataFrame, sources: DataFrame) -> Dat
     return want.join(sources, ["item_seq", "asset", "idx"], "left")
 
 
+def strip_sources(sources: DataFrame) -> DataFrame:
+    """Sources without their grids and metadata: what a task needs to open them."""
+    return sources.select("item_seq", "collection_id", "asset", "idx", "uri")
+
+
+def assets_of(sources: DataFrame) -> DataFrame:
+    """(item_seq, asset, bands): the sources of each asset of an item, in order of their band."""
+    each = F.struct("idx", "uri")
+    return sources.groupBy("item_seq", "asset").agg(F.sort_array(F.collect_list(each)).alias("bands"))
+
+
+def patch_urls(sources: DataFrame, edit, bands: DataFrame | None = None) -> DataFrame:
+    """``sources`` with ``uri`` edited by a column, a function from column to column, or one from text to text; with
+    ``bands`` (rows of ``resolve_bands``) only those of these bands."""
+    uri = F.col("uri")
+    if isinstance(edit, Column):
+        new = edit
+    else:
+        try:
+            new = edit(uri)
+        except Exception:  # a function of texts
+            new = None
+        new = new if isinstance(new, Column) else F.udf(edit)(uri)
+    if bands is None:
+        return sources.withColumn("uri", new)
+    chosen = bands.where("asset IS NOT NULL").select("collection_id", "asset", "idx").distinct().withColumn("_hit", F.lit(True))
+    out = sources.join(chosen, ["collection_id", "asset", "idx"], "left")
+    return out.withColumn("uri", F.when(F.col("_hit"), new).otherwise(uri)).drop("_hit")
+
+
 def alias_choices(eo_bands: DataFrame) -> DataFrame:
     """``aliases`` from (collection_id, asset, asset_pos, idx, name, common_name), the ``eo:bands`` of raster assets.
 
     An alias is a name or a common name that is no asset's name. Of several bands with one alias, those of assets with
-    fewer bands come first, then by asset, then in order."""
+    fewer bands come first, then by asset, then in order. With a column ``late`` (the item in which an asset turned up
+    after its collection's first item, else null), late assets of one band go before all others, the latest first, and
+    late assets of several bands behind."""
     n = F.count("*").over(W.partitionBy("collection_id", "asset"))
-    x = eo_bands.withColumn("n", n).withColumn("a", F.explode(F.array_distinct(F.array_compact(F.array("name", "common_name")))))
+    late = F.col("late") if "late" in eo_bands.columns else F.lit(None).cast("long")
+    x = eo_bands.withColumns({"n": n, "late": late}).withColumn("a", F.explode(F.array_distinct(F.array_compact(F.array("name", "common_name")))))
     assets = eo_bands.select("collection_id", F.col("asset").alias("a")).distinct()
     x = x.join(assets, ["collection_id", "a"], "left_anti")
-    order = W.partitionBy("collection_id", "a").orderBy("n", "asset", "asset_pos", "idx")
-    first = F.min(F.struct("asset_pos", "idx")).over(W.partitionBy("collection_id", "a"))
+    single = F.col("late").isNotNull() & (F.col("n") == 1)
+    group = F.when(single, 0).when(F.col("late").isNull(), 1).otherwise(2)
+    turn = F.when(single, -F.col("late")).otherwise(F.coalesce("late", F.lit(0)))
+    order = W.partitionBy("collection_id", "a").orderBy(group, turn, F.when(single, -F.col("asset_pos")), "n", "asset", "asset_pos", "idx")
+    first = F.min(F.struct(F.coalesce("late", F.lit(-1)).alias("late"), "asset_pos", "idx")).over(W.partitionBy("collection_id", "a"))
     x = x.withColumns({"rank": (F.row_number().over(order) - 1).cast("long"), "first": first})
     pos = F.dense_rank().over(W.partitionBy("collection_id").orderBy("first", "a")) - 1
     return x.select("collection_id", F.col("a").alias("alias"), pos.cast("long").alias("alias_pos"), "rank", "asset", "idx")
@@ -113,3 +149,14 @@ def load_config(bands: DataFrame, *, resampling=None, dtype=None, nodata=None, u
         F.lit(use_overviews).alias("use_overviews"),
         F.lit(fail_on_error).alias("fail_on_error"),
     )
+
+
+def band_config(band: str, data_type: str | None, nodata_of: float | None, *, resampling=None, dtype=None, nodata=None, use_overviews: bool = True, fail_on_error: bool = True) -> dict:
+    """A row of ``load_config`` for the planner, which has the band's metadata at hand."""
+
+    def pick(option):
+        return option.get(band, option.get("*")) if isinstance(option, dict) else option
+
+    fill = pick(nodata)
+    fill = nodata_of if fill is None else float(fill)
+    return {"band": band, "dtype": pick(dtype) or data_type or "float32", "fill_value": fill, "resampling": pick(resampling) or "nearest", "use_overviews": use_overviews, "fail_on_error": fail_on_error}

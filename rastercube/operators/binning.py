@@ -58,26 +58,52 @@ def footprint_pixels(rings: Column, crs: str, grid: Grid) -> Column:
 
 
 def bin_items(items: DataFrame, grid: Grid, tile: tuple[int, int], *, exact: bool = True) -> DataFrame:
-    """(…, ty, tx) for each tile of ``grid`` that the ``footprint`` (a ring in pixels, without its closing point) of an
-    item meets. Touching edges do not count. With ``exact``, tiles in the corners of a slanted footprint's box do not
-    either: by the separating axes of the ring's edges, which decides convex footprints and keeps others by their box
-    or hull at worst."""
+    """(…, ty, tx) for each tile of ``grid`` that the ``footprint`` of an item meets, once: a ring of points in pixels
+    without its closing point, or an array of such rings. Touching edges do not count. With ``exact``, tiles in the
+    corners of a slanted ring's box do not either: by the separating axes of the ring's edges, which decides convex
+    rings and keeps others by their box or hull at worst. Rings that are their own box need no test."""
     fp = F.col("footprint")
-    xs, ys = F.transform(fp, lambda p: p["x"]), F.transform(fp, lambda p: p["y"])
+    if not items.schema["footprint"].dataType.simpleString().startswith("array<array"):
+        fp = F.when(fp.isNotNull(), F.array(fp))
     ny, nx = tile_count(grid, tile)
     lo = lambda v, size: F.greatest(F.lit(0), F.floor(F.array_min(v) / size + TOUCH)).cast("int")
     hi = lambda v, size, n: F.least(F.lit(n - 1), F.ceil(F.array_max(v) / size - TOUCH) - 1).cast("int")
-    t = items.withColumns({"_y0": lo(ys, tile[0]), "_y1": hi(ys, tile[0], ny), "_x0": lo(xs, tile[1]), "_x1": hi(xs, tile[1], nx)})
-    t = t.where("size(footprint) > 0 AND _y0 <= _y1 AND _x0 <= _x1")
-    t = t.withColumn("ty", F.explode(F.sequence("_y0", "_y1"))).withColumn("tx", F.explode(F.sequence("_x0", "_x1")))
-    t = t.drop("_y0", "_y1", "_x0", "_x1")
-    return t.where(convex_meets("footprint", F.col("tx") * tile[1], F.col("ty") * tile[0], F.least(F.lit(grid.w), (F.col("tx") + 1) * tile[1]), F.least(F.lit(grid.h), (F.col("ty") + 1) * tile[0]))) if exact else t
 
+    def numbers(r: Column) -> Column:
+        xs, ys = F.transform(r, lambda p: p["x"]), F.transform(r, lambda p: p["y"])
+        return F.struct(lo(ys, tile[0]).alias("y0"), hi(ys, tile[0], ny).alias("y1"), lo(xs, tile[1]).alias("x0"), hi(xs, tile[1], nx).alias("x1"))
 
-def convex_meets(ring: str, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    def tiles_of(b: Column) -> Column:
+        row = lambda y: F.transform(F.sequence(b["x0"], b["x1"]), lambda x: F.struct(y.alias("ty"), x.alias("tx")))
+        return F.flatten(F.transform(F.sequence(b["y0"], b["y1"]), row))
+
+    some = F.filter(fp, lambda r: F.size(r) > 0)
+    boxes = F.filter(F.transform(some, numbers), lambda b: (b["y0"] <= b["y1"]) & (b["x0"] <= b["x1"]))
+    t = items.withColumn("_rings", some).withColumn("_boxes", boxes).where("size(_boxes) > 0")
+    met = F.flatten(F.transform("_boxes", tiles_of))
+    t = t.withColumn("_t", F.explode(F.when(F.size("_boxes") > 1, F.array_distinct(met)).otherwise(met)))
+    t = t.withColumns({"ty": F.col("_t.ty"), "tx": F.col("_t.tx")})
+    if exact:
+        edges = F.col("tx") * tile[1], F.col("ty") * tile[0], F.least(F.lit(grid.w), (F.col("tx") + 1) * tile[1]), F.least(F.lit(grid.h), (F.col("ty") + 1) * tile[0])
+        one = upright(F.col("_rings")[0]) | convex_meets(F.col("_rings")[0], *edges)
+        t = t.where(F.when(F.size("_rings") == 1, one).otherwise(F.exists("_rings", lambda r: box_meets(r, *edges) & convex_meets(r, *edges))))
+    return t.drop("_rings", "_boxes", "_t")
+
+
+def upright(r: Column) -> Column:
+    """Whether a ring of four points is a rectangle along the axes."""
+    side = lambda i, j: (r[i]["x"] == r[j]["x"]) | (r[i]["y"] == r[j]["y"])
+    return (F.size(r) == 4) & side(0, 1) & side(1, 2) & side(2, 3) & side(3, 0)
+
+
+def box_meets(r: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    xs, ys = F.transform(r, lambda p: p["x"]), F.transform(r, lambda p: p["y"])
+    return (F.array_min(xs) < x1) & (F.array_max(xs) > x0) & (F.array_min(ys) < y1) & (F.array_max(ys) > y0)
+
+
+def convex_meets(r: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """Whether a rectangle meets a ring: false if an edge of the ring has all of the ring on one side of it, and all of
     the rectangle on the other."""
-    r = F.col(ring)
     nxt = F.concat(F.slice(r, 2, F.size(r) - 1), F.slice(r, 1, 1))
     corners = F.array(*[F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x in (x0, x1) for y in (y0, y1)])
 

@@ -6,12 +6,16 @@ A collection's schema is that of the first item in which each asset appears; lat
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import remove, shared_dir
+from ..sources import stac
 from ..sources.stac import is_raster
 from .bands import alias_choices, merge_by_precedence
 from .grids import GRID, asset_grid, name_grids
@@ -31,6 +35,9 @@ class MDConfig:
     def known(self) -> list[str]:
         return [c for c in self.cfg if c != "*" and isinstance(self.cfg[c], dict)]
 
+    def names_assets(self) -> bool:
+        return any(self.of(c).get("assets") for c in ["*", *self.known])
+
     def asset_table(self, spark: SparkSession) -> DataFrame:
         """(collection_id or null for the rest, asset or ``*``, data_type, nodata, unit)"""
         rows = []
@@ -57,28 +64,31 @@ class MDConfig:
 
 
 def _configured(table: DataFrame, known: list[str], x: DataFrame, name: str) -> DataFrame:
-    """Join settings on the collection, or on the rest where the collection has none of its own."""
+    """Join settings on the collection, or on the rest where the collection has none of its own. The settings are an
+    argument: as many rows as the user wrote."""
     own = F.when(F.col("collection_id").isin(known), F.col("collection_id")) if known else F.lit(None).cast("string")
     t = table.select(F.col("collection_id").alias("_c"), F.col("asset").alias("_a"), F.struct("data_type", "nodata", "unit").alias(name))
     return x.withColumn("_own", own).join(F.broadcast(t), F.col("_own").eqNullSafe(F.col("_c")) & (F.col("_key") == F.col("_a")), "left").drop("_c", "_a", "_own")
 
 
 def keep_raster(assets: DataFrame, items: DataFrame, config: MDConfig) -> DataFrame:
-    """The assets that are pixels, with ``has_proj`` of their collection.
+    """The assets that are pixels, with ``has_proj`` and ``first_seq`` (the first item) of their collection.
 
     Assets named in the settings stay. Others must be pixels and, where the collection's first item declares the
     projection extension, have a shape and a transform; if no asset of that item has, that demand is dropped for the
     collection."""
-    own = config.asset_table(assets.sparkSession).where("asset <> '*'").select("collection_id", F.col("asset").alias("_named"))
-    known = config.known
-    mine = F.when(F.col("collection_id").isin(known), F.col("collection_id")) if known else F.lit(None).cast("string")
-    named = own.select(F.col("collection_id").alias("_c"), "_named", F.lit(True).alias("named"))
-    x = assets.withColumn("_own", mine).join(F.broadcast(named), F.col("_own").eqNullSafe(F.col("_c")) & (F.col("asset") == F.col("_named")), "left")
-    x = x.withColumn("named", F.coalesce("named", F.lit(False))).drop("_own", "_c", "_named")
+    x = assets.withColumn("named", F.lit(False))
+    if config.names_assets():
+        own = config.asset_table(assets.sparkSession).where("asset <> '*'").select("collection_id", F.col("asset").alias("_named"))
+        known = config.known
+        mine = F.when(F.col("collection_id").isin(known), F.col("collection_id")) if known else F.lit(None).cast("string")
+        named = own.select(F.col("collection_id").alias("_c"), "_named", F.lit(True).alias("_hit"))
+        x = x.withColumn("_own", mine).join(F.broadcast(named), F.col("_own").eqNullSafe(F.col("_c")) & (F.col("asset") == F.col("_named")), "left")
+        x = x.withColumn("named", F.coalesce("_hit", F.lit(False))).drop("_own", "_c", "_named", "_hit")
     x = x.withColumns({"pixels": is_raster(), "shaped": F.col("proj_shape").isNotNull() & F.col("proj_transform").isNotNull()})
     declared = items.groupBy("collection_id").agg(F.min_by("has_proj_ext", "item_seq").alias("declared"), F.min("item_seq").alias("first_seq"))
     first = x.join(declared, "collection_id").where("item_seq = first_seq").groupBy("collection_id").agg(F.max(F.col("shaped") & (F.col("pixels") | F.col("named"))).alias("any_shaped"))
-    proj = declared.join(first, "collection_id", "left").select("collection_id", (F.col("declared") & F.coalesce("any_shaped", F.lit(False)) & ~config.ignore_proj(F.col("collection_id"))).alias("has_proj"))
+    proj = declared.join(first, "collection_id", "left").select("collection_id", "first_seq", (F.col("declared") & F.coalesce("any_shaped", F.lit(False)) & ~config.ignore_proj(F.col("collection_id"))).alias("has_proj"))
     return x.join(proj, "collection_id").where("named OR (pixels AND (shaped OR NOT has_proj))")
 
 
@@ -93,12 +103,16 @@ def bands_table(first: DataFrame, config: MDConfig) -> DataFrame:
     """(collection_id, asset, idx, band_pos, data_type, nodata, unit). An asset named in the settings has one band. Field
     by field: what the settings say of the asset, the document's raster bands, the settings' ``*``, then float32, no
     nodata, unit 1."""
-    table = config.asset_table(first.sparkSession)
     one = F.array(F.struct(*[F.lit(None).cast("string").alias(k) for k in ("data_type", "nodata", "unit")]))
     many = F.when(F.col("named") | F.col("raster_bands").isNull() | (F.size("raster_bands") == 0), one).otherwise(F.col("raster_bands"))
     x = first.select("collection_id", "asset", "item_seq", "asset_pos", "named", F.posexplode(many).alias("i", "b"))
-    x = _configured(table.where("asset <> '*'"), config.known, x.withColumn("_key", F.col("asset")), "exact")
-    x = _configured(table.where("asset = '*'"), config.known, x.withColumn("_key", F.lit("*")), "rest")
+    if config.names_assets():
+        table = config.asset_table(first.sparkSession)
+        x = _configured(table.where("asset <> '*'"), config.known, x.withColumn("_key", F.col("asset")), "exact")
+        x = _configured(table.where("asset = '*'"), config.known, x.withColumn("_key", F.lit("*")), "rest")
+    else:
+        none = F.lit(None).cast("struct<data_type:string,nodata:double,unit:string>")
+        x = x.withColumns({"exact": none, "rest": none})
     pos = F.row_number().over(W.partitionBy("collection_id").orderBy("item_seq", "asset_pos", "i")) - 1
     return x.select(
         "collection_id", "asset", (F.col("i") + 1).alias("idx"), pos.alias("band_pos"),
@@ -110,20 +124,56 @@ def bands_table(first: DataFrame, config: MDConfig) -> DataFrame:
 
 def aliases_table(first: DataFrame, config: MDConfig) -> DataFrame:
     """(collection_id, alias, alias_pos, rank, asset, idx): aliases of the settings first, then those of ``eo:bands``."""
-    eo = first.where("eo_bands IS NOT NULL").select("collection_id", "asset", "asset_pos", F.posexplode("eo_bands").alias("i", "e"))
-    found = alias_choices(eo.select("collection_id", "asset", "asset_pos", (F.col("i") + 1).alias("idx"), "e.name", "e.common_name"))
+    eo = first.where("eo_bands IS NOT NULL").select("collection_id", "asset", "asset_pos", F.when(F.col("item_seq") > F.col("first_seq"), F.col("item_seq")).alias("late"), F.posexplode("eo_bands").alias("i", "e"))
+    found = alias_choices(eo.select("collection_id", "asset", "asset_pos", "late", (F.col("i") + 1).alias("idx"), "e.name", "e.common_name"))
+    if not any(config.of(c).get("aliases") for c in ["*", *config.known]):
+        return found
     table, known = config.alias_table(first.sparkSession), config.known
     ids = first.select("collection_id").distinct().withColumn("_own", F.when(F.col("collection_id").isin(known), F.col("collection_id")) if known else F.lit(None).cast("string"))
     own = ids.join(F.broadcast(table.withColumnRenamed("collection_id", "_c")), F.col("_own").eqNullSafe(F.col("_c"))).select("collection_id", "alias", F.lit(-1).cast("long").alias("alias_pos"), F.lit(0).cast("long").alias("rank"), "asset", "idx")
     return merge_by_precedence(own, found, ["collection_id", "alias"])
 
 
-def grids_table(first: DataFrame) -> DataFrame:
-    """(collection_id, asset, grid_name): named groups of equal grids, or of equal gsd where there is no projection."""
-    with_proj = first.where("has_proj").withColumn("grid", F.when(F.col("proj_shape").isNotNull() & F.col("proj_transform").isNotNull(), asset_grid(F.col("proj_shape"), F.col("proj_transform"), F.col("proj_crs"))))
-    a = name_grids(with_proj.where("grid IS NOT NULL").select("collection_id", "asset", "asset_pos", "grid"))
-    b = name_grids(first.where("NOT has_proj").select("collection_id", "asset", "asset_pos", F.coalesce("gsd", F.lit(0.0)).alias("grid")))
-    return a.select("collection_id", "asset", "grid_name").unionByName(b.select("collection_id", "asset", "grid_name"))
+def late_assets(first: DataFrame) -> DataFrame:
+    """Assets that their collection's first item does not have."""
+    return first.where("item_seq > first_seq")
+
+
+def _grid() -> Column:
+    return F.when(F.col("proj_shape").isNotNull() & F.col("proj_transform").isNotNull(), asset_grid(F.col("proj_shape"), F.col("proj_transform"), F.col("proj_crs")))
+
+
+def grids_table(first: DataFrame, raster: DataFrame) -> DataFrame:
+    """(collection_id, asset, grid_name): named groups of equal grids, or of equal gsd where there is no projection, in
+    the collection's first item. A later asset has the grid of an asset that was known before and that has the same
+    grid in the item where it appears (the last of several), else one of its own, ``grid-<asset>``."""
+    early = first.where("item_seq = first_seq")
+    a = name_grids(early.where("has_proj").withColumn("grid", _grid()).where("grid IS NOT NULL").select("collection_id", "asset", "asset_pos", "grid"))
+    b = name_grids(early.where("NOT has_proj").select("collection_id", "asset", "asset_pos", F.coalesce("gsd", F.lit(0.0)).alias("grid")))
+    base = a.select("collection_id", "asset", "grid_name").unionByName(b.select("collection_id", "asset", "grid_name"))
+    late = late_assets(first).where("has_proj").withColumn("grid", _grid()).where("grid IS NOT NULL").select("collection_id", "asset", "item_seq", "asset_pos", "grid")
+    # the other assets of those items, as far as they were known before
+    seen = first.select("collection_id", F.col("asset").alias("peer"), F.col("item_seq").alias("since"))
+    peers = raster.join(late.select("collection_id", "item_seq").distinct(), ["collection_id", "item_seq"], "left_semi").withColumn("grid", _grid())
+    peers = peers.select("collection_id", "item_seq", F.col("asset").alias("peer"), F.col("asset_pos").alias("peer_pos"), "grid").join(seen, ["collection_id", "peer"])
+    near = late.join(peers, ["collection_id", "item_seq", "grid"]).where("since < item_seq")
+    parent = near.groupBy("collection_id", "asset").agg(F.max_by("peer", "peer_pos").alias("parent"))
+    chain = late.select("collection_id", "asset", "item_seq").join(parent, ["collection_id", "asset"], "left").select("collection_id", "asset", "item_seq", "parent", F.lit(None).cast("string").alias("grid_name"))
+    known = base.select("collection_id", "asset", F.lit(-1).cast("long").alias("item_seq"), F.lit(None).cast("string").alias("parent"), "grid_name")
+    rows = known.unionByName(chain)
+
+    def follow(t: pa.Table) -> pa.Table:
+        """A parent was known before its child, so going by item resolves all; a group is one collection's assets."""
+        names: dict[str, str] = {}
+        t = t.sort_by("item_seq")
+        for asset, parent, name in zip(*(t[c].to_pylist() for c in ("asset", "parent", "grid_name")), strict=True):
+            names[asset] = name or names.get(parent) or f"grid-{asset}"
+        return pa.table([[t["collection_id"][0].as_py()] * len(names), list(names), list(names.values())], names=["collection_id", "asset", "grid_name"])
+
+    # collections without late assets need no following
+    late_ids = chain.select("collection_id").distinct()
+    followed = rows.join(late_ids, "collection_id", "left_semi").groupBy("collection_id").applyInArrow(follow, "collection_id string, asset string, grid_name string")
+    return base.join(late_ids, "collection_id", "left_anti").unionByName(followed)
 
 
 @dataclass
@@ -135,15 +185,27 @@ class Collections:
     bands: DataFrame
     aliases: DataFrame
     grids: DataFrame
+    folder: str | None = None
 
     def settled(self) -> Collections:
-        """The same with what belongs to collections (bands, aliases, grids: as many rows as collections have bands, not
-        items) fetched once, and what belongs to items kept for the plans to come."""
-        local = lambda df: df.sparkSession.createDataFrame(df.collect(), df.schema)
-        return Collections(self.items, self.assets, local(self.bands), local(self.aliases), local(self.grids))
+        """The same with bands, aliases and grids, which every later plan joins, as tables in the shared folder."""
+        folder = f"{shared_dir(self.items.sparkSession)}/collections-{uuid.uuid4().hex}"
+
+        def kept(df: DataFrame, name: str) -> DataFrame:
+            df.write.parquet(f"{folder}/{name}")
+            return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+        return Collections(self.items, self.assets, kept(self.bands, "bands"), kept(self.aliases, "aliases"), kept(self.grids, "grids"), folder)
+
+    def close(self) -> None:
+        """Let go of what ``settled`` wrote and what plans keep."""
+        self.assets.unpersist()
+        self.items.unpersist()
+        if self.folder:
+            remove(self.items.sparkSession, self.folder)
 
     def sources(self, fail_on_error: bool = True) -> DataFrame:
-        """(item_seq, collection_id, asset, idx, band_pos, uri, grid): a source for each band of the schema that an item
+        """(item_seq, collection_id, asset, idx, band_pos, uri, grid, has_proj): a source for each band of the schema that an item
         has. Within an item the assets of one grid name share the grid of the first of them. Relative hrefs are
         completed from the item's own, or fail."""
         null = F.lit(None).cast(GRID)
@@ -157,7 +219,7 @@ class Collections:
         base = F.regexp_extract("item_href", r"^(.*/)", 1)
         bad = F.raise_error(F.concat(F.lit("Relative href without a base: "), F.col("href"))).cast("string")
         uri = F.when(F.col("href").isNull() | (F.col("href") == "") | full, F.col("href")).when(base != "", F.concat(base, F.regexp_replace("href", r"^\./", ""))).otherwise(bad)
-        return named.join(self.bands.select("collection_id", "asset", "idx", "band_pos"), ["collection_id", "asset"]).select("item_seq", "collection_id", "asset", "idx", "band_pos", uri.alias("uri"), "grid")
+        return named.join(self.bands.select("collection_id", "asset", "idx", "band_pos"), ["collection_id", "asset"]).select("item_seq", "collection_id", "asset", "idx", "band_pos", uri.alias("uri"), "grid", "has_proj")
 
 
 def collections_of(items: DataFrame, assets: DataFrame, config: MDConfig | dict | None = None) -> Collections:
@@ -165,4 +227,16 @@ def collections_of(items: DataFrame, assets: DataFrame, config: MDConfig | dict
     config = config if isinstance(config, MDConfig) else MDConfig(config or {})
     raster = keep_raster(assets, items, config).persist()
     first = first_assets(raster)
-    return Collections(items, raster, bands_table(first, config), aliases_table(first, config), grids_table(first))
+    return Collections(items, raster, bands_table(first, config), aliases_table(first, config), grids_table(first, raster))
+
+
+def parse_items(spark: SparkSession, docs, config: MDConfig | dict | None = None) -> Collections:
+    """Items given as documents (dicts, texts) or as a table (item_seq, text), with the schemas of their collections."""
+    texts = docs if isinstance(docs, DataFrame) else stac.items_from(spark, docs)
+    parsed = stac.parse_documents(texts)
+    return collections_of(stac.items_table(parsed), stac.assets_table(parsed), config)
+
+
+def extract_collection_metadata(spark: SparkSession, doc: dict | str, config: MDConfig | dict | None = None) -> Collections:
+    """The schema of a collection as one item of it tells."""
+    return parse_items(spark, [doc], config)

@@ -94,7 +94,9 @@ def tiles_to_rows(tiles: DataFrame, values: str, width: int, *carry: str) -> Dat
 # --- packed tiles
 
 
-TILE = "band string, t_idx long, ty int, tx int, h int, w int, dtype string, data binary"
+#: A packed tile; without ``data`` it is full of ``fill``.
+TILE = "band string, t_idx long, ty int, tx int, h int, w int, dtype string, fill double, data binary"
+TILE_ARROW = pa.schema([("band", pa.string()), ("t_idx", pa.int64()), ("ty", pa.int32()), ("tx", pa.int32()), ("h", pa.int32()), ("w", pa.int32()), ("dtype", pa.string()), ("fill", pa.float64()), ("data", pa.binary())])
 
 
 def fuse_tiles(parts: DataFrame, spine: DataFrame, dtype: str, nodata: float | None) -> DataFrame:
@@ -111,26 +113,26 @@ def fuse_tiles(parts: DataFrame, spine: DataFrame, dtype: str, nodata: float | N
         h, w = r[0]["th"], r[0]["tw"]
         out = kernels.fuse((h, w), dtype, nodata, have)
         first = r[0]
-        return pa.table({k: pa.array([v], a) for (k, a), v in zip(_TILE_ARROW, (first["band"], first["t_idx"], first["ty"], first["tx"], h, w, dtype, kernels.pack(out)), strict=True)})
+        return pa.table([[first["band"]], [first["t_idx"]], [first["ty"]], [first["tx"]], [h], [w], [dtype], [float(fill_of(dtype, nodata))], [kernels.pack(out)]], schema=TILE_ARROW)
 
     return rows.groupBy("band", "t_idx", "ty", "tx").applyInArrow(run, TILE)
 
 
-_TILE_ARROW = [("band", pa.string()), ("t_idx", pa.int64()), ("ty", pa.int32()), ("tx", pa.int32()), ("h", pa.int32()), ("w", pa.int32()), ("dtype", pa.string()), ("data", pa.binary())]
-
-
 def unpack_tiles(tiles: DataFrame, tile: tuple[int, int]) -> DataFrame:
-    """Packed tiles as pixel rows (band, t_idx, y, x, v)."""
+    """Packed tiles as pixel rows (band, t_idx, y, x, v); a tile without data is full of its fill value."""
 
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
-                x = kernels.unpack(r["data"], r["dtype"], r["h"], r["w"])
-                yy, xx = np.divmod(np.arange(x.size), r["w"])
-                yield pa.RecordBatch.from_pydict({
-                    "band": pa.array([r["band"]] * x.size, pa.string()), "t_idx": pa.array(np.full(x.size, r["t_idx"], np.int64)),
-                    "y": pa.array((yy + r["ty"] * tile[0]).astype(np.int32)), "x": pa.array((xx + r["tx"] * tile[1]).astype(np.int32)),
-                    "v": pa.array(x.ravel().astype(np.float64)),
-                })
+                n = r["h"] * r["w"]
+                x = np.full(n, r["fill"]) if r["data"] is None else kernels.unpack(r["data"], r["dtype"], r["h"], r["w"]).ravel()
+                yy, xx = np.divmod(np.arange(n), r["w"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.repeat(pa.scalar(r["band"], pa.string()), n), pa.repeat(pa.scalar(r["t_idx"], pa.int64()), n),
+                        pa.array((yy + r["ty"] * tile[0]).astype(np.int32)), pa.array((xx + r["tx"] * tile[1]).astype(np.int32)), pa.array(x.astype(np.float64)),
+                    ],
+                    names=["band", "t_idx", "y", "x", "v"],
+                )
 
     return tiles.mapInArrow(run, "band string, t_idx long, y int, x int, v double")

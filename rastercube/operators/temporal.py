@@ -3,11 +3,13 @@
 Items are rows with ``item_seq`` (their input position), ``id``, ``ts`` (nominal time) and, for solar days, ``lon``.
 A plane is a group; ``t_idx`` numbers planes by key and ``prio`` orders the items of a plane, the first being on top.
 
-Planes are numbered over the distinct keys, not over the items: a window over all items would be one task.
+Planes are numbered over the distinct keys, by ranges: a window over all items or keys would be one task.
 """
 
 from __future__ import annotations
 
+import inspect
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -31,7 +33,7 @@ def group_key(groupby: Key, lon: float | Column | None = None) -> Column:
     if isinstance(groupby, Column):
         return groupby
     if callable(groupby):
-        return groupby()
+        return groupby() if not inspect.signature(groupby).parameters else called_key(groupby)
     if groupby == "time":
         return F.col("ts")
     if groupby == "solar_day":
@@ -40,6 +42,21 @@ def group_key(groupby: Key, lon: float | Column | None = None) -> Column:
     return property_key(groupby)
 
 
+def called_key(f: Callable) -> Column:
+    """``f(item, parsed, idx)`` as a key: ``item`` is the item's row with ``properties`` as a dict, ``parsed`` the same, ``idx``
+    its input position. Numbers come before texts, each in its own order."""
+
+    @F.udf("struct<number:double,text:string>")
+    def key(row, idx):
+        item = {**row.asDict(), "properties": json.loads(row["properties"] or "{}")}
+        got = f(item, item, idx)
+        number = isinstance(got, int | float) and not isinstance(got, bool)
+        return (float(got), None) if number else (None, None if got is None else str(got))
+
+    row = F.struct("id", "collection_id", "ts", "lon", F.to_json("properties").alias("properties"))
+    return key(row, F.col("item_seq"))
+
+
 def property_key(name: str, properties: str = "properties") -> Column:
     """A property in a form that can be grouped and ordered: numbers before texts, each in its own order."""
     path = "$['" + name.replace("'", "\\'") + "']"
@@ -51,13 +68,22 @@ def property_key(name: str, properties: str = "properties") -> Column:
 def number_planes(items: DataFrame, key: Column) -> DataFrame:
     """``items`` with ``key`` and ``t_idx``: the rank of the key, nulls first, from 0.
 
-    The number of planes is that of distinct keys. Ranks come from a window over those alone; where they are as many as
-    the items (each item a plane of its own), the input position already orders them."""
+    Ranks are over distinct keys, in two steps, as there may be as many as items: keys are dealt out by range, each task
+    numbers its own, and the sizes of the ranges, one row a task, say where each begins."""
     keyed = items.withColumn("key", key)
-    keys = keyed.select("key").distinct()
-    ranks = keys.select("key", (F.row_number().over(W.orderBy(F.col("key").asc_nulls_first())) - 1).cast("long").alias("t_idx"))
-    k = keyed["key"]
-    return keyed.join(ranks.withColumnRenamed("key", "_k"), k.eqNullSafe(F.col("_k"))).drop("_k")
+    ranks = ranked(keyed.select("key").distinct(), F.col("key").asc_nulls_first())
+    return keyed.join(ranks.withColumnRenamed("key", "_k"), keyed["key"].eqNullSafe(F.col("_k"))).drop("_k")
+
+
+def ranked(rows: DataFrame, *order: Column) -> DataFrame:
+    """``rows`` with ``t_idx``, their place in the order from 0. ``monotonically_increasing_id`` over sorted ranges has the
+    range in its upper bits and the place inside it in the lower 33."""
+    at = rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id())
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = at.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    start = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_part", start.alias("_start"))  # a row a task
+    return at.withColumn("_part", part).join(starts, "_part").withColumn("t_idx", F.col("_start") + place).drop("_at", "_part", "_start")
 
 
 def group_items(items: DataFrame, groupby: Key = "time", lon: float | Column | None = None, preserve_order: bool = False) -> DataFrame:
@@ -80,18 +106,22 @@ def planes(grouped: DataFrame) -> DataFrame:
 
 
 def mid_longitude(rings: Column | str) -> Column:
-    """Longitude of the centroid of a polygon given as a ring of (x, y) points, by the shoelace formula; for a ring
-    without area, the mean of its points; null without one."""
-    r = F.col(rings) if isinstance(rings, str) else rings
-    n = F.size(r)
-    pairs = F.zip_with(F.slice(r, 1, n - 1), F.slice(r, 2, n - 1), lambda a, b: F.struct(a["x"].alias("x0"), a["y"].alias("y0"), b["x"].alias("x1"), b["y"].alias("y1")))
-    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("c"))
-    got = F.aggregate(
-        pairs, zero,
-        lambda s, p: F.struct(
-            (s["a"] + p["x0"] * p["y1"] - p["x1"] * p["y0"]).alias("a"),
-            (s["c"] + (p["x0"] + p["x1"]) * (p["x0"] * p["y1"] - p["x1"] * p["y0"])).alias("c"),
-        ),
-    )
-    mean = F.aggregate(r, F.lit(0.0), lambda s, p: s + p["x"]) / n
-    return F.when(n > 0, F.when((n > 2) & (F.abs(got["a"]) > 1e-12), got["c"] / (3 * got["a"])).otherwise(mean))
+    """Longitude of the centroid of polygons given as rings of (x, y) points, by the shoelace formula; for rings without
+    area, the mean of their points; null without any."""
+    rs = F.col(rings) if isinstance(rings, str) else rings
+
+    def sums(r: Column) -> Column:
+        n = F.size(r)
+        pairs = F.zip_with(F.slice(r, 1, n - 1), F.slice(r, 2, n - 1), lambda a, b: F.struct(a["x"].alias("x0"), a["y"].alias("y0"), b["x"].alias("x1"), b["y"].alias("y1")))
+        turn = lambda p: p["x0"] * p["y1"] - p["x1"] * p["y0"]
+        zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("c"))
+        got = F.aggregate(F.when(n > 2, pairs).otherwise(F.slice(pairs, 1, 0)), zero, lambda s, p: F.struct((s["a"] + turn(p)).alias("a"), (s["c"] + (p["x0"] + p["x1"]) * turn(p)).alias("c")))
+        # a ring's direction does not matter: both sums take its sign
+        sign = F.when(got["a"] < 0, -1.0).otherwise(1.0)
+        return F.struct((got["a"] * sign).alias("a"), (got["c"] * sign).alias("c"))
+
+    each = F.transform(F.filter(rs, lambda r: F.size(r) > 0), sums)
+    add = lambda k: F.aggregate(each, F.lit(0.0), lambda s, x: s + x[k])
+    points = F.flatten(rs)
+    mean = F.aggregate(points, F.lit(0.0), lambda s, p: s + p["x"]) / F.size(points)
+    return F.when(F.size(points) > 0, F.when(F.abs(add("a")) > 1e-12, add("c") / (3 * add("a"))).otherwise(mean))

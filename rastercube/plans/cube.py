@@ -8,23 +8,26 @@ lazy. Pixels come from a pixel table or a reader; resampling and fusing run once
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+import struct
+import zlib
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import crs as C
-from ..functions import kernels
-from ..functions.scalar import DTYPES, chunks_of, fill_of, is_float
+from ..functions import kernels, outline
+from ..functions.scalar import DTYPES, chunks_of, fill_of
 from ..operators import bands as B
 from ..operators import binning, grids, temporal
 from ..operators.grids import Grid
 from ..operators.infer import Collections, MDConfig, collections_of
-from ..operators.pixels import TILE, unpack_tiles
-from ..sources import stac
+from ..operators.pixels import TILE, TILE_ARROW, unpack_tiles
+from ..sources import settings, stac, tiff
+from .read import Memory, as_reader, read_onto, source_pixel  # noqa: F401
 
 DEFAULT_TILE = (2048, 2048)
 REGION = ("bbox", "geopolygon", "lon", "lat", "x", "y")
@@ -42,8 +45,9 @@ class LoadPlan:
     spine: DataFrame
     bins: DataFrame
     parts: DataFrame
-    reader: Callable | None = None
+    reader: object | None = None
     collections: Collections | None = None
+    sources: DataFrame | None = None
     notes: dict = field(default_factory=dict)
 
     @property
@@ -58,20 +62,55 @@ class LoadPlan:
         g = self.grid
         return g.f + g.e * (np.arange(g.h) + 0.5), g.c + g.a * (np.arange(g.w) + 0.5)
 
-    def tiles(self) -> DataFrame:
-        """Packed tiles (band, t_idx, ty, tx, h, w, dtype, data) of the whole cube, fill values where nothing is."""
-        if self.reader is None:
-            raise ValueError("No reader for the sources: give load() one")
-        return fuse_sources(self)
+    def tiles(self, dense: bool = True) -> DataFrame:
+        """Packed tiles (band, t_idx, ty, tx, h, w, dtype, fill, data). A tile without any source has no data and stands
+        for its fill value; with ``dense=False`` it is left out."""
+        found = fuse_sources(self)
+        return (found.unionByName(empty_tiles(self)) if dense else found).drop("errors")
 
-    def pixels(self) -> DataFrame:
+    def errors(self) -> DataFrame:
+        """(band, t_idx, ty, tx, error) of sources that were left out, where ``fail_on_error`` is off."""
+        return fuse_sources(self).select("band", "t_idx", "ty", "tx", F.explode("errors").alias("error"))
+
+    def pixels(self, dense: bool = True) -> DataFrame:
         """Rows (band, t_idx, y, x, v)."""
-        return unpack_tiles(self.tiles(), self.tile)
+        return unpack_tiles(self.tiles(dense), self.tile)
 
     def write(self, path: str) -> None:
         """The cube as Parquet, by band and plane."""
         self.tiles().write.mode("overwrite").partitionBy("band", "t_idx").parquet(path)
 
+    def write_images(self, path: str, overviews: tuple[int, ...] = (2, 4)) -> DataFrame:
+        """Each tile with data as a georeferenced TIFF file with overviews, written where it is fused; a table (uri, band,
+        t_idx, ty, tx) of the files. ``path`` is a folder of any of Arrow's file systems that executors share."""
+        grid, tile = self.grid, self.tile
+
+        def run(batches):
+            for b in batches:
+                out = []
+                for r in b.to_pylist():
+                    if r["data"] is None:
+                        continue
+                    here = grid.crop(r["ty"] * tile[0], r["ty"] * tile[0] + r["h"], r["tx"] * tile[1], r["tx"] * tile[1] + r["w"])
+                    uri = f"{path}/{r['band']}-{r['t_idx']}-{r['ty']}-{r['tx']}.tif"
+                    x = kernels.unpack(r["data"], r["dtype"], r["h"], r["w"])
+                    data = tiff.encode([x], here, None if r["fill"] != r["fill"] else r["fill"], overviews=tuple(k for k in overviews if min(x.shape) >= 2 * k))
+                    fs, name = pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
+                    fs.create_dir(name.rpartition("/")[0])
+                    with fs.open_output_stream(name) as f:
+                        f.write(data)
+                    out.append((uri, r["band"], r["t_idx"], r["ty"], r["tx"]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 5, (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["uri", "band", "t_idx", "ty", "tx"])
+
+        return self.tiles(dense=False).mapInArrow(run, "uri string, band string, t_idx long, ty int, tx int")
+
+    def close(self) -> None:
+        """Let go of what the planner kept in memory."""
+        if self.sources is not None:
+            self.sources.unpersist()
+        if self.collections is not None and self.notes.get("own"):
+            self.collections.close()
+
     def explain(self) -> None:
         self.parts.explain("formatted")
 
@@ -181,43 +220,37 @@ def output_grid(spark: SparkSession, items: DataFrame, sources: DataFrame, *, cr
 
 
 def footprints(items: DataFrame, sources: DataFrame, target: Grid | str, *carry: str) -> DataFrame:
-    """(item_seq, *carry, footprint): the outline of an item's finest grid, else its geometry, as a ring of points, in
-    pixels of a grid or in a projection. Series of projections make huge expressions, so numpy does them, item by item."""
+    """(item_seq, *carry, footprint): the outline of an item's finest grid, else of its geometry, as rings of points in
+    pixels of a grid or in a projection; edges that may bend are cut to a part of the outline's size. Series of
+    projections make huge expressions, so numpy does them, a record batch at a time."""
     finest = grids.finest_grids(sources)
     rows = items.select("item_seq", *carry, "geometry").join(finest, "item_seq", "left")
-    schema = f"{rows.drop('geometry', 'grid')._jdf.schema().toDDL()}, footprint array<struct<x:double,y:double>>"
-    t = np.linspace(0, 1, 8, endpoint=False)
-    edge = np.concatenate([np.column_stack(p) for p in ((t, 0 * t), (0 * t + 1, t), (1 - t, 0 * t + 1), (0 * t, 1 - t))])
-    point = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
-
-    def outline(row: dict):
-        g = Grid.of(row["grid"])
-        if g is not None:
-            (x, y), source = g.xy(edge[:, 0] * g.w, edge[:, 1] * g.h), g.crs
-        elif row["geometry"]:
-            ring = np.array([(p["x"], p["y"]) for p in row["geometry"]])
-            x, y = (np.concatenate([(ring[:-1, k, None] + (ring[1:, k] - ring[:-1, k])[:, None] * t).ravel()]) for k in (0, 1))
-            source = "EPSG:4326"
-        else:
-            return None
-        crs = target.crs if isinstance(target, Grid) else target
-        x, y = C.transform(x, y, source, crs)
-        if isinstance(target, Grid):
-            x, y = target.pixel(x, y)
-        return [{"x": a, "y": b} for a, b in zip(x.tolist(), y.tolist(), strict=True)]
+    schema = f"{rows.drop('geometry', 'grid')._jdf.schema().toDDL()}, footprint {outline.RINGS}"
+    crs, pixel = (target.crs, target.pixel) if isinstance(target, Grid) else (target, None)
 
     def run(batches):
         for b in batches:
-            cols = [b.column(n) for n in ("item_seq", *carry)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([outline(r) for r in b.select(["geometry", "grid"]).to_pylist()], point)], names=["item_seq", *carry, "footprint"])
+            got = outline.outlines(b.column("grid"), b.column("geometry"), crs, pixel)
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("item_seq", *carry)), got], names=["item_seq", *carry, "footprint"])
 
     return rows.mapInArrow(run, schema)
 
 
+def image_geometry(items: DataFrame, sources: DataFrame, crs: str) -> DataFrame:
+    """(item_seq, footprint): the outline of an item's finest grid alone, null without one."""
+    return footprints(items.withColumn("geometry", F.lit(None).cast(outline.RINGS)), sources, C.norm_crs(crs))
+
+
+def safe_geometry(items: DataFrame, sources: DataFrame, crs: str) -> DataFrame:
+    """(item_seq, footprint): the outline of an item's finest grid, else its geometry."""
+    return footprints(items, sources, C.norm_crs(crs))
+
+
 def items_bbox(items: DataFrame, sources: DataFrame, crs: str) -> DataFrame:
     """Union box of all footprints in a projection."""
     f = footprints(items, sources, crs)
-    xs, ys = F.transform("footprint", lambda p: p["x"]), F.transform("footprint", lambda p: p["y"])
+    points = F.flatten("footprint")
+    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
     return grids.union_bbox(f.where("footprint IS NOT NULL").select(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1")))
 
 
@@ -227,43 +260,47 @@ def items_bbox(items: DataFrame, sources: DataFrame, crs: str) -> DataFrame:
 def load(
     items, bands=None, *, spark: SparkSession | None = None, groupby="time", resampling=None, dtype=None, chunks: dict | None = None, crs=None, resolution=None, anchor=None, align=None,
     geobox=None, like=None, geopolygon=None, bbox=None, lon=None, lat=None, x=None, y=None, preserve_original_order: bool = False, fail_on_error: bool = True, use_overviews: bool = True,
-    nodata=None, stac_cfg: dict | None = None, patch_url=None, reader: Callable | None = None, measurements=None, output_crs=None, progress=None, pool=None, debug=None, **_,
+    nodata=None, stac_cfg: dict | None = None, patch_url=None, reader=None, measurements=None, output_crs=None, progress=None, pool=None, debug=None, **_,
 ) -> LoadPlan:
     """Plan a cube of pixels. ``items``: documents (dicts or texts), a table (item_seq, text), or ``Collections``.
 
-    ``measurements`` and ``output_crs`` are older names of ``bands`` and ``crs``. ``pool``, ``progress`` and ``debug`` are
-    accepted: Spark schedules, reports and explains by itself."""
+    ``reader``: a reader (see ``plans.read``), the name of a registered one, or None for TIFF files. ``pool``: how many
+    tasks fuse tiles, else Spark's own number. ``measurements`` and ``output_crs`` are older names of ``bands`` and
+    ``crs``. ``progress`` and ``debug`` are accepted: Spark reports and explains by itself.
+
+    One small job settles the bands; a second and third find the grid where it is not given. All else is lazy."""
     bands = bands if bands is not None else measurements
     crs = crs if crs is not None else output_crs
     groupby = "id" if groupby is None else groupby
     spark = spark or SparkSession.active()
-    if isinstance(items, Collections):
-        found = items
-    else:
+    own = not isinstance(items, Collections)
+    if own:
         docs = items if isinstance(items, DataFrame) else list(items)
         if docs.isEmpty() if isinstance(docs, DataFrame) else not docs:
             raise ValueError("Can't load empty sequence")
         parsed = stac.parse_documents(docs if isinstance(docs, DataFrame) else stac.items_from(spark, docs))
-        found = collections_of(stac.items_table(parsed).persist(), stac.assets_table(parsed), MDConfig(stac_cfg or {})).settled()
-    query = B.band_query(spark, bands)
-    resolved = B.resolve_bands(query, found.bands, found.aliases, outer=True)
-    named = resolved.collect()  # as many rows as bands are asked for
-    if any(r.asset is None for r in named):
-        first_collection = found.items.agg(F.min_by("collection_id", "item_seq")).first()[0]
-        if unknown := [r.query for r in named if r.asset is None and r.collection_id == first_collection]:
+        found = collections_of(stac.items_table(parsed).persist(), stac.assets_table(parsed), MDConfig(stac_cfg or {}))
+    else:
+        found = items
+    resolved = B.resolve_bands(B.band_query(spark, bands), found.bands, found.aliases, outer=True)
+    # as many rows as bands are asked for, a collection; and which collection comes first
+    order = found.assets.groupBy("collection_id").agg(F.min("first_seq").alias("first_seq"))
+    named = resolved.join(order, "collection_id", "left").collect()
+    if lost := [r for r in named if r.asset is None]:
+        first = min(named, key=lambda r: (r.first_seq is None, r.first_seq or 0)).collection_id
+        if unknown := [r.query for r in lost if r.collection_id == first]:
             raise ValueError(f"No such band: {', '.join(unknown)}")
     known = sorted((r for r in named if r.asset is not None), key=lambda r: (r.pos, r.collection_id))
-    metas = spark.createDataFrame([(q, *next((r.data_type, r.nodata) for r in known if r.query == q)) for q in dict.fromkeys(r.query for r in known)], "query string, data_type string, nodata double")
-    config = {r.band: r.asDict() for r in B.load_config(metas, resampling=resampling, dtype=dtype, nodata=nodata, use_overviews=use_overviews, fail_on_error=fail_on_error).collect()}
-    resolved = spark.createDataFrame(known, resolved.schema)
-    sources = found.sources(fail_on_error)
-    wanted = sources.join(resolved.select("collection_id", F.col("query").alias("band"), "asset", "idx"), ["collection_id", "asset", "idx"]).persist()
+    options = {"resampling": resampling, "dtype": dtype, "nodata": nodata, "use_overviews": use_overviews, "fail_on_error": fail_on_error}
+    config = {q: B.band_config(q, *next((r.data_type, r.nodata) for r in known if r.query == q), **options) for q in dict.fromkeys(r.query for r in known)}
+    wanted = found.sources(fail_on_error).join(F.broadcast(_rows(spark, known)), ["collection_id", "asset", "idx"])
+    if geobox is None and like is None:
+        wanted = wanted.persist()  # read by the jobs that find the grid, and by the load
     grid = output_grid(spark, found.items, wanted, crs=crs, resolution=resolution, anchor=anchor, align=align, geobox=geobox, like=like, geopolygon=geopolygon, bbox=bbox, lon=lon, lat=lat, x=x, y=y)
     if grid is None:
         raise ValueError("Failed to auto-guess CRS/resolution")
     if patch_url is not None:
-        patch = patch_url(F.col("uri"))
-        wanted = wanted.withColumn("uri", patch if isinstance(patch, Column) else F.udf(patch_url)(F.col("uri")))
+        wanted = B.patch_urls(wanted, patch_url)
     x0, y0, x1, y1 = ring_bbox(C.reproject_ring(box_ring(*grid.bbox()), grid.crs, "EPSG:4326"))
     usable = found.items.where("ts IS NOT NULL") if not fail_on_error else found.items.withColumn("ts", F.coalesce("ts", F.raise_error(F.lit("Item has no timestamp")).cast("timestamp")))
     grouped = temporal.group_items(usable, groupby, lon=(x0 + x1) / 2, preserve_order=preserve_original_order)
@@ -274,8 +311,16 @@ def load(
     binned = binning.bin_items(fp, grid, tile)
     bins = binned.select("t_idx", "ty", "tx", "prio", "item_seq")
     # only what a task needs goes on: no metadata of items, no assets that nobody asked for
-    parts = bins.join(wanted.select("item_seq", "band", "asset", "idx", "uri", "grid"), "item_seq").where(F.col("band").isin(list(config)))
-    return LoadPlan(grid, tile, config, found.items, grouped, spine, bins, parts, reader, found, {"debug": debug})
+    parts = bins.join(wanted.select("item_seq", "band", "asset", "idx", "uri", "grid"), "item_seq")
+    return LoadPlan(grid, tile, config, found.items, grouped, spine, bins, parts, as_reader(settings.reader_for(reader)), found, wanted, {"debug": debug, "pool": pool, "own": own})
+
+
+def _rows(spark: SparkSession, known: list) -> DataFrame:
+    """Which asset and band of a collection each queried band is: rows that the planner holds already."""
+    each = [F.struct(F.lit(r.collection_id).alias("collection_id"), F.lit(r.query).alias("band"), F.lit(r.asset).alias("asset"), F.lit(r.idx).cast("int").alias("idx")) for r in known]
+    if not each:
+        return spark.createDataFrame([], "collection_id string, band string, asset string, idx int")
+    return spark.range(1, numPartitions=1).select(F.inline(F.array(*each)))
 
 
 def chunk_shape(grid: Grid, chunks: dict | None, config: dict) -> tuple[int, int]:
@@ -293,109 +338,56 @@ def chunk_shape(grid: Grid, chunks: dict | None, config: dict) -> tuple[int, int
     return out[0], out[1]
 
 
+#: What may be wrong with a source, besides mistakes in the program.
+SOURCE_ERRORS = (OSError, ValueError, zlib.error, struct.error)
+
+
 def fuse_sources(plan: LoadPlan) -> DataFrame:
-    """Read, resample and fuse: one task's work is one (band, plane, tile) with the sources that meet it."""
+    """Read, resample and fuse the tiles that any source meets: one task's work is one (band, plane, tile)."""
     grid, tile, cfg, reader = plan.grid, plan.tile, plan.config, plan.reader
-    t = plan.grouped.select("t_idx").distinct()
-    names = plan.parts.sparkSession.createDataFrame([(b,) for b in cfg], "band string")
-    # the output's own tiles: every band, plane and tile is a row of the result
-    full = plan.spine.select("ty", "tx", "h", "w").join(F.broadcast(names)).join(t)
-    rows = full.join(plan.parts, ["band", "t_idx", "ty", "tx"], "left")
-    schema = pa.schema([("band", pa.string()), ("t_idx", pa.int64()), ("ty", pa.int32()), ("tx", pa.int32()), ("h", pa.int32()), ("w", pa.int32()), ("dtype", pa.string()), ("data", pa.binary())])
 
     def run(tbl: pa.Table) -> pa.Table:
         r = tbl.sort_by("prio").to_pylist()
         f = r[0]
         c = cfg[f["band"]]
-        out_grid = grid.crop(f["ty"] * tile[0], f["ty"] * tile[0] + f["h"], f["tx"] * tile[1], f["tx"] * tile[1] + f["w"])
-        parts = []
+        y0, x0 = f["ty"] * tile[0], f["tx"] * tile[1]
+        here = grid.crop(y0, min(grid.h, y0 + tile[0]), x0, min(grid.w, x0 + tile[1]))
+        parts, errors = [], []
         for p in r:
-            if p["uri"] is None:
-                continue
             try:
-                got = read_onto(reader, p["uri"], p["idx"], Grid.of(p["grid"]), out_grid, c)
-            except Exception:
+                got = read_onto(reader, p["uri"], p["idx"], Grid.of(p["grid"]), here, c)
+            except SOURCE_ERRORS as e:
                 if c["fail_on_error"]:
                     raise
-                got = None
+                errors.append(f"{p['uri']}: {type(e).__name__}: {e}")
+                continue
             if got is not None:
                 parts.append(got)
-        out = kernels.fuse((f["h"], f["w"]), c["dtype"], c["fill_value"], parts)
-        return pa.table([[f[k]] for k in ("band", "t_idx", "ty", "tx", "h", "w")] + [[c["dtype"]], [kernels.pack(out)]], schema=schema)
-
-    return rows.groupBy("band", "t_idx", "ty", "tx").applyInArrow(run, TILE)
-
-
-def read_onto(reader, uri: str, band: int, grid: Grid | None, out: Grid, cfg: dict) -> tuple[int, int, np.ndarray] | None:
-    """One source on an output grid: (row, column, pixels in the output's type, with its nodata). ``reader(uri, band,
-    level)`` returns (pixels, grid, nodata, overviews), the grid being that of the level.
-
-    Pixels are pasted where grids agree up to whole pixels; the coarsest overview that is still finer than the output
-    is read; else they are resampled."""
-    src, g, file_nodata, overviews = reader(uri, band, None)
-    g = g or grid
-    if g is None:
-        raise ValueError(f"No grid for {uri}")
-    nd = next((v for v in (cfg.get("src_nodata_override"), file_nodata, cfg.get("src_nodata_fallback")) if v is not None), None)
-    dtype = cfg["dtype"]
-    target = cfg["fill_value"] if cfg["fill_value"] is not None else (math.nan if is_float(dtype) else nd)
-    corners = [source_pixel(g, out, px, py) for px in (0, out.w) for py in (0, out.h)]
-    shrink = max((max(p[0] for p in corners) - min(p[0] for p in corners)) / out.w, (max(p[1] for p in corners) - min(p[1] for p in corners)) / out.h)
-    if shrink > 1 and cfg["use_overviews"] and (fit := [(o, i) for i, o in enumerate(overviews or []) if o <= shrink + 1e-6]):
-        src, g, _, _ = reader(uri, band, max(fit)[1])
-    kind = cfg["resampling"]
-    ttol = 0.9 if kind == "nearest" else 0.05
-    (px, py), (qx, qy) = source_pixel(g, out, 0, 0), source_pixel(g, out, out.w, out.h)
-    (rx, ry) = source_pixel(g, out, out.w, 0)
-    same = C.epsg(g.crs) == C.epsg(out.crs) and all(abs(a - b) < 1e-6 * max(out.w, out.h) for a, b in ((qx - px, out.w), (qy - py, out.h), (rx - px, out.w), (ry - py, 0)))
-    if same and abs(px - round(px)) <= ttol / 2 + 1e-9 and abs(py - round(py)) <= ttol / 2 + 1e-9:
-        x, y = round(px), round(py)
-        a, b, c, d = max(y, 0), min(y + out.h, src.shape[0]), max(x, 0), min(x + out.w, src.shape[1])
-        if b <= a or d <= c:
-            return None
-        return a - y, c - x, kernels.remap_nodata(src[a:b, c:d], nd, target, dtype)
-    if kind in kernels.AGGREGATES:
-        cols, rows = np.meshgrid(np.arange(out.w + 1.0), np.arange(out.h + 1.0))
-        v, ok = kernels.reduce_at(src, *source_pixel(g, out, cols, rows), kind, nd)
-    else:
-        cols, rows = np.meshgrid(np.arange(out.w) + 0.5, np.arange(out.h) + 0.5)
-        v, ok = kernels.sample(src, *source_pixel(g, out, cols, rows), kind, nd)
-    if not ok.any():
-        return None
-    if not is_float(dtype) and kind != "nearest":
-        v = np.rint(v)
-    out_pix = kernels.cast(v, dtype)
-    if not ok.all():
-        out_pix = np.where(ok, out_pix, np.array(target if target is not None else fill_of(dtype, None)).astype(dtype))
-    # only the box in which there are pixels counts as this source's
-    ys, xs = np.flatnonzero(ok.any(axis=1)), np.flatnonzero(ok.any(axis=0))
-    return int(ys[0]), int(xs[0]), np.ascontiguousarray(out_pix[ys[0] : ys[-1] + 1, xs[0] : xs[-1] + 1])
-
-
-def source_pixel(source: Grid, out: Grid, px, py):
-    """Pixel coordinates of an output as those of a source."""
-    x, y = out.xy(px, py)
-    if C.epsg(source.crs) != C.epsg(out.crs):
-        x, y = C.transform(np.asarray(x, float), np.asarray(y, float), out.crs, source.crs)
-    return source.pixel(x, y)
-
-
-def memory_reader(rasters: dict[str, tuple]) -> Callable:
-    """A reader over arrays: uri to (pixels or list of bands, grid, nodata); overviews are made by picking pixels."""
-
-    def read(uri: str, band: int, level: int | None):
-        if uri not in rasters:
-            raise FileNotFoundError(uri)
-        pix, g, nodata = rasters[uri]
-        pix = pix if isinstance(pix, list) else [pix]
-        if not 1 <= band <= len(pix):
-            raise ValueError(f"Band {band} of {len(pix)}: {uri}")
-        factors = [k for k in (2, 4, 8) if min(g.h, g.w) >= 2 * k]
-        p = pix[band - 1]
-        if level is not None:
-            k = factors[level]
-            p = p[k // 2 :: k, k // 2 :: k]
-            g = replace(g.zoom_out(k), h=p.shape[0], w=p.shape[1])
-        return p, g, nodata, factors
-
-    return read
+        out = kernels.fuse((here.h, here.w), c["dtype"], c["fill_value"], parts)
+        fill = float(fill_of(c["dtype"], c["fill_value"]))
+        # a tile that no source has a pixel in needs no data
+        data = kernels.pack(out) if parts else None
+        return pa.table([[f["band"]], [f["t_idx"]], [f["ty"]], [f["tx"]], [here.h], [here.w], [c["dtype"]], [fill], [data], [errors or None]], schema=_FUSED)
+
+    parts = plan.parts
+    if plan.notes.get("pool"):
+        parts = parts.repartition(int(plan.notes["pool"]), "band", "t_idx", "ty", "tx")
+    return parts.groupBy("band", "t_idx", "ty", "tx").applyInArrow(run, f"{TILE}, errors array<string>")
+
+
+_FUSED = TILE_ARROW.append(pa.field("errors", pa.list_(pa.string())))
+
+
+def empty_tiles(plan: LoadPlan) -> DataFrame:
+    """The tiles of the cube that no source meets, without data: their number is that of the output's tiles, and they
+    are not shuffled with those that have pixels."""
+    each = [F.struct(F.lit(b).alias("band"), F.lit(c["dtype"]).alias("dtype"), F.lit(float(fill_of(c["dtype"], c["fill_value"]))).alias("fill")) for b, c in plan.config.items()]
+    t = plan.grouped.select("t_idx").distinct()
+    full = plan.spine.select("ty", "tx", "h", "w", F.inline(F.array(*each))).join(t)
+    met = plan.parts.select("band", "t_idx", "ty", "tx").distinct()
+    return full.join(met, ["band", "t_idx", "ty", "tx"], "left_anti").select("band", "t_idx", "ty", "tx", "h", "w", "dtype", "fill", F.lit(None).cast("binary").alias("data"), F.lit(None).cast("array<string>").alias("errors"))
+
+
+def memory_reader(rasters: dict[str, tuple]) -> Memory:
+    """A reader over arrays: uri to (pixels or list of bands, grid, nodata)."""
+    return Memory(rasters)

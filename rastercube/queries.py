@@ -125,7 +125,7 @@ def ring(x0, y0, x1, y1):
 @query(f"WITH {SCENES} SELECT item_seq, round(lon + 1.5, 6) AS mid FROM scenes")
 def mid_longitude(spark, d):
     lon, lat = F.col("lon"), F.col("lat")
-    return scenes(spark, d).select("item_seq", F.round(temporal.mid_longitude(ring(lon, lat, lon + 3, lat + 1)), 6).alias("mid"))
+    return scenes(spark, d).select("item_seq", F.round(temporal.mid_longitude(F.array(ring(lon, lat, lon + 3, lat + 1))), 6).alias("mid"))
 
 
 @query(f"""WITH {SCENES} SELECT item_seq, collection_id, ts, lon, lat FROM scenes
@@ -133,7 +133,7 @@ WHERE collection_id IN ('click', 'view', 'purchase') AND ts >= TIMESTAMP '2024-0
   AND lon + 1 >= -60 AND lon <= 120 AND lat + 1 >= -50 AND lat <= 50 AND CAST(json_extract(props, '$.k') AS DOUBLE) < 50""")
 def search_filter(spark, d):
     lon, lat = F.col("lon"), F.col("lat")
-    x = scenes(spark, d).withColumns({"geometry": ring(lon, lat, lon + 1, lat + 1), "properties": F.parse_json("props")})
+    x = scenes(spark, d).withColumns({"geometry": F.array(ring(lon, lat, lon + 1, lat + 1)), "properties": F.parse_json("props")})
     found = stac.search(x, collections=["click", "view", "purchase"], datetime=("2024-01-05", "2024-01-20 12:00:00"), bbox=(-60, -50, 120, 50), query={"k": {"lt": 50}})
     return found.select("item_seq", "collection_id", "ts", "lon", "lat")
 

@@ -11,11 +11,24 @@ import re
 import time
 from collections.abc import Callable, Mapping
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .tiff import TiffReader
+
+#: Names of settings that hold secrets, and those that belong to a session beside them.
 SECRETS = (
-    "aws_access_key_id", "aws_secret_access_key", "aws_session_token", "fs.s3a.access.key", "fs.s3a.secret.key", "fs.s3a.session.token", "azure_storage_access_key",
-    "azure_storage_account", "azure_storage_sas_token", "gs_access_key_id", "gs_secret_access_key", "oss_access_key_id", "oss_secret_access_key",
+    "AWS_ACCESS_KEY_ID", "AWS_SECRET_ACCESS_KEY", "AWS_SESSION_TOKEN", "AZURE_STORAGE_CONNECTION_STRING", "AZURE_STORAGE_ACCESS_TOKEN",
+    "AZURE_STORAGE_ACCESS_KEY", "AZURE_STORAGE_SAS_TOKEN", "AZURE_SAS", "GS_ACCESS_KEY_ID", "GS_SECRET_ACCESS_KEY", "OSS_ACCESS_KEY_ID",
+    "OSS_SECRET_ACCESS_KEY", "SWIFT_AUTH_TOKEN",
+)
+SESSION = (
+    "AWS_DEFAULT_REGION", "AWS_REGION", "AWS_S3_ENDPOINT", "AWS_NO_SIGN_REQUEST", "AWS_REQUEST_PAYER", "AWS_WEB_IDENTITY_TOKEN_FILE",
+    "AZURE_STORAGE_ACCOUNT", "AZURE_NO_SIGN_REQUEST", "OSS_ENDPOINT", "SWIFT_STORAGE_URL",
 )
-SESSION_KEYS = ("aws_session_token", "fs.s3a.session.token")
+#: The same in the names of Spark's S3 reader.
+S3A_SECRETS = ("fs.s3a.access.key", "fs.s3a.secret.key", "fs.s3a.session.token")
+S3A_SESSION = ("fs.s3a.endpoint", "fs.s3a.endpoint.region", "fs.s3a.requester.pays.enabled")
 CLOUD_DEFAULTS = {"fs.s3a.attempts.maximum": "10", "fs.s3a.retry.limit": "10", "fs.s3a.retry.interval": "500ms", "fs.s3a.experimental.input.fadvise": "random"}
 
 
@@ -75,25 +88,39 @@ def s3_settings(*, profile: str | None = None, region_name: str | None = "auto",
     return {f"spark.hadoop.{k}": v for k, v in (out | more).items()}
 
 
+def _bare(name: str) -> str:
+    return re.sub(r"^spark\.hadoop\.", "", name).upper()
+
+
+_SECRET = {x.upper() for x in (*SECRETS, *S3A_SECRETS)}
+_SESSION = _SECRET | {x.upper() for x in (*SESSION, *S3A_SESSION)}
+
+
 def sanitize(settings: Mapping[str, str], *, no_session_keys: bool = False) -> dict[str, str]:
-    """Settings with secrets masked; with ``no_session_keys`` those of a session are left out."""
-    bare = lambda k: re.sub(r"^spark\.hadoop\.", "", k.lower())
-    return {k: "xx..xx" if bare(k) in SECRETS else v for k, v in settings.items() if not (no_session_keys and bare(k) in SESSION_KEYS)}
+    """Settings with secrets masked; with ``no_session_keys`` all that belong to a session are left out."""
+    return {k: "xx..xx" if _bare(k) in _SECRET else v for k, v in settings.items() if not (no_session_keys and _bare(k) in _SESSION)}
+
+
+def sanitized(settings: DataFrame, *, no_session_keys: bool = False) -> DataFrame:
+    """The same for a table (name, value)."""
+    bare = F.upper(F.regexp_replace("name", r"^spark\.hadoop\.", ""))
+    kept = settings.where(~bare.isin(*sorted(_SESSION))) if no_session_keys else settings
+    return kept.withColumn("value", F.when(bare.isin(*sorted(_SECRET)), "xx..xx").otherwise(F.col("value")))
 
 
-#: Readers of pixels by name of a format; a reader is ``(uri, band, level) -> (pixels, grid, nodata, overviews)``.
-READERS: dict[str, Callable] = {}
+#: Readers of pixels by name of a format (see ``plans.read`` for what a reader is).
+READERS: dict[str, object] = {"tiff": TiffReader()}
 
 
-def register_reader(name: str, reader: Callable) -> None:
+def register_reader(name: str, reader) -> None:
     READERS[name] = reader
 
 
-def reader_for(name: str | Callable | None) -> Callable:
-    """A reader by name, a reader itself, or the one registered as ``default``."""
-    if callable(name):
+def reader_for(name=None):
+    """A reader by name, a reader itself, or that of TIFF files."""
+    if name is not None and not isinstance(name, str):
         return name
     try:
-        return READERS[name or "default"]
+        return READERS[name or "tiff"]
     except KeyError:
-        raise ValueError(f"No reader is registered as {name or 'default'!r}") from None
+        raise ValueError(f"No reader is registered as {name!r}") from None

@@ -3,8 +3,8 @@
 Documents are semi-structured: the raw text is kept beside a VARIANT, and assets are taken from a ``from_json`` map,
 which keeps the order of keys that a VARIANT does not.
 
-``items``  (item_seq, id, collection_id, datetime, start_datetime, end_datetime, ts, geometry, lon, href, properties,
-            has_proj_ext, has_raster_ext)
+``items``  (item_seq, id, collection_id, datetime, start_datetime, end_datetime, ts, geometry (the outer rings of its
+            polygons), lon, href, properties, has_proj_ext, has_raster_ext)
 ``assets`` (item_seq, collection_id, asset_pos, asset, doc VARIANT)
 """
 
@@ -17,11 +17,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalar import is_uuid  # noqa: F401  re-exported for callers of the catalog
-from ..operators.temporal import mid_longitude
+from ..operators.temporal import mid_longitude, ranked
 
+#: Suffixes of files and media types, besides images, that are pixels.
 RASTER_SUFFIX = ("tif", "tiff", "jpeg", "jpg", "jp2", "img", "hdf", "nc", "zarr")
-RASTER_MEDIA = ("application/x-hdf", "application/x-hdf5", "application/hdf", "application/hdf5", "application/x-netcdf", "application/netcdf", "application/vnd+zarr", "application/x-zarr")
+RASTER_MEDIA = ("application/x-hdf", "application/x-hdf5", "application/hdf", "application/hdf5", "application/x-netcdf", "application/netcdf", "application/x-zarr", "application/zarr")
 SAMPLE_TIME = "2020-01-01T00:00:00Z"
 
 
@@ -44,8 +44,7 @@ def sequenced(docs: DataFrame, *order: str) -> DataFrame:
     split = F.when(features["type"] == "FeatureCollection", features["features"]).otherwise(F.array("value"))
     rows = docs.withColumn("f", features).select(*order, "value", F.posexplode(split).alias("pos", "text"))
     # numbers by range of the order: no task holds all documents
-    rows = rows.orderBy(*order, "pos", "text").select("text").withColumn("item_seq", F.monotonically_increasing_id())
-    return rows.select("item_seq", "text")
+    return ranked(rows, *map(F.col, order), F.col("pos"), F.col("text")).select(F.col("t_idx").alias("item_seq"), "text")
 
 
 def items_from(spark: SparkSession, docs: Iterable[dict | str]) -> DataFrame:
@@ -80,12 +79,14 @@ def items_table(parsed: DataFrame) -> DataFrame:
     stamp = lambda k: _stamp(prop(k))
     polygon = F.from_json("d.geometry", GEOMETRY)
     multi = F.from_json("d.geometry", "struct<type:string,coordinates:array<array<array<array<double>>>>>")
-    outer = F.when(polygon["type"] == "Polygon", F.get(polygon["coordinates"], F.lit(0))).when(multi["type"] == "MultiPolygon", F.get(F.get(multi["coordinates"], F.lit(0)), F.lit(0)))
-    ring = F.transform(outer, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    # the outer rings of all polygons
+    outer = F.when(polygon["type"] == "Polygon", F.slice(polygon["coordinates"], 1, 1)).when(multi["type"] == "MultiPolygon", F.transform(multi["coordinates"], lambda p: F.get(p, F.lit(0))))
+    rings = F.transform(F.filter(outer, lambda r: r.isNotNull()), lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
+    rings = F.when(F.size(rings) > 0, rings)
     self_href = F.get(F.filter("d.links", lambda x: x["rel"] == "self"), F.lit(0))["href"]
     rows = parsed.select(
         "item_seq", F.col("d.id").alias("id"), collection.alias("collection_id"), stamp("datetime").alias("datetime"),
-        stamp("start_datetime").alias("start_datetime"), stamp("end_datetime").alias("end_datetime"), ring.alias("geometry"),
+        stamp("start_datetime").alias("start_datetime"), stamp("end_datetime").alias("end_datetime"), rings.alias("geometry"),
         self_href.alias("href"), F.try_variant_get("doc", "$.properties", "variant").alias("properties"),
         extension(F.col("d.stac_extensions"), "projection").alias("has_proj_ext"), extension(F.col("d.stac_extensions"), "raster").alias("has_raster_ext"),
     )
@@ -162,8 +163,9 @@ def search(items: DataFrame, *, collections: list[str] | None = None, datetime:
         items = items.where(F.col("ts") <= F.lit(hi).cast("timestamp")) if hi else items
     if bbox is not None:
         x0, y0, x1, y1 = bbox
-        xs, ys = F.transform("geometry", lambda p: p["x"]), F.transform("geometry", lambda p: p["y"])
-        items = items.where((F.array_max(xs) >= x0) & (F.array_min(xs) <= x1) & (F.array_max(ys) >= y0) & (F.array_min(ys) <= y1))
+        edge = lambda r, k, end: end(F.transform(r, lambda p: p[k]))
+        meets = lambda r: (edge(r, "x", F.array_max) >= x0) & (edge(r, "x", F.array_min) <= x1) & (edge(r, "y", F.array_max) >= y0) & (edge(r, "y", F.array_min) <= y1)
+        items = items.where(F.exists("geometry", meets))  # any of its polygons
     ops = {"eq": lambda a, b: a == b, "neq": lambda a, b: a != b, "lt": lambda a, b: a < b, "lte": lambda a, b: a <= b, "gt": lambda a, b: a > b, "gte": lambda a, b: a >= b}
     for name, tests in (query or {}).items():
         for op, value in tests.items():

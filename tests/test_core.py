@@ -332,7 +332,7 @@ def whole(plan, band="b1", t=0):
     out = np.full((plan.grid.h, plan.grid.w), 0, plan.config[band]["dtype"])
     for r in plan.tiles().where(f"band = '{band}' AND t_idx = {t}").collect():
         y, x = r.ty * plan.tile[0], r.tx * plan.tile[1]
-        out[y : y + r.h, x : x + r.w] = K.unpack(r.data, r.dtype, r.h, r.w)
+        out[y : y + r.h, x : x + r.w] = r.fill if r.data is None else K.unpack(r.data, r.dtype, r.h, r.w)
     return out
 
 
@@ -385,6 +385,7 @@ def test_load_errors_and_policies(spark):
         cube.load([d], spark=spark, reader=cube.memory_reader({})).tiles().collect()
     lenient = cube.load([d], spark=spark, reader=cube.memory_reader({}), fail_on_error=False)
     assert (whole(lenient) == -99).all()
+    assert [(r.band, r.t_idx, "mem://s/b1" in r.error) for r in lenient.errors().collect()] == [("b1", 0, True)]
     patched = cube.load([d], spark=spark, reader=cube.memory_reader({"new/s/b1": r["mem://s/b1"]}), patch_url=lambda u: F.regexp_replace(u, "^mem://", "new/"))
     assert (whole(patched) == 5).all()
 
