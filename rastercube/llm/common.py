@@ -8,6 +8,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 import weakref
 from collections.abc import Callable, Iterable, Iterator
@@ -59,7 +60,8 @@ def materialize(df: DataFrame, name: str, done: Iterable[DataFrame] = ()) -> Dat
 
     The table survives lost executors. The tables ``done``, which only this one needed, are removed once it is written;
     what is left, also of a job that fails, is removed at exit. Spark drops the shuffle files of stages that ended when
-    their plans are collected as garbage, so that is asked for here: else their disk space is held twice.
+    their plans are collected as garbage, so that is asked for here: else their disk space is held twice. The second
+    round frees what the first one let go of.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -69,8 +71,10 @@ def materialize(df: DataFrame, name: str, done: Iterable[DataFrame] = ()) -> Dat
     _tables[out] = path
     drop(*done)
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.1)
     return out
 
 

@@ -12,11 +12,13 @@ position, and the mix is the documents range-sorted by position.
 Inside a source, documents follow a fixed scrambled order of doc_id. Whole passes over the source come first; the rest
 of the target is taken from the front of that order, so that at most one document per source is taken in part.
 
-The cumulative sums are in two levels: sums of 1,024 slices of the scrambled order per source, then running sums
-inside a slice. So a source that holds a third of all rows is 1,024 groups, and no task gets a whole source.
+The cumulative sums are in two levels: sums of slices of the scrambled order per source, then running sums inside a
+slice. There are as many slices as hold ``SLICE`` rows each, so a source that holds a third of all rows is many groups,
+and no task gets a whole source. Schedules are integrated source by source, each over its own demand: training time is
+the share of a source's target that is due, not normalised over sources at each moment. Targets take one row a source.
 
-Cases: a null or blank text has size 0, takes 0 words and is still listed; a null doc_id is ordered first in its
-slice; a null source is a source of its own; repeated rows count as rows each; an empty table gives an empty result;
+Cases: a null or blank text has size 0, takes 0 words and is still listed; a null doc_id is ordered by its size,
+first among equals; a null source is a source of its own; repeated rows count as rows each; an empty table gives an empty result;
 other columns are ignored.
 """
 
@@ -31,7 +33,8 @@ from .common import keyed, materialize, merged, n_words, packed, unpacked
 WEIGHTS = (5, 2, 1)
 #: The ramp of each weight class: heavy sources early, light ones late.
 RAMPS = (0.5, 0.0, -0.5)
-REPEATS, SLICE_BITS = 3, 10
+#: Rows that a slice is meant to have.
+REPEATS, SLICE = 3, 50_000
 _M, _TWO31, _TWO32 = 2654435761, 1 << 31, 1 << 32
 
 
@@ -58,13 +61,15 @@ def _targets(slices: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, *carry: str) -> DataFrame:
     """A row for each row of ``docs``: doc_id, ``carry``, size, source_size, target, taken, n_copies and the training
     positions of its first and last copy (null if it is not taken)."""
-    scrambled = F.pmod(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(_TWO31)) * F.lit(_M), F.lit(_TWO32))
+    scrambled = F.pmod(F.pmod(F.coalesce("doc_id", "size"), F.lit(_TWO31)) * F.lit(_M), F.lit(_TWO32))
     rows = docs.select(
-        "doc_id", *carry, n_words(F.col("text")).alias("size"), scrambled.alias("h"),
+        "doc_id", *carry, n_words(F.col("text")).alias("size"),
         # 't' sorts after every 's...': null last
         F.when(F.col("source").isNull(), "t").otherwise(F.concat(F.lit("s"), "source")).alias("src"),
-    ).withColumn("slice", F.shiftright("h", 32 - SLICE_BITS))
-    rows = materialize(rows, "mix")  # three uses; the texts are read once
+    ).withColumn("h", scrambled)
+    rows = materialize(rows, "mix")  # several uses; the texts are read once
+    bits = min(31, max(0, (rows.count() - 1) // SLICE).bit_length())
+    rows = rows.withColumn("slice", F.shiftright("h", 32 - bits) if bits else F.lit(0).cast("long"))
     slices = rows.groupBy("src", "slice").agg(F.sum("size").alias("words"))
     targets = _targets(slices)
     before = F.coalesce(F.sum("words").over(W.partitionBy("src").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -118,9 +123,10 @@ def _sql_position(copy: str, words: str) -> str:
 
 
 OP8_SQL = f"""
-WITH r AS (SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-  ((((coalesce(doc_id, 0) % {_TWO31}) + {_TWO31}) % {_TWO31}) * {_M}) % {_TWO32} AS h,
-  CASE WHEN source IS NULL THEN 't' ELSE concat('s', source) END AS src FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
+r AS (SELECT doc_id, size,
+  ((((coalesce(doc_id, size) % {_TWO31}) + {_TWO31}) % {_TWO31}) * {_M}) % {_TWO32} AS h,
+  CASE WHEN source IS NULL THEN 't' ELSE concat('s', source) END AS src FROM d),
 s0 AS (SELECT src, sum(size)::BIGINT AS source_size FROM r GROUP BY src),
 s1 AS (SELECT *, (row_number() OVER (ORDER BY src) - 1) % 3 AS k FROM s0),
 s2 AS (SELECT src, source_size, CASE k WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END::DOUBLE AS w,

@@ -91,12 +91,11 @@ def measure(text: str | None) -> tuple[int, ...]:
 def _measure(batch: pa.RecordBatch) -> dict:
     rows = [measure(t if t is None else t.decode()) for t in binaries(batch.column("text"))]
     names = [x.split()[0] for x in MEASURES.split(", ")][1:]
-    return {"doc_id": batch.column("doc_id")} | dict(zip(names, zip(*rows, strict=True) if rows else [[]] * 6, strict=True))
+    return {n: batch.column(n) for n in batch.schema.names} | dict(zip(names, zip(*rows, strict=True) if rows else [[]] * 6, strict=True))
 
 
-def ledger(docs: DataFrame) -> DataFrame:
-    """One row a document: the measurements and ``fail_bits``, bit k being the k-th of RULES. No shuffle."""
-    rows = per_batch(docs.select("doc_id", "text"), _measure, MEASURES)
+def _with_bits(rows: DataFrame) -> DataFrame:
+    """``fail_bits`` from the measurements: each rule is evaluated here and nowhere else."""
     bits = [F.when(F.expr(rule), F.lit(1 << k)).otherwise(F.lit(0)) for k, rule in enumerate(RULES.values())]
     total: Column = bits[0]
     for b in bits[1:]:
@@ -104,6 +103,11 @@ def ledger(docs: DataFrame) -> DataFrame:
     return rows.withColumn("fail_bits", total.cast("long"))
 
 
+def ledger(docs: DataFrame) -> DataFrame:
+    """One row a document: the measurements and ``fail_bits``, bit k being the k-th of RULES. No shuffle."""
+    return _with_bits(per_batch(docs.select("doc_id", "text"), _measure, MEASURES))
+
+
 def apply_policy(ledger: DataFrame, policy: str = "v1") -> DataFrame:
     """The ledger with ``base_failed``, ``kept`` and the policy's name, computed from the bits alone."""
     hit = lambda p: F.col("fail_bits").bitwiseAND(F.lit(mask(p))) != 0
@@ -127,23 +131,14 @@ def ablation(ledger: DataFrame, policy: str = "v1") -> DataFrame:
 
 
 def keep_good(docs: DataFrame, policy: str = "v1") -> DataFrame:
-    """``docs`` without the rows that the policy rejects; all columns stay, rows are judged one by one, no shuffle."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rest = F.struct(*others) if others else F.lit(None).cast("struct<a:int>")
-
-    def run(batches):
-        for b in batches:
-            keep = []
-            for t in binaries(b.column("text")):
-                n, chars, symbols, n_lines, dup, rep = measure(t if t is None else t.decode())
-                row = {"n_words": n, "word_chars": chars, "n_symbols": symbols, "n_lines": n_lines, "n_dup_lines": dup, "n_repeat_words": rep}
-                keep.append(not any(eval(rule, {}, row) for rule in rules))
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    names = {*POLICIES[policy], *POLICIES["base"]}
-    rules = [rule.replace(" AND ", " and ") for name, rule in RULES.items() if name in names]
-    packed = docs.select("doc_id", "text", rest.alias("rest"))
-    return packed.mapInArrow(run, packed.schema).select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"rest.`{c}`") for c in docs.columns])
+    """``docs`` without the rows that the policy rejects by the bits of their ledger; all columns stay, rows are judged one
+    by one, no shuffle."""
+    others = [c for c in docs.columns if c != "text"]
+    packed = docs.select("text", F.struct(*others).alias("rest")) if others else docs.select("text", F.lit(None).cast("struct<a:int>").alias("rest"))
+    measures = MEASURES.partition(", ")[2]
+    rows = per_batch(packed, _measure, f"{packed._jdf.schema().toDDL()}, {measures}")
+    kept = apply_policy(_with_bits(rows), policy).where("kept")
+    return kept.select(*[F.col("text") if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns])
 
 
 def op10_quality_ledger(spark, sf_dir: str) -> DataFrame:

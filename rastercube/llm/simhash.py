@@ -7,10 +7,11 @@ The thresholds come from dynamic programming over estimated candidate counts, an
 Every fingerprint probes, in each partition, its own value and all values within t_i flips against an index of the
 values; candidates are verified on all 64 bits.
 
-Skew: exact copies are one fingerprint, so a group of copies is one node however large it is. A partition value that
-more than ``BUCKET`` fingerprints have, with those that probe it, is not paired up: its members are linked through
-midpoints instead. Two fingerprints are within 2 bits exactly if some 64-bit value is within 1 bit of both, at most 65
-fingerprints share such a value, and each has 65 of them: linear work, no link lost, no cap.
+Skew: exact copies are one fingerprint, so a group of copies is one node however large it is. The members of a partition
+value that more than ``BUCKET`` fingerprints have, with those that probe it, are dealt by the same principle again: what
+differs between two of them lies in the bits outside of the partition, so cut in ``distance`` + 1 they agree in one part
+of these. This goes on until every value has few fingerprints; with five bits left it cannot have more. No link is lost,
+no cap.
 
 Components: alternating large-star and small-star over the links, each round a table in the shared folder.
 
@@ -31,12 +32,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .anchors import mixed
 from .common import binaries, keyed, materialize, per_batch
 
 SHINGLE, DISTANCE, SEED = 3, 2, 42
 #: The largest group of fingerprints with one partition value whose members are compared one with another.
 BUCKET = 32
 BITS = 64
+#: With so few bits left, no more than 2**LEFT fingerprints can have one value.
+LEFT = 5
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -113,13 +117,22 @@ def group_bits(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
 
 
 def disagreement(p: np.ndarray) -> np.ndarray:
-    """Distribution of the number of differing bits of two fingerprints, for bits with these frequencies."""
+    """Distribution of the number of differing bits of two fingerprints, for independent bits with these frequencies."""
     d = np.array([1.0])
     for q in 2 * p * (1 - p):
         d = np.convolve(d, [1 - q, q])
     return d
 
 
+def agreeing_pairs(fps: DataFrame, groups: list[list[int]]) -> list[float]:
+    """For each group of bits, how many pairs of fingerprints agree in all of them: counted, as correlated bits agree far
+    more often than their frequencies tell. Counts are summed up by value, then over the values."""
+    own = F.posexplode(F.array(*[_value(F.col("fp"), g) for g in groups])).alias("g", "value")
+    n = fps.select(own).groupBy("g", "value").count()
+    got = {r.g: r.pairs for r in n.groupBy("g").agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2).alias("pairs")).collect()}
+    return [float(got.get(i) or 0) for i in range(len(groups))]
+
+
 def allocate(cost: list[list[float]], total: int) -> tuple[list[int], float]:
     """Thresholds with the given sum and the least cost; cost[i][t + 1] is that of threshold t in partition i."""
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
@@ -135,21 +148,24 @@ def allocate(cost: list[list[float]], total: int) -> tuple[list[int], float]:
     return ts, c
 
 
-def plan(n: int, both: np.ndarray, distance: int = DISTANCE) -> tuple[list[list[int]], list[int]]:
+def plan(n: int, both: np.ndarray, distance: int = DISTANCE, pairs=None) -> tuple[list[list[int]], list[int]]:
     """Partitions and thresholds with the least estimated work: candidates to verify and values to probe.
 
-    Candidates of a partition at threshold t: n * n / 2 times the chance that two fingerprints differ in at most t of
-    its bits, taken from how often each bit is set. A probed value costs about as much as four candidates."""
-    best = None
+    ``pairs`` (groups of bits) tells how many pairs agree in all bits of each group; candidates at a threshold are those
+    times how much likelier it is, by how often each bit is set, to differ in at most so many bits as in none. Without
+    it, all is taken from the frequencies. A probed value costs about as much as four candidates."""
     p = np.diag(both) / max(n, 1)
-    for parts in range(2, distance + 3):
-        groups = group_bits(n, both, parts)
+    ways = [group_bits(n, both, parts) for parts in range(2, distance + 3)]
+    flat = [g for groups in ways for g in groups]
+    counted = iter(pairs(flat) if pairs else [n * n / 2 * disagreement(p[g])[0] for g in flat])
+    best = None
+    for groups in ways:
         cost = []
         for g in groups:
-            chance = np.cumsum(disagreement(p[g]))
+            chance, same = np.cumsum(disagreement(p[g])), next(counted)
             probes = [n * sum(comb(len(g), k) for k in range(t + 1)) for t in range(distance + 1)]
-            cost.append([0.0] + [n * n / 2 * chance[t] + 4 * probes[t] + n for t in range(distance + 1)])
-        ts, c = allocate(cost, distance - parts + 1)
+            cost.append([0.0] + [same * chance[t] / max(chance[0], 1e-300) + 4 * probes[t] + n for t in range(distance + 1)])
+        ts, c = allocate(cost, distance - len(groups) + 1)
         if best is None or c < best[0]:
             best = (c, groups, ts)
     return best[1], best[2]
@@ -167,38 +183,54 @@ def _flips(bits: list[int], t: int) -> list[int]:
     return [_signed(sum(1 << b for b in c)) for k in range(t + 1) for c in combinations(bits, k)]
 
 
+_KEYED = "k long, used long, fp long"
+
+
+def _dealt_again(batch: pa.RecordBatch, parts: int) -> dict:
+    """Each row once for each of ``parts`` parts of the bits that are not used yet, keyed by its value in that part too."""
+    k, used, fp = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for c in ("k", "used", "fp"))
+    out = []
+    for mask in np.unique(used).tolist():
+        at = used == np.uint64(mask)
+        left = [b for b in range(BITS) if not mask >> b & 1]
+        for j in range(parts):
+            part = sum(1 << b for b in left[j::parts])
+            key = mixed(k[at] + mixed((fp[at] & np.uint64(part)) + np.uint64(j + 1)))
+            out.append((key, np.full(at.sum(), mask | part, np.uint64), fp[at]))
+    cols = [np.concatenate(c).view(np.int64) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
+    return dict(zip(("k", "used", "fp"), cols, strict=True))
+
+
 def links(fps: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
-    """Links (u, v), u < v, over distinct fingerprints ``fp`` that connect exactly those within ``distance`` (2)."""
+    """Links (u, v), u < v, over distinct fingerprints ``fp``: all pairs within ``distance``."""
     n, both = _agreements(fps)
-    groups, ts = plan(n, both, distance)
+    groups, ts = plan(n, both, distance, lambda gs: agreeing_pairs(fps, gs))
     index = probe = None
     for i, (bits, t) in enumerate(zip(groups, ts, strict=True)):
         if t < 0:
             continue
-        own = F.struct(F.lit(i).alias("part"), _value(F.col("fp"), bits).alias("value")).alias("k")
-        a = fps.select(own, "fp")
+        used = F.lit(_signed(sum(1 << b for b in bits))).alias("used")
+        key = lambda v, i=i: F.xxhash64(F.lit(i), v).alias("k")
+        own = _value(F.col("fp"), bits)
+        a = fps.select(key(own), used, "fp")
         flips = F.explode(F.array(*[F.lit(x) for x in _flips(bits, t)]))
-        b = a.withColumn("flip", flips).select(F.struct(F.col("k.part"), F.col("k.value").bitwiseXOR(F.col("flip")).alias("value")).alias("k"), "fp")
+        b = fps.withColumn("flip", flips).select(key(own.bitwiseXOR(F.col("flip"))), used, "fp")
         index = a if index is None else index.unionByName(a)
         probe = b if probe is None else probe.unionByName(b)
-    index, probe = (x.select("k.part", "k.value", "fp") for x in (index, probe))
-    held = index.groupBy("part", "value").count()
-    few, many = held.where(F.col("count").between(2 if max(ts) == 0 else 1, bucket)), held.where(F.col("count") > bucket)
-    key = ["part", "value"]
-    cand = probe.join(few, key).select(*key, F.col("fp").alias("u")).join(index.select(*key, F.col("fp").alias("v")), key)
-    near = cand.where((F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance) & (F.col("u") != F.col("v")))
-    near = near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    crowd = probe.join(many, key).select("fp").distinct()
-    return near.unionByName(midpoint_links(crowd))
-
-
-def midpoint_links(fps: DataFrame) -> DataFrame:
-    """Links that connect fingerprints within 2 bits through the values within 1 bit of each."""
-    around = F.explode(F.array(*[F.lit(_signed(x)) for x in (0, *(1 << b for b in range(BITS)))]))
-    z = fps.withColumn("flip", around).select(F.col("fp").bitwiseXOR(F.col("flip")).alias("z"), "fp")
-    met = z.groupBy("z").agg(F.collect_list("fp").alias("m")).where("size(m) > 1")  # at most 65 members
-    met = met.select(F.array_min("m").alias("u"), F.explode("m").alias("v")).where("u < v")
-    return met.distinct()
+    near = None
+    least = 2 if max(ts) == 0 else 1
+    while True:
+        held = materialize(index.groupBy("k").agg(F.count("*").alias("n"), F.min(F.bit_count("used")).alias("used")), "held")
+        crowded = (F.col("n") > bucket) & (F.col("used") < BITS - LEFT)
+        few, many = held.where(~crowded & (F.col("n") >= least)).select("k"), held.where(crowded).select("k")
+        cand = probe.join(few, "k").select("k", F.col("fp").alias("u")).join(index.select("k", F.col("fp").alias("v")), "k")
+        got = cand.where((F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance) & (F.col("u") != F.col("v")))
+        got = got.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        near = got if near is None else near.unionByName(got)
+        if many.isEmpty():
+            return near.distinct()
+        again = lambda rows: per_batch(rows.join(many, "k").select("k", "used", "fp"), _dealt_again, _KEYED, parts=distance + 1)
+        index, probe = materialize(again(index), "dealt"), materialize(again(probe), "probing")
 
 
 def components(edges: DataFrame) -> DataFrame:

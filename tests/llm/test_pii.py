@@ -69,7 +69,57 @@ def test_whole_names_and_mentions():
         assert ("Dr." in text) == ("Dr." in new) and ("von" in text) == ("von" in new)
     new = replaced("Mr John Smith came. Later Smith and Anna Smith left; Smith's smith stayed.")
     last = re.match(r"Mr \w+ (\w+) came", new)[1]
-    assert new.split(" came. ")[1] == f"Later {last} and Anna {last} left; {last}'s smith stayed."
+    anna = replaced("Mrs Anna Smith").split()[1]
+    assert new.split(" came. ")[1] == f"Later {last} and {anna} {last} left; {last}'s smith stayed."
+
+
+def test_names_without_titles():
+    new = replaced("Mrs Anna Schmidt called. Anna said hi. Schmidt left.")
+    first, last = re.match(r"Mrs (\w+) (\w+) called", new).groups()
+    assert new == f"Mrs {first} {last} called. {first} said hi. {last} left." and first != "Anna" and last != "Schmidt"
+    for text, parts in (
+        ("My name is Priya Patel, write to me", "Priya Patel"), ("Ich heiße Jörg Müller und komme", "Jörg Müller"), ("me llamo Lucía Ortega y vivo", "Lucía Ortega"), ("je m'appelle Amélie Dubois et", "Amélie Dubois"),
+        ("Dear Laura,\nthanks", "Laura"), ("we met Anna Schmidt there", "Anna Schmidt"), ("Name: Peter Novak\nCity", "Peter Novak"), ("Regards,\nDaniel Weber", "Daniel Weber"),
+    ):
+        new = replaced(text)
+        assert not [x for x in parts.split() if x in new], (text, new)
+        assert len(new.split()) == len(text.split())
+    for text in ("Dear reader, the name of the game", "Regards to all", "Die Rose und der Wald", "Anna", "the full name is long"):
+        assert replaced(text) == text, text
+
+
+def test_types_stay_what_they_are():
+    for ip, check in (("192.168.1.1", r"192\.168\."), ("10.1.2.3", r"10\."), ("172.20.1.1", r"172\.(1[6-9]|2\d|3[01])\."), ("127.0.0.1", r"127\.")):
+        new = replaced(f"at {ip} now")[3:-4]
+        assert re.match(check, new) and new != ip
+    assert all(not pii.reserved(list(map(int, S.ip(*f"8.{i}.4.4".split(".")).split(".")))) for i in range(200))
+    assert len({S.ip("192", "168", str(i // 256), str(i % 256)) for i in range(65536)}) == 65536  # all of a range, one to one
+    card = replaced("pay 4111 1111 1111 1111 now").removeprefix("pay ").removesuffix(" now").replace(" ", "")
+    assert card.startswith("411111") and pii.luhn(card[:-1]) == int(card[-1]) and card != "4111111111111111"
+    for i in range(50):
+        a, b = re.match(r"\((\d)\d\d\) (\d)", S.phone(f"(2{i:02d}) 555-0{i:03d}")).groups()
+        assert a in "23456789" and b in "23456789"
+        assert S.phone(f"030 1{i:06d}")[0] == "0" != S.phone(f"030 1{i:06d}")[1]
+
+
+def test_dates_of_birth_and_addresses():
+    for text, shape in (("born on 1980-03-12.", r"born on (19|20)\d\d-\d\d-\d\d\."), ("DOB: 25/12/1975", r"DOB: \d\d/\d\d/(19|20)\d\d"), ("geboren am 3.4.1990 in", r"geboren am \d+\.\d+\.(19|20)\d\d in"), ("née le 07/06/2001", r"née le \d\d/\d\d/(19|20)\d\d")):
+        new = replaced(text)
+        assert re.fullmatch(shape, new) and new != text
+    days = {S.date(str(y), f"{m:02d}", f"{d:02d}") for y in range(1980, 1990) for m in range(1, 13) for d in range(1, 29)}
+    assert len(days) == 10 * 12 * 28 and None not in days
+    for text in ("on 1980-03-12 it rained", "in 12/03/2020"):
+        assert replaced(text) == text
+    for text, kept in (("at 12 Maple Street, ", "Street"), ("Bergmannstraße 14 ist", "straße"), ("14 rue de Rivoli, ", "rue de"), ("Calle Mayor, 7 en", "Calle")):
+        new = replaced(text)
+        assert kept in new and new != text and re.sub(r"\w", "", new) == re.sub(r"\w", "", text), (text, new)
+        assert not [w for w in ("Maple", "Bergmann", "Rivoli", "Mayor") if w in new]
+
+
+def test_query_counts_collisions(spark, tmp_path, make):
+    make([(1, "Mr John Doe, 12.84.156.107", "a"), (2, None, None), (2, "Mr Jane Doe", "b")]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.n_replaced, r.n_collisions) for r in pii.op2_pii_surrogates(spark, str(tmp_path)).collect()}
+    assert got == {(1, 2, 0), (2, 0, 0), (2, 1, 0)}
 
 
 def test_national_telephones():
@@ -90,13 +140,13 @@ def test_coreference_over_formats():
 def test_table(tricky, make):
     text = "ana.34@mail7.example.com +1 (017) 555-7713 4689387053447877 12.84.156.107 Mr John Doe"
     docs = tricky.unionByName(make([(90, text, "a"), (91, text.upper(), "a"), (92, text.replace("ana.34", "ana.35"), None)]))
-    out = pii.pseudonymise(docs)
+    out = pii.pseudonymise(docs, b"test")
     assert out.columns == docs.columns and out.count() == docs.count()
     new = {r.doc_id: r for r in out.collect()}
     old = {r.doc_id: r for r in docs.collect()}
     assert new[3].text == "" and new[4].text is None and new[8].text == old[8].text and new[90]._key == "clash"
     assert new[90].n_chars == len(new[90].text) and new[8].n_chars is None
     assert new[90].text.split()[0] != new[92].text.split()[0] and new[90].text.split()[1:] == new[92].text.split()[1:]
-    assert pii.collisions(pii.found_values(docs)).count() == 0
-    assert pii.pseudonymise(docs.limit(0)).count() == 0
-    assert pii.pseudonymise(docs, count="n").agg({"n": "sum"}).first()[0] == 5 + 4 + 5
+    assert pii.collisions(pii.found_values(docs, b"test")).count() == 0
+    assert pii.pseudonymise(docs.limit(0), b"test").count() == 0
+    assert pii.pseudonymise(docs, b"test", count="n").agg({"n": "sum"}).first()[0] == 5 + 4 + 5
