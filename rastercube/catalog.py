@@ -351,3 +351,275 @@ def masked_settings(spark, d):
 def settings_without_session(spark, d):
     t = table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("value"), F.explode(F.array(*map(F.lit, _SETTINGS))).alias("name"))
     return settings.sanitized(t, no_session_keys=True).select("n_nationkey", "name", "value")
+
+
+# --- loading: scenes of 20 by 20 pixels in a row of overlapping squares, made up by a reader
+
+
+OUT = Grid(40, 120, 10.0, 0.0, 600000.0, 0.0, -10.0, 5000000.0, "EPSG:32633")
+
+
+def value_of(i: int, y, x):
+    """The pixel of scene i at row y, column x: below zero where there is none."""
+    return (i * 7 + y * 3 + x * 5) % 31 - 3
+
+
+class MadeUp:
+    """A reader of scenes whose pixels follow from their number; the last part of a link is that number."""
+
+    def __init__(self, side: int = 20, nodata: float | None = -1.0, res: float = 10.0):
+        self.side, self.nodata, self.res = side, nodata, res
+
+    def grid(self, uri: str) -> Grid:
+        i = int(uri.rsplit("/", 1)[-1])
+        return Grid(self.side, self.side, self.res, 0.0, 600000.0 + (i * 13) % 110 * 10.0 - 50.0, 0.0, -self.res, 5000000.0 - (i * 5) % 30 * 10.0, "EPSG:32633")
+
+    def describe(self, uri: str, band: int):
+        return self.grid(uri), (self.side, self.side), self.nodata, []
+
+    def read(self, uri: str, band: int, level, window):
+        import numpy as np
+
+        y0, y1, x0, x1 = window
+        v = value_of(int(uri.rsplit("/", 1)[-1]), np.arange(y0, y1)[:, None], np.arange(x0, x1)[None, :])
+        return np.where(v < 0, -1, v).astype("int16")
+
+
+def scenes(spark: SparkSession, d: str, reader: MadeUp) -> DataFrame:
+    """(item_seq, text): a scene for each supplier, one a day of a fortnight by its nation."""
+    n = F.col("s_suppkey")
+    r, side = reader.res, reader.side
+    c, f = F.lit(600000.0) + (n * 13) % 110 * 10.0 - 50.0, F.lit(5000000.0) - (n * 5) % 30 * 10.0
+    asset = F.struct(
+        F.concat(F.lit("made://up/"), n.cast("string")).alias("href"), F.lit("image/tiff").alias("type"), F.array(F.lit("data")).alias("roles"), F.lit(32633).alias("proj:epsg"),
+        F.array(F.lit(side), F.lit(side)).alias("proj:shape"), F.array(F.lit(r), F.lit(0.0), c, F.lit(0.0), F.lit(-r), f).alias("proj:transform"),
+        F.array(F.struct(F.lit("int16").alias("data_type"), F.lit(-1.0).alias("nodata"))).alias("raster:bands") if reader.nodata is not None else F.array(F.struct(F.lit("int16").alias("data_type"))).alias("raster:bands"),
+    )
+    stamp = F.date_format(F.timestamp_seconds(F.lit(1577836800) + F.col("s_nationkey") * 86400), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    doc = F.to_json(F.struct(
+        F.lit("Feature").alias("type"), F.concat(F.lit("s"), F.lpad(n.cast("string"), 8, "0")).alias("id"), F.lit("made").alias("collection"), F.array(*map(F.lit, EXTENSIONS)).alias("stac_extensions"),
+        F.struct(stamp.alias("datetime")).alias("properties"), F.struct(asset.alias("b")).alias("assets"),
+    ))
+    return table(spark, d, "supplier").select(n.alias("item_seq"), doc.alias("text"))
+
+
+#: Every scene's pixels on the output's grid, before they are fused.
+_PX = """sc AS (SELECT s_suppkey AS i, dense_rank() OVER (ORDER BY s_nationkey) - 1 AS t_idx, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS prio, (s_suppkey * 13) % 110 - 5 AS ox, (s_suppkey * 5) % 30 AS oy FROM supplier),
+px AS (SELECT i, t_idx, prio, oy + y AS y, ox + x AS x, (i * 7 + y * 3 + x * 5) % 31 - 3 AS v FROM sc, range(0, 20) a(y), range(0, 20) b(x) WHERE oy + y < 40 AND ox + x BETWEEN 0 AND 119),
+sp AS (SELECT t_idx, y, x FROM (SELECT DISTINCT t_idx FROM sc), range(0, 40) a(y), range(0, 120) b(x))"""
+
+
+@query(f"WITH {_PX}, m AS (SELECT t_idx, y, x, arg_min(v, prio) AS v FROM px WHERE v >= 0 GROUP BY ALL) SELECT 'b' AS band, t_idx, y, x, coalesce(v, -1)::DOUBLE AS v FROM sp LEFT JOIN m USING (t_idx, y, x)")
+def load_mosaic(spark, d):
+    """A whole load: planes by time, tiles, windows read and pasted, first valid pixel, fill values."""
+    plan = cube.load(scenes(spark, d, MadeUp()), "b", spark=spark, groupby="time", geobox=OUT, chunks={"y": 16, "x": 50}, reader=MadeUp())
+    return plan.pixels().select("band", "t_idx", F.col("y").cast("long"), F.col("x").cast("long"), "v")
+
+
+@query(f"""WITH {_PX}, bn AS (SELECT i, t_idx, prio, ty, tx FROM sc, range(0, 3) a(ty), range(0, 3) b(tx) WHERE oy < least(40, ty * 16 + 16) AND oy + 20 > ty * 16 AND ox < least(120, tx * 50 + 50) AND ox + 20 > tx * 50),
+f AS (SELECT t_idx, ty, tx, arg_min(i, prio) AS i FROM bn GROUP BY ALL), m AS (SELECT px.t_idx, px.y, px.x, greatest(px.v, -1) AS v FROM px JOIN f ON f.i = px.i AND f.t_idx = px.t_idx AND f.ty = px.y // 16 AND f.tx = px.x // 50)
+SELECT t_idx, y, x, coalesce(v, 0)::DOUBLE AS v FROM sp LEFT JOIN m USING (t_idx, y, x)""")
+def load_without_nodata(spark, d):
+    """Integers without nodata: only the first source of a tile counts."""
+    r = MadeUp(nodata=None)
+    plan = cube.load(scenes(spark, d, r), spark=spark, groupby="time", geobox=OUT, chunks={"y": 16, "x": 50}, reader=r)
+    return plan.pixels().select("t_idx", F.col("y").cast("long"), F.col("x").cast("long"), "v")
+
+
+def _blocks(agg: str, kind: str) -> str:
+    return f"""WITH {_PX}, k AS (SELECT t_idx, prio, y // 2 AS y, x // 2 AS x, {agg} AS v FROM px WHERE v >= 0 GROUP BY ALL), m AS (SELECT t_idx, y, x, arg_min(v, prio) AS v FROM k GROUP BY ALL)
+SELECT t_idx, y, x, round(v::DOUBLE, 4) AS v FROM m"""
+
+
+def _load_coarse(spark, d, kind: str) -> DataFrame:
+    half = Grid(20, 60, 20.0, 0.0, 600000.0, 0.0, -20.0, 5000000.0, "EPSG:32633")
+    plan = cube.load(scenes(spark, d, MadeUp()), "b", spark=spark, groupby="time", geobox=half, chunks={"y": 8, "x": 25}, reader=MadeUp(), resampling=kind, dtype="float64", nodata=float("nan"))
+    px = plan.pixels(dense=False).where(~F.isnan("v"))
+    return px.select("t_idx", F.col("y").cast("long"), F.col("x").cast("long"), F.round("v", 4).alias("v"))
+
+
+@query(_blocks("avg(v)", "average"))
+def load_average(spark, d):
+    """Packed tiles resampled by average of the source pixels whose centres lie in an output pixel."""
+    return _load_coarse(spark, d, "average")
+
+
+@query(_blocks("max(v)", "max"))
+def load_max(spark, d):
+    return _load_coarse(spark, d, "max")
+
+
+@query(_blocks("sqrt(avg(v * v))", "rms"))
+def load_rms(spark, d):
+    return _load_coarse(spark, d, "rms")
+
+
+@query(_blocks("quantile_disc(v, 0.25)", "q1"))
+def load_quartile(spark, d):
+    return _load_coarse(spark, d, "q1")
+
+
+@query(f"WITH {_PX}, bn AS (SELECT t_idx, ty, tx, string_agg(i, ',' ORDER BY prio) AS items FROM sc, range(0, 3) a(ty), range(0, 3) b(tx) WHERE oy < least(40, ty * 16 + 16) AND oy + 20 > ty * 16 AND ox < least(120, tx * 50 + 50) AND ox + 20 > tx * 50 GROUP BY ALL) SELECT t_idx, ty, tx, items FROM bn")
+def load_parts(spark, d):
+    """Which sources a load will read for each tile, in order."""
+    plan = cube.load(scenes(spark, d, MadeUp()), "b", spark=spark, groupby="time", geobox=OUT, chunks={"y": 16, "x": 50}, reader=MadeUp())
+    x = plan.parts.groupBy("t_idx", "ty", "tx").agg(F.sort_array(F.collect_list(F.struct("prio", "item_seq"))).alias("p"))
+    return x.select("t_idx", F.col("ty").cast("long"), F.col("tx").cast("long"), F.array_join(F.transform("p", lambda p: p["item_seq"].cast("string")), ",").alias("items"))
+
+
+@query("SELECT 'EPSG:32633' AS crs, 10.0::DOUBLE AS res, (600000 + min((s_suppkey * 13) % 110 * 10 - 50))::DOUBLE AS c, (5000000 - min((s_suppkey * 5) % 30 * 10))::DOUBLE AS f, ((max((s_suppkey * 13) % 110) - min((s_suppkey * 13) % 110)) + 20)::BIGINT AS w, ((max((s_suppkey * 5) % 30) - min((s_suppkey * 5) % 30)) + 20)::BIGINT AS h FROM supplier")
+def load_auto_grid(spark, d):
+    """The output grid when none is asked for: the items' own projection and resolution over all their outlines."""
+    g = cube.load(scenes(spark, d, MadeUp()), "b", spark=spark, reader=MadeUp()).grid
+    return spark.range(1).select(F.lit(g.crs).alias("crs"), F.lit(g.a).alias("res"), F.lit(g.c).alias("c"), F.lit(g.f).alias("f"), F.lit(g.w).cast("long").alias("w"), F.lit(g.h).cast("long").alias("h"))
+
+
+# --- grids, projections, geometry
+
+
+_REGIONS = {
+    "bbox": {"bbox": (10.0, 20.0, 11.0, 22.0), "crs": 4326, "resolution": 0.5}, "lonlat": {"lon": (11.0, 10.0), "lat": (22.0, 20.0), "crs": 4326, "resolution": 0.5},
+    "xy": {"x": (105.0, 1.0), "y": (7.0, 99.0), "crs": "EPSG:3857", "resolution": 10}, "center": {"x": (105.0, 1.0), "y": (7.0, 99.0), "crs": "EPSG:3857", "resolution": 10, "anchor": "center"},
+    "align": {"x": (105.0, 1.0), "y": (7.0, 99.0), "crs": "EPSG:3857", "resolution": 10, "align": 2.0}, "tuple": {"bbox": (10.0, 20.0, 11.0, 22.0), "crs": 4326, "resolution": (0.25, -0.5)},
+    "polygon": {"geopolygon": {"type": "Polygon", "coordinates": [[[10.2, 20.1], [10.9, 20.3], [10.5, 21.8], [10.2, 20.1]]]}, "crs": 4326, "resolution": 0.5},
+    "geobox": {"geobox": OUT}, "like": {"like": OUT},
+}
+
+
+@query("""SELECT * FROM (VALUES ('bbox', 4, 2, 10.0::DOUBLE, 22.0::DOUBLE, 0.5::DOUBLE, -0.5::DOUBLE), ('lonlat', 4, 2, 10.0, 22.0, 0.5, -0.5), ('xy', 10, 11, 0.0, 100.0, 10.0, -10.0), ('center', 11, 11, -5.0, 105.0, 10.0, -10.0),
+('align', 11, 12, -8.0, 102.0, 10.0, -10.0), ('tuple', 4, 4, 10.0, 22.0, 0.25, -0.5), ('polygon', 4, 2, 10.0, 22.0, 0.5, -0.5), ('geobox', 40, 120, 600000.0, 5000000.0, 10.0, -10.0), ('like', 40, 120, 600000.0, 5000000.0, 10.0, -10.0)) t(name, h, w, c, f, a, e)""")
+def output_grids(spark, d):
+    """The planner's grid for each way to ask for one."""
+    rows = []
+    for name, args in _REGIONS.items():
+        g = cube.output_grid(spark, None, None, **args)
+        rows.append((name, g.h, g.w, g.c, g.f, g.a, g.e))
+    return spark.createDataFrame(rows, "name string, h int, w int, c double, f double, a double, e double")
+
+
+@query("SELECT s_suppkey, round(6378137.0::DOUBLE * ((s_suppkey * 37) % 360 - 180) * (pi() / 180), 3) AS x, round(6378137.0::DOUBLE * ln(tan(pi() / 4 + ((s_suppkey * 17) % 160 - 80) * (pi() / 360))), 3) AS y FROM supplier")
+def mercator(spark, d):
+    """Degrees to a spherical Mercator projection."""
+    n = F.col("s_suppkey")
+    x, y = C.transform(((n * 37) % 360 - 180).cast("double"), ((n * 17) % 160 - 80).cast("double"), "EPSG:4326", "EPSG:3857")
+    return table(spark, d, "supplier").select("s_suppkey", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+
+
+@query("SELECT s_suppkey, code, ((s_suppkey * 7) % 40 + 110)::DOUBLE AS lon, (-((s_suppkey * 3) % 30) - 10)::DOUBLE AS lat FROM supplier, (VALUES (3857), (32750), (3577), (6933), (3031)) t(code)")
+def projections_there_and_back(spark, d):
+    """Each projection and its inverse return the place."""
+    n = F.col("s_suppkey")
+    lon, lat = ((n * 7) % 40 + 110).cast("double"), (-((n * 3) % 30) - 10).cast("double")
+    out = None
+    for code in (3857, 32750, 3577, 6933, 3031):
+        x, y = C.projection(code).inverse(*C.projection(code).forward(lon, lat))
+        part = table(spark, d, "supplier").select("s_suppkey", F.lit(code).alias("code"), F.round(x, 6).alias("lon"), F.round(y, 6).alias("lat"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("SELECT i AS id, concat('EPSG:', CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END + floor((lon + 180) / 6)::INT + 1) AS crs FROM (SELECT i, (i * 6 - 177)::DOUBLE AS lon, (i % 7 - 3)::DOUBLE AS lat FROM range(0, 60) t(i))")
+def utm_zones(spark, d):
+    """Symbolic projections become the zone of a box."""
+    rows = [(i, C.pick_crs("utm", (i * 6 - 178.0, i % 7 - 4.0, i * 6 - 176.0, i % 7 - 2.0))) for i in range(60)]
+    return spark.createDataFrame(rows, "id long, crs string")
+
+
+@query(f"WITH {ITEMS} SELECT item_seq, 2.0::DOUBLE AS area FROM it WHERE item_seq % 11 <> 0 AND item_seq % 5 <> 0")
+def outline_areas(spark, d):
+    """Outlines of geometries, in degrees, and their areas."""
+    i = stac.items_table(stac.parse_documents(documents(spark, d))).where("item_seq % 5 <> 0")
+    none = spark.createDataFrame([], f"item_seq long, band_pos int, grid {grids.GRID}")
+    g = cube.safe_geometry(i, none, "EPSG:4326").where("footprint IS NOT NULL")
+    r = F.col("footprint")[0]
+    nxt = F.concat(F.slice(r, 2, F.size(r) - 1), F.slice(r, 1, 1))
+    area = F.abs(F.aggregate(F.zip_with(r, nxt, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]), F.lit(0.0), lambda s, v: s + v)) / 2
+    return g.select("item_seq", F.round(area, 6).alias("area"))
+
+
+@query(f"WITH {ITEMS} SELECT item_seq, (item_seq * 1000)::DOUBLE AS x0, 5000000.0 - 10 * (100 + item_seq % 2)::DOUBLE AS y0, (item_seq * 1000 + 1000)::DOUBLE AS x1, 5000000.0::DOUBLE AS y1 FROM it")
+def image_outlines(spark, d):
+    """The outline of each item's finest grid."""
+    f = found(spark, d)
+    g = cube.image_geometry(f.items, f.sources().where("asset = 'red'"), "EPSG:32633")
+    xs, ys = (F.transform(F.col("footprint")[0], lambda p: p[k]) for k in "xy")
+    return g.select("item_seq", F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
+
+
+@query("SELECT p_partkey, (p_partkey % 100)::DOUBLE AS x0, (p_size)::DOUBLE AS y0, 1 AS h, 1 AS w, (p_size + 1)::DOUBLE AS a, -(2.0 + p_size % 3)::DOUBLE AS e FROM part")
+def one_pixel_grids(spark, d):
+    n, s = F.col("p_partkey"), F.col("p_size")
+    x, y = (n % 100).cast("double"), s.cast("double")
+    box = F.struct(x.alias("x0"), y.alias("y0"), (x + s + 1).alias("x1"), (y + 2.0 + s % 3).alias("y1"))
+    g = grids.one_pixel(box, F.lit("EPSG:4326"))
+    return table(spark, d, "part").select("p_partkey", g["c"].alias("x0"), (g["f"] + g["e"]).alias("y0"), g["h"].alias("h"), g["w"].alias("w"), g["a"].alias("a"), g["e"].alias("e"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 255 WHEN p_size % 3 = 1 THEN 0 ELSE CASE WHEN p_size % 2 = 0 THEN -5 END END::DOUBLE AS source, coalesce(CASE WHEN p_size % 5 = 0 THEN 7 END, CASE WHEN p_size % 3 <> 2 THEN 0 END, -1)::DOUBLE AS target_int, CASE WHEN p_size % 5 = 0 THEN 7 ELSE 1e300 END::DOUBLE AS target_float FROM part")
+def nodata_rules(spark, d):
+    """Which nodata a source has, and which its output."""
+    s = F.col("p_size")
+    file, override, fallback = F.when(s % 3 == 1, 0.0), F.when(s % 3 == 0, 255.0), F.when(s % 2 == 0, -5.0)
+    fill = F.when(s % 5 == 0, 7.0)
+    src = S.source_nodata(file, fallback, override)
+    as_int = F.coalesce(S.output_nodata("int16", fill, F.when(s % 3 != 2, 0.0)), F.lit(-1.0))
+    as_float = S.output_nodata("float32", fill, src)
+    return table(spark, d, "part").select("p_partkey", src.alias("source"), as_int.alias("target_int"), F.when(F.isnan(as_float), 1e300).otherwise(as_float).alias("target_float"))
+
+
+_TIF = Grid(8, 8, 30.0, 0.0, 1000.0, 0.0, -30.0, 2000.0, "EPSG:32755")
+
+
+@query("SELECT vec_id, (i - 1) // 8 AS y, (i - 1) % 8 AS x, floor(embedding[i] * 100)::INT AS v, 30.0::DOUBLE AS res, 'EPSG:32755' AS crs, -999.0::DOUBLE AS nodata FROM embeddings, range(1, 65) t(i) WHERE (i - 1) // 8 BETWEEN 2 AND 6 AND (i - 1) % 8 BETWEEN 1 AND 7")
+def tiff_windows(spark, d):
+    """Rasters written as TIFF files into a binary column, and a window of each read back."""
+    import io
+
+    import numpy as np
+    import pyarrow as pa
+
+    from .sources import tiff
+
+    class Bytes(io.BytesIO):
+        def read_at(self, n, at):
+            self.seek(at)
+            return self.read(n)
+
+    def write(batches):
+        for b in batches:
+            out = []
+            for k, e in zip(b.column("vec_id").to_pylist(), b.column("embedding").to_pylist(), strict=True):
+                x = np.floor(np.array(e, np.float32) * np.float32(100)).astype("int16").reshape(8, 8)
+                out.append(tiff.encode([x[::-1], x], _TIF, -999.0, tile=16 if k % 2 else None, predictor=2 if k % 3 else 1, compression=tiff.DEFLATE if k % 5 else tiff.NONE, planar=bool(k % 7)))
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(out, pa.binary())], names=["vec_id", "media"])
+
+    def read(batches):
+        for b in batches:
+            rows = []
+            for k, m in zip(b.column("vec_id").to_pylist(), b.column("media").to_pylist(), strict=True):
+                f = Bytes(m)
+                r = tiff.describe(f)
+                x = tiff.read_window(f, r, 2, None, (2, 7, 1, 8))
+                rows += [(k, y + 2, c + 1, int(x[y, c]), r.grid.a, r.grid.crs, r.nodata) for y in range(5) for c in range(7)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.string(), pa.float64()), strict=True)], names=["vec_id", "y", "x", "v", "res", "crs", "nodata"])
+
+    files = table(spark, d, "embeddings").select(F.col("vec_id").cast("long"), "embedding").mapInArrow(write, "vec_id long, media binary")
+    return files.mapInArrow(read, "vec_id long, y long, x long, v int, res double, crs string, nodata double")
+
+
+@query("SELECT o_orderkey, 1.0 * o_totalprice AS elapsed, round(46.0 / o_totalprice, 9) AS mps, round(46.0 / o_totalprice / 4, 9) AS per_thread FROM orders")
+def bench_samples(spark, d):
+    """Timed runs with what follows from their times."""
+    o = table(spark, d, "orders").select("o_orderkey", F.lit(46_000_000).alias("npix"), F.lit(4).alias("n_threads"), F.lit(0.0).alias("t0"), F.lit(0.5).alias("t1"), F.col("o_totalprice").alias("t2"))
+    r = report.collate(o)
+    return r.select("o_orderkey", "elapsed", F.round("throughput_mps", 9).alias("mps"), F.round("throughput_mps_per_thread", 9).alias("per_thread"))
+
+
+@query("SELECT t_idx, prio, item_seq FROM (SELECT event_id AS item_seq, dense_rank() OVER (ORDER BY event_type) - 1 AS t_idx, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id::VARCHAR, event_id) - 1 AS prio FROM events)")
+def group_by_function(spark, d):
+    """Groups by what a function of an item and its place returns."""
+    from .operators import temporal
+    from .queries import scenes as event_scenes
+
+    x = event_scenes(spark, d).withColumn("properties", F.parse_json("props"))
+    return temporal.group_items(x, lambda item, parsed, idx: item["collection_id"]).select("t_idx", "prio", "item_seq")

@@ -92,3 +92,55 @@ def outlines(grid: pa.StructArray, rings: pa.ListArray, target_crs: str, pixel_o
     if not made:
         return pa.nulls(n, ARROW)
     return pa.concat_arrays(made).take(pa.array(index, mask=index < 0))
+
+
+#: Part of a pixel by which an outline may reach over a tile's edge without meeting the tile.
+TOUCH = 1e-9
+
+
+def tiles_met(rings: pa.ListArray, h: int, w: int, tile: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, ty and tx of each tile of an output of h by w pixels that the outline of a row meets, once. The outline is
+    rings of points in pixels; touching edges do not count. As ``operators.binning.bin_items`` does for columns."""
+    ny, nx = -(-h // tile[0]), -(-w // tile[1])
+    rows, tys, txs = [], [], []
+    points = rings.flatten().flatten()
+    px, py = points.field("x").to_numpy(zero_copy_only=False), points.field("y").to_numpy(zero_copy_only=False)
+    ends = rings.flatten().value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(ends)])
+    at = 0
+    for row, n in enumerate(rings.value_lengths().to_pylist()):
+        met = []
+        for k in range(at, at + (n or 0)):
+            x, y = px[ends[k] : ends[k + 1]], py[ends[k] : ends[k + 1]]
+            if len(x) and np.isfinite(x).all() and np.isfinite(y).all():
+                met.append(_ring_tiles(x, y, h, w, tile, ny, nx))
+        at += n or 0
+        if met:
+            cells = met[0] if len(met) == 1 else np.unique(np.concatenate(met))
+            rows.append(np.full(len(cells), row))
+            tys.append(cells // nx)
+            txs.append(cells % nx)
+    join = lambda xs: np.concatenate([np.zeros(0, np.int64), *xs])
+    return join(rows), join(tys), join(txs)
+
+
+def _ring_tiles(x: np.ndarray, y: np.ndarray, h: int, w: int, tile: tuple[int, int], ny: int, nx: int) -> np.ndarray:
+    lo = lambda v, size: max(0, int(np.floor(v.min() / size + TOUCH)))
+    hi = lambda v, size, n: min(n - 1, int(np.ceil(v.max() / size - TOUCH)) - 1)
+    a, b, c, d = lo(y, tile[0]), hi(y, tile[0], ny), lo(x, tile[1]), hi(x, tile[1], nx)
+    if a > b or c > d:
+        return np.zeros(0, np.int64)
+    ty, tx = (v.ravel() for v in np.meshgrid(np.arange(a, b + 1), np.arange(c, d + 1), indexing="ij"))
+    x1, y1 = np.roll(x, -1), np.roll(y, -1)
+    if len(x) != 4 or not ((x == x1) | (y == y1)).all():  # not a rectangle along the axes: the separating axes of its edges
+        cx = np.stack([tx * tile[1], tx * tile[1], np.minimum(w, (tx + 1) * tile[1]), np.minimum(w, (tx + 1) * tile[1])])
+        cy = np.stack([ty * tile[0], np.minimum(h, (ty + 1) * tile[0]), ty * tile[0], np.minimum(h, (ty + 1) * tile[0])])
+        apart = np.zeros(len(tx), bool)
+        for p, q, r, s in zip(x.tolist(), y.tolist(), x1.tolist(), y1.tolist(), strict=True):
+            length = abs(r - p) + abs(s - q)
+            if length > 0:
+                own, box = (r - p) * (y - q) - (s - q) * (x - p), (r - p) * (cy - q) - (s - q) * (cx - p)
+                tol = length * 1e-7
+                apart |= ((own.min() >= -tol) & (box.max(axis=0) <= tol)) | ((own.max() <= tol) & (box.min(axis=0) >= -tol))
+        ty, tx = ty[~apart], tx[~apart]
+    return ty * nx + tx

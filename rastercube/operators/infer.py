@@ -18,7 +18,7 @@ from ..sources.scratch import remove, shared_dir
 from ..sources import stac
 from ..sources.stac import is_raster
 from .bands import alias_choices, merge_by_precedence
-from .grids import GRID, asset_grid, name_grids
+from .grids import GRID, asset_grid
 
 
 @dataclass
@@ -145,35 +145,46 @@ def _grid() -> Column:
 
 def grids_table(first: DataFrame, raster: DataFrame) -> DataFrame:
     """(collection_id, asset, grid_name): named groups of equal grids, or of equal gsd where there is no projection, in
-    the collection's first item. A later asset has the grid of an asset that was known before and that has the same
-    grid in the item where it appears (the last of several), else one of its own, ``grid-<asset>``."""
-    early = first.where("item_seq = first_seq")
-    a = name_grids(early.where("has_proj").withColumn("grid", _grid()).where("grid IS NOT NULL").select("collection_id", "asset", "asset_pos", "grid"))
-    b = name_grids(early.where("NOT has_proj").select("collection_id", "asset", "asset_pos", F.coalesce("gsd", F.lit(0.0)).alias("grid")))
-    base = a.select("collection_id", "asset", "grid_name").unionByName(b.select("collection_id", "asset", "grid_name"))
-    late = late_assets(first).where("has_proj").withColumn("grid", _grid()).where("grid IS NOT NULL").select("collection_id", "asset", "item_seq", "asset_pos", "grid")
-    # the other assets of those items, as far as they were known before
-    seen = first.select("collection_id", F.col("asset").alias("peer"), F.col("item_seq").alias("since"))
-    peers = raster.join(late.select("collection_id", "item_seq").distinct(), ["collection_id", "item_seq"], "left_semi").withColumn("grid", _grid())
-    peers = peers.select("collection_id", "item_seq", F.col("asset").alias("peer"), F.col("asset_pos").alias("peer_pos"), "grid").join(seen, ["collection_id", "peer"])
-    near = late.join(peers, ["collection_id", "item_seq", "grid"]).where("since < item_seq")
-    parent = near.groupBy("collection_id", "asset").agg(F.max_by("peer", "peer_pos").alias("parent"))
-    chain = late.select("collection_id", "asset", "item_seq").join(parent, ["collection_id", "asset"], "left").select("collection_id", "asset", "item_seq", "parent", F.lit(None).cast("string").alias("grid_name"))
-    known = base.select("collection_id", "asset", F.lit(-1).cast("long").alias("item_seq"), F.lit(None).cast("string").alias("parent"), "grid_name")
-    rows = known.unionByName(chain)
-
-    def follow(t: pa.Table) -> pa.Table:
-        """A parent was known before its child, so going by item resolves all; a group is one collection's assets."""
-        names: dict[str, str] = {}
-        t = t.sort_by("item_seq")
-        for asset, parent, name in zip(*(t[c].to_pylist() for c in ("asset", "parent", "grid_name")), strict=True):
-            names[asset] = name or names.get(parent) or f"grid-{asset}"
-        return pa.table([[t["collection_id"][0].as_py()] * len(names), list(names), list(names.values())], names=["collection_id", "asset", "grid_name"])
-
-    # collections without late assets need no following
-    late_ids = chain.select("collection_id").distinct()
-    followed = rows.join(late_ids, "collection_id", "left_semi").groupBy("collection_id").applyInArrow(follow, "collection_id string, asset string, grid_name string")
-    return base.join(late_ids, "collection_id", "left_anti").unionByName(followed)
+    the collection's first item (as ``grids.name_grids`` does for tables). A later asset has the grid of an asset that was
+    known before and that has the same grid in the item where it appears (the last of several), else one of its own,
+    ``grid-<asset>``. One shuffle: only items in which an asset turns up go on, and a group is one collection's assets."""
+    needed = first.select("collection_id", "item_seq").distinct()
+    rows = raster.join(needed, ["collection_id", "item_seq"], "left_semi")
+    rows = rows.select("collection_id", "item_seq", "asset_pos", "asset", "first_seq", "has_proj", F.coalesce("gsd", F.lit(0.0)).alias("gsd"), F.when(F.col("has_proj"), _grid()).alias("grid"))
+    return rows.groupBy("collection_id").applyInArrow(_name_collection, "collection_id string, asset string, grid_name string")
+
+
+def _name_collection(t: pa.Table) -> pa.Table:
+    rows = t.sort_by([("item_seq", "ascending"), ("asset_pos", "ascending")]).to_pylist()
+    for r in rows:
+        r["key"] = r["gsd"] if not r["has_proj"] else None if r["grid"] is None else tuple(r["grid"].values())
+        r["size"] = r["gsd"] if not r["has_proj"] or r["grid"] is None else min(abs(r["grid"]["a"]), abs(r["grid"]["e"]))
+    start = rows[0]["first_seq"]
+    groups: dict = {}
+    for r in rows:
+        if r["item_seq"] == start and r["key"] is not None:
+            groups.setdefault(r["key"], []).append(r)
+    names: dict[str, str] = {}
+    taken: set[str] = set()
+    best = min(groups.values(), key=lambda g: (-len(g), g[0]["size"], g[0]["asset_pos"]), default=None)
+    for g in groups.values():
+        plain = f"g{g[0]['size']:g}"
+        name = "default" if g is best else plain if plain not in taken else f"{plain}-{g[0]['asset']}"
+        if g is not best:
+            taken.add(plain)
+        names |= {r["asset"]: name for r in g}
+    seen = {r["asset"] for r in rows if r["item_seq"] == start}
+    later: dict[int, list] = {}
+    for r in rows:
+        if r["item_seq"] > start:
+            later.setdefault(r["item_seq"], []).append(r)
+    for item in later.values():
+        known = {r["key"]: names[r["asset"]] for r in item if r["asset"] in names and r["key"] is not None}
+        new = [r for r in item if r["asset"] not in seen]
+        if item[0]["has_proj"]:
+            names |= {r["asset"]: known.get(r["key"], f"grid-{r['asset']}") for r in new if r["key"] is not None}
+        seen |= {r["asset"] for r in new}
+    return pa.table([[rows[0]["collection_id"]] * len(names), list(names), list(names.values())], names=["collection_id", "asset", "grid_name"])
 
 
 @dataclass
@@ -226,7 +237,7 @@ def collections_of(items: DataFrame, assets: DataFrame, config: MDConfig | dict
     """Schemas of all collections of ``items`` and ``assets``."""
     config = config if isinstance(config, MDConfig) else MDConfig(config or {})
     raster = keep_raster(assets, items, config).persist()
-    first = first_assets(raster)
+    first = first_assets(raster).persist()  # a row for each asset of a collection; bands, aliases and grids read it
     return Collections(items, raster, bands_table(first, config), aliases_table(first, config), grids_table(first, raster))
 
 

@@ -236,6 +236,22 @@ def footprints(items: DataFrame, sources: DataFrame, target: Grid | str, *carry:
     return rows.mapInArrow(run, schema)
 
 
+def item_tiles(grouped: DataFrame, sources: DataFrame, grid: Grid, tile: tuple[int, int]) -> DataFrame:
+    """(t_idx, ty, tx, prio, item_seq): the tiles of the output that the outline of each item meets."""
+    carry = ("t_idx", "prio", "item_seq")
+    rows = grouped.select(*carry, "geometry").join(grids.finest_grids(sources), "item_seq", "left").select(*carry, "geometry", "grid")
+    schema = pa.schema([("t_idx", pa.int64()), ("ty", pa.int32()), ("tx", pa.int32()), ("prio", pa.int64()), ("item_seq", pa.int64())])
+
+    def run(batches):
+        for b in batches:
+            got = outline.outlines(b.column("grid"), b.column("geometry"), grid.crs, grid.pixel)
+            row, ty, tx = outline.tiles_met(got, grid.h, grid.w, tile)
+            t, prio, seq = (b.column(c).take(pa.array(row)) for c in carry)
+            yield pa.RecordBatch.from_arrays([t, pa.array(ty, pa.int32()), pa.array(tx, pa.int32()), prio, seq], schema=schema)
+
+    return rows.mapInArrow(run, "t_idx long, ty int, tx int, prio long, item_seq long")
+
+
 def image_geometry(items: DataFrame, sources: DataFrame, crs: str) -> DataFrame:
     """(item_seq, footprint): the outline of an item's finest grid alone, null without one."""
     return footprints(items.withColumn("geometry", F.lit(None).cast(outline.RINGS)), sources, C.norm_crs(crs))
@@ -307,9 +323,7 @@ def load(
     tile = chunk_shape(grid, chunks, config)
     spine = binning.tile_spine(spark, grid, tile)
 
-    fp = footprints(grouped, wanted, grid, "t_idx", "prio")
-    binned = binning.bin_items(fp, grid, tile)
-    bins = binned.select("t_idx", "ty", "tx", "prio", "item_seq")
+    bins = item_tiles(grouped, wanted, grid, tile)
     # only what a task needs goes on: no metadata of items, no assets that nobody asked for
     parts = bins.join(wanted.select("item_seq", "band", "asset", "idx", "uri", "grid"), "item_seq")
     return LoadPlan(grid, tile, config, found.items, grouped, spine, bins, parts, as_reader(settings.reader_for(reader)), found, wanted, {"debug": debug, "pool": pool, "own": own})

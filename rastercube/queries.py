@@ -141,12 +141,13 @@ def search_filter(spark, d):
 # --- assets
 
 PAGES = """p AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN concat(url, '.TIF') WHEN 1 THEN concat(url, '.jp2') ELSE url END AS href,
-  CASE page_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'IMAGE/tiff; profile=x' WHEN 3 THEN 'text/html' ELSE 'application/x-hdf5' END AS media_type,
+  list_extract([NULL, 'image/jpeg', 'IMAGE/tiff; profile=x', 'text/html', 'application/x-hdf', 'application/x-hdf5', 'application/hdf', 'application/hdf5', 'application/x-netcdf', 'application/netcdf', 'application/x-zarr', 'application/zarr', 'application/vnd+zarr'], (page_id % 13 + 1)::INT) AS media_type,
   CASE page_id % 4 WHEN 0 THEN NULL WHEN 1 THEN ['data'] WHEN 2 THEN ['thumbnail', 'x'] ELSE ['metadata'] END AS roles FROM pages)"""
+MEDIA = ["image/jpeg", "IMAGE/tiff; profile=x", "text/html", "application/x-hdf", "application/x-hdf5", "application/hdf", "application/hdf5", "application/x-netcdf", "application/netcdf", "application/x-zarr", "application/zarr", "application/vnd+zarr"]
 IS_RASTER = """CASE WHEN media_type IS NULL THEN CASE WHEN coalesce(list_contains(roles, 'data'), false) THEN true WHEN coalesce(list_contains(roles, 'metadata'), false) THEN false
   ELSE lower(list_extract(string_split(href, '.'), -1)) IN ('tif', 'tiff', 'jpeg', 'jpg', 'jp2', 'img', 'hdf', 'nc', 'zarr') END
   WHEN lower(trim(split_part(media_type, ';', 1))) LIKE 'image/%' THEN NOT coalesce(list_has_any(roles, ['thumbnail', 'overview']), false)
-  ELSE lower(trim(split_part(media_type, ';', 1))) IN ('application/x-hdf', 'application/x-hdf5', 'application/hdf', 'application/netcdf') END"""
+  ELSE lower(trim(split_part(media_type, ';', 1))) IN ('application/x-hdf', 'application/x-hdf5', 'application/hdf', 'application/hdf5', 'application/x-netcdf', 'application/netcdf', 'application/x-zarr', 'application/zarr') END"""
 
 
 def page_assets(spark, d) -> DataFrame:
@@ -155,7 +156,7 @@ def page_assets(spark, d) -> DataFrame:
     arr = lambda *v: F.array(*map(F.lit, v))
     return table(spark, d, "pages").select(
         n, pick(3, F.concat("url", F.lit(".TIF")), F.concat("url", F.lit(".jp2")), F.col("url")).alias("href"),
-        pick(5, F.lit(None).cast("string"), F.lit("image/jpeg"), F.lit("IMAGE/tiff; profile=x"), F.lit("text/html"), F.lit("application/x-hdf5")).alias("media_type"),
+        pick(13, F.lit(None).cast("string"), *map(F.lit, MEDIA)).alias("media_type"),
         F.when(n % 4 == 1, arr("data")).when(n % 4 == 2, arr("thumbnail", "x")).when(n % 4 == 3, arr("metadata")).alias("roles"),
     )
 
@@ -165,12 +166,6 @@ def raster_predicate(spark, d):
     return page_assets(spark, d).select("page_id", stac.is_raster().alias("is_raster"))
 
 
-@query("SELECT page_id, concat('https://mirror.example.org/', regexp_replace(url, '^https?://', '')) AS uri FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, url FROM pages WHERE page_id % 2 = 1")
-def patch_urls(spark, d):
-    edited = F.concat(F.lit("https://mirror.example.org/"), F.regexp_replace("url", "^https?://", ""))
-    return table(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 2 == 0, edited).otherwise(F.col("url")).alias("uri"))
-
-
 def part_assets(spark, d) -> tuple[DataFrame, DataFrame]:
     """Parts as assets: a brand is a collection with one item, a part an asset."""
     p = table(spark, d, "part")
@@ -195,15 +190,6 @@ def proj_fallback(spark, d):
     return infer.keep_raster(a, i, infer.MDConfig()).select("collection_id", "asset", "has_proj")
 
 
-@query("""WITH p AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'uint16' WHEN 1 THEN 'uint8' END AS dt, CASE p_size % 5 WHEN 0 THEN '0' WHEN 1 THEN 'nan' WHEN 2 THEN '-999.5' WHEN 3 THEN 'x' END AS nd FROM part)
-SELECT p_partkey, coalesce(dt, 'float32') AS data_type, CASE WHEN nd = 'nan' THEN 1e300 ELSE TRY_CAST(nd AS DOUBLE) END AS nodata FROM p""")
-def band_defaults(spark, d):
-    p = table(spark, d, "part")
-    n = F.col("p_size")
-    nd = F.when(n % 5 == 0, "0").when(n % 5 == 1, "nan").when(n % 5 == 2, "-999.5").when(n % 5 == 3, "x").try_cast("double")
-    return p.select("p_partkey", F.coalesce(F.when(n % 4 == 0, "uint16").when(n % 4 == 1, "uint8"), F.lit("float32")).alias("data_type"), F.when(F.isnan(nd), 1e300).otherwise(nd).alias("nodata"))
-
-
 # bands: parts of a brand are assets with p_size % 3 + 1 bands; the type is an alias
 
 BANDS = """b AS (SELECT p_brand AS collection_id, concat('a', p_partkey) AS asset, i AS idx, p_partkey * 4 + i AS band_pos FROM part, range(1, 4) t(i) WHERE i <= p_size % 3 + 1),
@@ -253,13 +239,6 @@ def band_resolve_outer(spark, d):
     return got.select("collection_id", F.col("pos").cast("long"), "query", "asset", F.col("idx").cast("long"))
 
 
-@query(f"WITH {BANDS} SELECT collection_id, asset, idx::BIGINT AS idx FROM b WHERE asset LIKE '%7' AND NOT EXISTS (SELECT 1 FROM part WHERE p_size > 25 AND concat('a', p_partkey) = asset)")
-def new_assets_anti(spark, d):
-    bands = part_bands(spark, d)[0].where("asset LIKE '%7'")
-    known = table(spark, d, "part").where("p_size > 25").select(F.concat(F.lit("a"), "p_partkey").alias("asset"))
-    return bands.join(known, "asset", "left_anti").select("collection_id", "asset", F.col("idx").cast("long"))
-
-
 @query("""SELECT p_partkey, CASE p_brand WHEN 'Brand#11' THEN 'mode' WHEN 'Brand#12' THEN 'sum' ELSE 'nearest' END AS resampling,
 CASE p_brand WHEN 'Brand#13' THEN 'int16' WHEN 'Brand#14' THEN 'float64' ELSE 'uint16' END AS dtype, CASE WHEN p_brand = 'Brand#11' THEN -1 ELSE 7 END::DOUBLE AS fill_value FROM part""")
 def wildcard_cfg(spark, d):
@@ -317,18 +296,6 @@ def bbox_union(spark, d):
     return grids.union_bbox(x, ["collection_id"])
 
 
-@query(f"""WITH {SCENES} SELECT collection_id, floor(min(lon + 0.3) / 0.5 + 1e-6) * 0.5 AS x, ceil(max(lat + 1.7) / 0.5 - 1e-6) * 0.5 AS y,
-(ceil(max(lon + 2.3) / 0.5 - 1e-6) - floor(min(lon + 0.3) / 0.5 + 1e-6))::BIGINT AS w, (ceil(max(lat + 1.7) / 0.5 - 1e-6) - floor(min(lat + 0.7) / 0.5 + 1e-6))::BIGINT AS h FROM scenes GROUP BY collection_id""")
-def output_grid(spark, d):
-    lon, lat = F.col("lon"), F.col("lat")
-    boxes = scenes(spark, d).select("collection_id", (lon + 0.3).alias("x0"), (lat + 0.7).alias("y0"), (lon + 2.3).alias("x1"), (lat + 1.7).alias("y1"))
-    rows = []
-    for r in grids.union_bbox(boxes, ["collection_id"]).collect():  # one row a collection: the planner's own step
-        g = grids.from_bbox((r.x0, r.y0, r.x1, r.y1), "EPSG:4326", 0.5)
-        rows.append((r.collection_id, g.c, g.f, g.w, g.h))
-    return spark.createDataFrame(rows, "collection_id string, x double, y double, w long, h long")
-
-
 @query("""SELECT p_partkey, CASE WHEN f < 1e-3 OR 1 - f < 1e-3 THEN 0.0 WHEN abs(f - 0.5) < 1e-3 THEN 0.5 ELSE round(f, 6) END::DOUBLE AS anchor
 FROM (SELECT p_partkey, (-(p_size / 8.0::DOUBLE)) - floor(-(p_size / 8.0::DOUBLE)) AS f FROM part)""")
 def grid_anchor(spark, d):
@@ -502,28 +469,6 @@ def dataset_uuid5(spark, d):
     return x.select("event_id", products.dataset_uuid("auto").alias("uuid"))
 
 
-@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'eo:platform' WHEN 1 THEN 'dtr:start_datetime' ELSE 'other' END AS name, event_type AS value FROM events")
-def property_rename(spark, d):
-    n = F.col("event_id") % 3
-    p = F.create_map(F.when(n == 0, "platform").when(n == 1, "start_datetime").otherwise("other"), F.col("event_type"))
-    return table(spark, d, "events").select("event_id", F.explode(products.rename_properties(p)).alias("name", "value"))
-
-
-@query("""WITH a AS (SELECT p_brand, p_partkey, p_size % 3 + 1 AS n FROM part)
-SELECT p_brand AS collection_id, string_agg(CASE WHEN n = 1 THEN concat('a', p_partkey) ELSE concat('a', p_partkey, '_', i) END, ',' ORDER BY p_partkey, i) AS names FROM a, range(1, 4) t(i) WHERE i <= n GROUP BY p_brand""")
-def product_doc(spark, d):
-    bands, aliases = part_bands(spark, d)
-    p = products.products(infer.Collections(None, None, bands, aliases, None))
-    return p.select("collection_id", F.array_join(F.transform("measurements", lambda m: m["name"]), ",").alias("names"))
-
-
-@query("SELECT p_brand AS collection_id, concat('a', p_partkey) AS asset, string_agg(i, ',' ORDER BY i) AS bands FROM part, range(1, 4) t(i) WHERE i <= p_size % 3 + 1 GROUP BY ALL")
-def assets_group(spark, d):
-    b = part_bands(spark, d)[0]
-    idx = F.transform(F.sort_array(F.collect_list("idx")), lambda i: i.cast("string"))
-    return b.groupBy("collection_id", "asset").agg(F.array_join(idx, ",").alias("bands"))
-
-
 @query("SELECT c_nationkey::BIGINT AS k, printf('%g', sum(c_acctbal)) AS g, printf('%g', count(*) * 10.0::DOUBLE) AS n FROM customer GROUP BY c_nationkey")
 def short_numbers(spark, d):
     x = table(spark, d, "customer").groupBy(F.col("c_nationkey").cast("long").alias("k")).agg(F.sum("c_acctbal").alias("s"), F.count("*").alias("c"))

@@ -1,5 +1,6 @@
 """Operators on metadata and pixels, with literal expectations."""
 
+import json
 import math
 import random
 import uuid
@@ -422,7 +423,8 @@ def test_schema_from_items(spark):
     assert src[0, "B01", 1].uri == "http://h/x/b1.tif" and src[0, "visual", 2].uri == "http://h/x/v.tif" and src[0, "B04", 1].uri == "http://h/b4.tif"
     assert Grid.of(src[1, "B05", 1].grid) == g60 and (0, "B05", 1) not in src
     p = products.products(found).first()
-    assert [m.name for m in p.measurements] == ["visual_1", "visual_2", "B04", "B01", "SCL", "B05"]
+    assert [json.loads(m)["name"] for m in p.measurements] == ["visual", "visual_2", "B04", "B01", "SCL", "B05"]
+    assert json.loads(p.product)["metadata_type"] == "eo3" and json.loads(p.measurements[1])["band"] == 2
     ds = {r.item_seq: r for r in products.datasets(found).collect()}
     assert ds[0].id == str(uuid.uuid5(S.NAMESPACE, "c\ni1\n")) and '"g60"' in ds[0].dataset and "dtr:start_datetime" in ds[1].dataset
 
@@ -460,12 +462,13 @@ def test_settings():
     s = settings.s3_settings(env={"AWS_NO_SIGN_REQUEST": "YES", "AWS_REGION": "xx-1"}, requester_pays=True)
     assert s["spark.hadoop.fs.s3a.endpoint.region"] == "xx-1" and "Anonymous" in s["spark.hadoop.fs.s3a.aws.credentials.provider"]
     s = settings.s3_settings(env={}, credentials={"key": "K", "secret": "S", "token": "T"})
-    masked = settings.sanitize(s, no_session_keys=True)
-    assert masked["spark.hadoop.fs.s3a.secret.key"] == "xx..xx" and not any("session" in k for k in masked)
+    assert settings.sanitize(s)["spark.hadoop.fs.s3a.secret.key"] == "xx..xx"
+    assert not any("session" in k or "secret" in k for k in settings.sanitize(s, no_session_keys=True))
+    assert settings.sanitize({"AZURE_SAS": "s", "swift_auth_token": "t", "AZURE_STORAGE_ACCOUNT": "a"}) == {"AZURE_SAS": "xx..xx", "swift_auth_token": "xx..xx", "AZURE_STORAGE_ACCOUNT": "a"}
     waits = []
     assert settings.with_retry(lambda: 7 if len(waits) == 3 else None, sleep=waits.append) == 7 and waits[2] > waits[0]
-    settings.register_reader("default", max)
-    assert settings.reader_for(None) is max
+    settings.register_reader("mine", max)
+    assert settings.reader_for("mine") is max and hasattr(settings.reader_for(None), "describe")
     with pytest.raises(ValueError):
         settings.find_region({})
 
