@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions import crs as C
 from .functions import scalar as S
 from .operators import bands as B
-from .operators import grids, infer, pixels
+from .operators import grids, infer
 from .operators.grids import Grid
 from .plans import cube, products, report
 from .queries import query, table
@@ -480,19 +480,19 @@ def load_auto_grid(spark, d):
 _REGIONS = {
     "bbox": {"bbox": (10.0, 20.0, 11.0, 22.0), "crs": 4326, "resolution": 0.5}, "lonlat": {"lon": (11.0, 10.0), "lat": (22.0, 20.0), "crs": 4326, "resolution": 0.5},
     "xy": {"x": (105.0, 1.0), "y": (7.0, 99.0), "crs": "EPSG:3857", "resolution": 10}, "center": {"x": (105.0, 1.0), "y": (7.0, 99.0), "crs": "EPSG:3857", "resolution": 10, "anchor": "center"},
-    "align": {"x": (105.0, 1.0), "y": (7.0, 99.0), "crs": "EPSG:3857", "resolution": 10, "align": 2.0}, "tuple": {"bbox": (10.0, 20.0, 11.0, 22.0), "crs": 4326, "resolution": (0.25, -0.5)},
+    "tuple": {"bbox": (10.0, 20.0, 11.0, 22.0), "crs": 4326, "resolution": (0.25, -0.5)},
     "polygon": {"geopolygon": {"type": "Polygon", "coordinates": [[[10.2, 20.1], [10.9, 20.3], [10.5, 21.8], [10.2, 20.1]]]}, "crs": 4326, "resolution": 0.5},
     "geobox": {"geobox": OUT}, "like": {"like": OUT},
 }
 
 
-@query("""SELECT * FROM (VALUES ('bbox', 4, 2, 10.0::DOUBLE, 22.0::DOUBLE, 0.5::DOUBLE, -0.5::DOUBLE), ('lonlat', 4, 2, 10.0, 22.0, 0.5, -0.5), ('xy', 10, 11, 0.0, 100.0, 10.0, -10.0), ('center', 11, 11, -5.0, 105.0, 10.0, -10.0),
-('align', 11, 12, -8.0, 102.0, 10.0, -10.0), ('tuple', 4, 4, 10.0, 22.0, 0.25, -0.5), ('polygon', 4, 2, 10.0, 22.0, 0.5, -0.5), ('geobox', 40, 120, 600000.0, 5000000.0, 10.0, -10.0), ('like', 40, 120, 600000.0, 5000000.0, 10.0, -10.0)) t(name, h, w, c, f, a, e)""")
+@query("""SELECT * FROM (VALUES ('bbox', 4, 2, 10.0::DOUBLE, 22.0::DOUBLE, 0.5::DOUBLE, -0.5::DOUBLE), ('lonlat', 4, 2, 10.0, 22.0, 0.5, -0.5), ('xy', 10, 11, 0.0, 100.0, 10.0, -10.0), ('center', 10, 11, -5.0, 105.0, 10.0, -10.0),
+('tuple', 4, 4, 10.0, 22.0, 0.25, -0.5), ('polygon', 4, 2, 10.0, 22.0, 0.5, -0.5), ('geobox', 40, 120, 600000.0, 5000000.0, 10.0, -10.0), ('like', 40, 120, 600000.0, 5000000.0, 10.0, -10.0)) t(name, h, w, c, f, a, e)""")
 def output_grids(spark, d):
     """The planner's grid for each way to ask for one."""
-    rows = []
+    rows, none = [], spark.createDataFrame([], f"item_seq long, band_pos int, grid {grids.GRID}")
     for name, args in _REGIONS.items():
-        g = cube.output_grid(spark, None, None, **args)
+        g = cube.output_grid(spark, none, none, **args)
         rows.append((name, g.h, g.w, g.c, g.f, g.a, g.e))
     return spark.createDataFrame(rows, "name string, h int, w int, c double, f double, a double, e double")
 
@@ -507,15 +507,21 @@ def mercator(spark, d):
 
 @query("SELECT s_suppkey, code, ((s_suppkey * 7) % 40 + 110)::DOUBLE AS lon, (-((s_suppkey * 3) % 30) - 10)::DOUBLE AS lat FROM supplier, (VALUES (3857), (32750), (3577), (6933), (3031)) t(code)")
 def projections_there_and_back(spark, d):
-    """Each projection and its inverse return the place."""
+    """Each projection and its inverse return the place: in numpy, as series make huge expressions of columns."""
+    import pyarrow as pa
+
+    codes = (3857, 32750, 3577, 6933, 3031)
+
+    def run(batches):
+        for b in batches:
+            lon, lat = (b.column(c).to_numpy(zero_copy_only=False) for c in ("lon", "lat"))
+            for code in codes:
+                x, y = C.projection(code).inverse(*C.projection(code).forward(lon, lat))
+                yield pa.RecordBatch.from_arrays([b.column("s_suppkey"), pa.array([code] * len(lon), pa.int32()), pa.array(x.round(6)), pa.array(y.round(6))], names=["s_suppkey", "code", "lon", "lat"])
+
     n = F.col("s_suppkey")
-    lon, lat = ((n * 7) % 40 + 110).cast("double"), (-((n * 3) % 30) - 10).cast("double")
-    out = None
-    for code in (3857, 32750, 3577, 6933, 3031):
-        x, y = C.projection(code).inverse(*C.projection(code).forward(lon, lat))
-        part = table(spark, d, "supplier").select("s_suppkey", F.lit(code).alias("code"), F.round(x, 6).alias("lon"), F.round(y, 6).alias("lat"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    at = table(spark, d, "supplier").select(n, ((n * 7) % 40 + 110).cast("double").alias("lon"), (-((n * 3) % 30) - 10).cast("double").alias("lat"))
+    return at.mapInArrow(run, "s_suppkey long, code int, lon double, lat double")
 
 
 @query("SELECT i AS id, concat('EPSG:', CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END + floor((lon + 180) / 6)::INT + 1) AS crs FROM (SELECT i, (i * 6 - 177)::DOUBLE AS lon, (i % 7 - 3)::DOUBLE AS lat FROM range(0, 60) t(i))")
