@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from rastercube import queries
+from rastercube import catalog, queries  # noqa: F401  catalog adds its own
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages".split()
