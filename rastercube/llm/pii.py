@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import per_batch
+from .common import materialize, per_batch
 
 #: The session's setting that holds the secret key, and what stands in for it in tests; the latter is no secret.
 KEY_SETTING, OPEN_KEY = "spark.rastercube.surrogates.key", b"surrogates of this corpus"
@@ -466,5 +466,6 @@ def collisions(values: DataFrame) -> DataFrame:
 def op2_pii_surrogates(spark, sf_dir: str) -> DataFrame:
     """Every document's text with surrogates, how many there are, and the collisions of the whole corpus (0)."""
     docs, key = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), key_of(spark)
-    bad = collisions(found_values(docs, key)).agg(F.count("*").alias("n_collisions"))
+    values = materialize(found_values(docs, key), "values")  # three uses; the texts are read once
+    bad = collisions(values).agg(F.count("*").alias("n_collisions"))
     return pseudonymise(docs, key, count="n_replaced").join(F.broadcast(bad))  # one row
