@@ -171,6 +171,23 @@ def test_one_of_similar(make, spark):
     assert near_dedup(spark, docs.limit(0), "").count() == 0
 
 
+def test_similar_by_fingerprints():
+    """A bit is 1 if most hashes have it; pairs of similarity 0.8 share a table, others hardly ever do, at any size."""
+    r = np.random.default_rng(5)
+    sets = [r.integers(1 << 63, size=n, dtype=np.uint64) for n in (1, 2, 255, 256, 700)]
+    for sh in sets:
+        h = anchors.mixed(sh[:, None] + similar._SALT).view(np.uint8)
+        assert (np.unpackbits(similar.fingerprint(sh)) == (2 * np.unpackbits(h, axis=1).astype(int).sum(axis=0) > len(sh))).all()
+    both, own = r.integers(1 << 63, size=(300, 80), dtype=np.uint64), r.integers(1 << 63, size=(2, 300, 10), dtype=np.uint64)
+    a, b = (np.array([np.unpackbits(similar.fingerprint(np.append(x, y))) for x, y in zip(both, o, strict=True)]) for o in own)
+    for n in (10_000, 200_000):
+        tables = similar.plan(n)
+        near, far = (sum(any((x[p] == y[p]).all() for p in tables) for x, y in zip(a, z, strict=True)) for z in (b, np.roll(b, 1, axis=0)))
+        assert near >= 297 and far <= 300 * 2 * len(tables) / 2 ** len(tables[0]) + 3
+    bits = slice(similar.BITS, None)
+    assert ((a[:, bits] != b[:, bits]).sum(axis=1) <= similar.APART).all()
+
+
 # --- repeated windows
 
 
