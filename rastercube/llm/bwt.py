@@ -35,6 +35,8 @@ from .common import keyed, materialize, per_batch
 WINDOW, GRAM = 200, 48
 #: Different segments of one anchor that may share a block before it is cut finer, and bytes a block is meant to have.
 CROWD, BLOCK = 256, 1 << 20
+#: Bytes of a block that are expanded at a time, in whole anchors: a piece takes about 100 times its size, however much was dealt to the block.
+PIECE = 1 << 18
 _B = 0x9E3779B97F4A7C15
 _INVERSE = pow(_B, -1, 1 << 64)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -192,7 +194,7 @@ def _second(batch: pa.RecordBatch) -> dict:
     return {"doc_id": batch.column("doc_id")} | dict(zip(_NAMES, zip(*out, strict=True) if out else [[]] * 4, strict=True))
 
 
-def remove_repeats(docs: DataFrame, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
+def remove_repeats(docs: DataFrame, crowd: int = CROWD, block: int = BLOCK, piece: int = PIECE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the digest of the kept bytes of every row of ``docs``."""
     docs = keyed(docs, "text")
     rows, kinds, tables = shared_segments(docs, parse)
@@ -203,7 +205,7 @@ def remove_repeats(docs: DataFrame, crowd: int = CROWD, block: int = BLOCK) -> D
     single = kinds.where("n = 1 AND kin > 1").select("first.*", "kin").select("_key", mark(F.col("kin"), False))
     first = materialize(per_batch(with_marks(docs, full.unionByName(single)), _first, _FIRST), "segmented", done=tables)
     parts = first.where("size(seed) > 0").select("_key", F.inline(F.arrays_zip("seed", "kin", "first", "known", "bytes")))
-    more = settle(parts, parse, _solve, earliest=False, crowd=crowd, block=block)
+    more = settle(parts, parse, _solve, earliest=False, crowd=crowd, block=block, piece=piece)
     more = more.groupBy("_key").agg(F.collect_list(F.struct("a", "b")).alias("more"))
     rest = first.where("z is not null").select("_key", "doc_id", "z", "starts", "ends").join(more, "_key", "left")
     done = first.where("z is null").select("doc_id", *_NAMES)

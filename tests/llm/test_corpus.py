@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -280,6 +281,19 @@ def test_bwt(make, crowd):
     assert got == brute_bytes(docs) and sum(r[2] for r in got) > 3000
 
 
+def test_blocks_in_pieces(make):
+    """Whatever is dealt to a block, a piece of it has whole anchors and few bytes; the result is the same."""
+    r = np.random.default_rng(2)
+    seed, size = r.integers(-40, 40, 500), r.integers(200, 350, 500)
+    t = pa.table({"seed": pa.array(seed), "at": pa.array(np.arange(500)), "bytes": pa.array([b"x" * n for n in size.tolist()], pa.binary())})
+    pieces = [x.to_pydict() for x in anchors.by_anchor(t, 9000)]
+    assert sorted(i for x in pieces for i in x["at"]) == list(range(500)) and all(x["bytes"][0] for x in pieces)
+    assert all(len(set(x["seed"])) == 1 or sum(map(len, x["bytes"])) <= 9000 for x in pieces)
+    assert sum(len(set(x["seed"])) for x in pieces) == len(set(seed.tolist()))
+    docs = corpus()
+    assert rows(bwt.remove_repeats(make(docs), block=1 << 30, piece=600)) == brute_bytes(docs)
+
+
 def test_bwt_empty(make):
     assert bwt.remove_repeats(make(TRICKY).limit(0)).count() == 0
 
