@@ -189,6 +189,54 @@ def test_similar_by_fingerprints():
     assert ((a[:, bits] != b[:, bits]).sum(axis=1) <= similar.APART).all()
 
 
+@pytest.mark.parametrize("sure", [similar.SURE, 0])
+def test_pairs_of_a_crowd(monkeypatch, sure):
+    """A crowd gives fewer pairs to verify than it has members; these join all that pairs within reach join, but for what
+    only nodes that joined for sure would reach."""
+    monkeypatch.setattr(similar, "SURE", sure)
+    r = np.random.default_rng(8)
+    base, fps, far = r.integers(0, 2, similar.BITS), [], np.where(np.arange(90) % 7, similar.FAR, similar.FAR_SHORT)
+    for i in range(90):  # two crowds of near and not so near copies, and strangers
+        bits = base if i < 60 else 1 - base if i < 80 else r.integers(0, 2, similar.BITS)
+        fps.append(np.packbits(bits ^ (r.random(similar.BITS) < (0.02, 0.1, 0.13, 0.2)[i % 4])).view(np.uint64))
+    fps = np.array(fps)
+    apart = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2, dtype=int)
+    near = {(i, j) for j in range(90) for i in range(j) if apart[i, j] <= max(far[i], far[j])}
+    assert set(similar.within(fps, far)) == near and len(near) > 900
+
+    def groups(pairs):
+        of = list(range(90))
+        for i, j in pairs:
+            of = [of[i] if x == of[j] else x for x in of]
+        return [of.index(x) for x in of]
+
+    grown = similar.forest(fps, far)
+    assert len(grown) < 90 and {(min(x), max(x)) for x in grown} <= near
+    assert groups(grown + list(near)) == groups(near) and (sure or groups(grown) == groups(near))
+    assert similar.forest(fps[:1], far[:1]) == similar.within(fps[:1], far[:1]) == []
+
+
+def test_crowd_of_unlike_copies(spark, make):
+    """Copies of one text that are mostly less than 0.8 alike: the pairs to verify do not grow with the square of the crowd."""
+    r, base = random.Random(4), prose(120, 990).split()
+    made = [" ".join(f"w{i}x{j}" if r.random() < 0.05 else w for j, w in enumerate(base)) for i in range(200)]
+    rows_ = make([(i, t, "a") for i, t in enumerate(made)]).selectExpr("doc_id AS _key", "text")
+    nodes = similar.per_batch(rows_, similar._signatures, "_key long, same binary, fp binary, m0 long, m1 long, short boolean").withColumnRenamed("_key", "node")
+    tables = similar.plan(200)
+    pairs, members = similar._candidates(nodes.withColumn("root", F.col("node")), tables, 0)
+    n, sizes = members.count(), [x["count"] for x in members.groupBy("b").count().collect()]
+    assert n > 400 and pairs.join(members.select("node").distinct(), pairs.u == F.col("node"), "left_semi").count() < n < sum(k * (k - 1) // 2 for k in sizes)
+    sets = [brute_shingles(t) for t in made]
+    label = list(range(200))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if label[i] != label[j] and brute_similarity(a, sets[j]) >= 0.8:
+                label = [label[j] if x == label[i] else x for x in label]
+    roots = {x.node: x.root for x in simhash.components(similar.links(rows_, nodes)).collect()}
+    got = [roots.get(i, i) for i in range(200)]
+    assert all((got[i] == got[j]) == (label[i] == label[j]) for i in range(200) for j in range(i))
+
+
 # --- repeated windows
 
 
