@@ -21,6 +21,9 @@ from .sources import settings, stac
 
 EXTENSIONS = [f"https://stac-extensions.github.io/{e}/v1.0.0/schema.json" for e in ("projection", "raster", "eo")]
 
+#: Documents that a task makes and reads.
+DOCUMENTS = 5000
+
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
     """(item_seq, text) of each part."""
@@ -61,7 +64,10 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
         F.lit('{"type":"Feature","id":"i'), n.cast("string"), F.lit('"'), collection, F.lit(',"stac_extensions":'), F.lit(str(EXTENSIONS).replace("'", '"')),
         F.lit(',"geometry":'), geometry, F.lit(',"properties":'), properties, F.lit(',"links":[{"rel":"self","href":"'), base, F.lit('/item.json"}],"assets":'), assets, F.lit("}"),
     )
-    return table(spark, d, "part").select(n.alias("item_seq"), text.alias("text"))
+    # a row becomes a text fifty times as long, so a file that is read whole by a task or two is dealt out first
+    parts = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    dealt = parts.repartition(parts.count() // DOCUMENTS + 1, "p_partkey")
+    return dealt.select(n.alias("item_seq"), text.alias("text"))
 
 
 def found(spark: SparkSession, d: str, config=None) -> infer.Collections:
@@ -121,8 +127,7 @@ def grid_names(spark, d):
 
 @query(f"WITH {ITEMS} SELECT collection_id, 'late' AS asset, late_seq AS item_seq FROM ls JOIN fs USING (collection_id) WHERE late_seq > first_seq")
 def late_assets(spark, d):
-    f = found(spark, d)
-    return infer.late_assets(infer.first_assets(f.assets)).select("collection_id", "asset", "item_seq")
+    return infer.late_assets(found(spark, d).first).select("collection_id", "asset", "item_seq")
 
 
 @query(f"""WITH {ITEMS}, c AS (SELECT fs.collection_id, late_seq IS NOT NULL AS has, late_seq > first_seq AS late FROM fs LEFT JOIN ls USING (collection_id)),
@@ -257,7 +262,7 @@ _V5 = """lower(concat_ws('-', substr({h}, 1, 8), substr({h}, 9, 4), '5' || subst
 SELECT item_seq, {_V5.format(h="h")} AS uuid FROM u""")
 def uuid_with_extras(spark, d):
     """Properties in the identifier, in order of key; a missing one is empty."""
-    i = found(spark, d).items
+    i = stac.items_table(stac.parse_documents(documents(spark, d)))
     return i.select("item_seq", products.dataset_uuid("auto", extras=["view:off_nadir", "nothing", "gsd"]).alias("uuid"))
 
 

@@ -71,12 +71,16 @@ def _configured(table: DataFrame, known: list[str], x: DataFrame, name: str) ->
     return x.withColumn("_own", own).join(F.broadcast(t), F.col("_own").eqNullSafe(F.col("_c")) & (F.col("_key") == F.col("_a")), "left").drop("_c", "_a", "_own")
 
 
-def keep_raster(assets: DataFrame, items: DataFrame, config: MDConfig) -> DataFrame:
-    """The assets that are pixels, with ``has_proj`` and ``first_seq`` (the first item) of their collection.
+def measured(table: DataFrame) -> DataFrame:
+    """A table of a few rows a collection, kept and counted: once its size is known, Spark broadcasts it if it is small.
+    By an estimate it would deal the rows of all items by collection, so that one task had all those of a large one."""
+    table = table.persist()
+    table.count()
+    return table
 
-    Assets named in the settings stay. Others must be pixels and, where the collection's first item declares the
-    projection extension, have a shape and a transform; if no asset of that item has, that demand is dropped for the
-    collection."""
+
+def candidates(assets: DataFrame, config: MDConfig) -> DataFrame:
+    """The assets that are pixels or named in the settings, with ``named``, ``pixels`` and ``shaped``."""
     x = assets.withColumn("named", F.lit(False))
     if config.names_assets():
         own = config.asset_table(assets.sparkSession).where("asset <> '*'").select("collection_id", F.col("asset").alias("_named"))
@@ -86,16 +90,47 @@ def keep_raster(assets: DataFrame, items: DataFrame, config: MDConfig) -> DataFr
         x = x.withColumn("_own", mine).join(F.broadcast(named), F.col("_own").eqNullSafe(F.col("_c")) & (F.col("asset") == F.col("_named")), "left")
         x = x.withColumn("named", F.coalesce("_hit", F.lit(False))).drop("_own", "_c", "_named", "_hit")
     x = x.withColumns({"pixels": is_raster(), "shaped": F.col("proj_shape").isNotNull() & F.col("proj_transform").isNotNull()})
+    return x.where("named OR pixels")
+
+
+def projections(some: DataFrame, items: DataFrame, config: MDConfig) -> DataFrame:
+    """(collection_id, first_seq, has_proj) from ``candidates`` and items: the first item of each collection, and whether
+    that declares the projection extension and has a candidate with a shape. Longs only, summed up before the shuffle."""
     declared = items.groupBy("collection_id").agg(F.min_by("has_proj_ext", "item_seq").alias("declared"), F.min("item_seq").alias("first_seq"))
-    first = x.join(declared, "collection_id").where("item_seq = first_seq").groupBy("collection_id").agg(F.max(F.col("shaped") & (F.col("pixels") | F.col("named"))).alias("any_shaped"))
-    proj = declared.join(first, "collection_id", "left").select("collection_id", "first_seq", (F.col("declared") & F.coalesce("any_shaped", F.lit(False)) & ~config.ignore_proj(F.col("collection_id"))).alias("has_proj"))
-    return x.join(proj, "collection_id").where("named OR (pixels AND (shaped OR NOT has_proj))")
+    shaped = some.where("shaped").groupBy("collection_id").agg(F.min("item_seq").alias("shaped_seq"))
+    any_shaped = F.coalesce(F.col("shaped_seq") == F.col("first_seq"), F.lit(False))
+    x = declared.join(shaped, "collection_id", "left")
+    return x.select("collection_id", "first_seq", (F.col("declared") & any_shaped & ~config.ignore_proj(F.col("collection_id"))).alias("has_proj"))
+
+
+def keep_raster(assets: DataFrame, items: DataFrame, config: MDConfig) -> DataFrame:
+    """The assets that are pixels, with ``has_proj`` and ``first_seq`` (the first item) of their collection.
+
+    Assets named in the settings stay. Others must be pixels and, where the collection's first item declares the
+    projection extension, have a shape and a transform; if no asset of that item has, that demand is dropped for the
+    collection."""
+    some = candidates(assets, config)
+    return with_projection(some, measured(projections(some, items, config)))
+
+
+def with_projection(some: DataFrame, proj: DataFrame) -> DataFrame:
+    return some.join(proj, "collection_id").where("named OR (pixels AND (shaped OR NOT has_proj))")
+
+
+def first_seqs(raster: DataFrame) -> DataFrame:
+    """(collection_id, asset, item_seq): the first item that has an asset."""
+    return raster.groupBy("collection_id", "asset").agg(F.min("item_seq").alias("item_seq"))
 
 
 def first_assets(raster: DataFrame) -> DataFrame:
     """Each asset of a collection from the first item that has it, in the order (item_seq, asset_pos)."""
-    keep = [c for c in raster.columns if c not in ("collection_id", "asset")]
-    row = raster.groupBy("collection_id", "asset").agg(F.min_by(F.struct(*keep), F.struct("item_seq", "asset_pos")).alias("r"))
+    rows = raster.join(measured(first_seqs(raster)), ["collection_id", "asset", "item_seq"], "left_semi")
+    return _first(rows)
+
+
+def _first(rows: DataFrame) -> DataFrame:
+    keep = [c for c in rows.columns if c not in ("collection_id", "asset")]
+    row = rows.groupBy("collection_id", "asset").agg(F.min_by(F.struct(*keep), F.struct("item_seq", "asset_pos")).alias("r"))
     return row.select("collection_id", "asset", "r.*")
 
 
@@ -143,13 +178,11 @@ def _grid() -> Column:
     return F.when(F.col("proj_shape").isNotNull() & F.col("proj_transform").isNotNull(), asset_grid(F.col("proj_shape"), F.col("proj_transform"), F.col("proj_crs")))
 
 
-def grids_table(first: DataFrame, raster: DataFrame) -> DataFrame:
+def grids_table(rows: DataFrame) -> DataFrame:
     """(collection_id, asset, grid_name): named groups of equal grids, or of equal gsd where there is no projection, in
     the collection's first item (as ``grids.name_grids`` does for tables). A later asset has the grid of an asset that was
     known before and that has the same grid in the item where it appears (the last of several), else one of its own,
-    ``grid-<asset>``. One shuffle: only items in which an asset turns up go on, and a group is one collection's assets."""
-    needed = first.select("collection_id", "item_seq").distinct()
-    rows = raster.join(needed, ["collection_id", "item_seq"], "left_semi")
+    ``grid-<asset>``. ``rows``: the assets of items in which an asset turns up; a group is one collection's."""
     rows = rows.select("collection_id", "item_seq", "asset_pos", "asset", "first_seq", "has_proj", F.coalesce("gsd", F.lit(0.0)).alias("gsd"), F.when(F.col("has_proj"), _grid()).alias("grid"))
     return rows.groupBy("collection_id").applyInArrow(_name_collection, "collection_id string, asset string, grid_name string")
 
@@ -196,7 +229,9 @@ class Collections:
     bands: DataFrame
     aliases: DataFrame
     grids: DataFrame
+    first: DataFrame
     folder: str | None = None
+    kept: tuple[DataFrame, ...] = ()
 
     def settled(self) -> Collections:
         """The same with bands, aliases and grids, which every later plan joins, as tables in the shared folder."""
@@ -206,12 +241,12 @@ class Collections:
             df.write.parquet(f"{folder}/{name}")
             return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
-        return Collections(self.items, self.assets, kept(self.bands, "bands"), kept(self.aliases, "aliases"), kept(self.grids, "grids"), folder)
+        return Collections(self.items, self.assets, kept(self.bands, "bands"), kept(self.aliases, "aliases"), kept(self.grids, "grids"), self.first, folder, self.kept)
 
     def close(self) -> None:
         """Let go of what ``settled`` wrote and what plans keep."""
-        self.assets.unpersist()
-        self.items.unpersist()
+        for df in (*self.kept, self.items):
+            df.unpersist()
         if self.folder:
             remove(self.items.sparkSession, self.folder)
 
@@ -234,11 +269,16 @@ class Collections:
 
 
 def collections_of(items: DataFrame, assets: DataFrame, config: MDConfig | dict | None = None) -> Collections:
-    """Schemas of all collections of ``items`` and ``assets``."""
+    """Schemas of all collections of ``items`` and ``assets``. Three jobs measure what is small: the collections' first
+    items, the first items of their assets, and the assets of these items."""
     config = config if isinstance(config, MDConfig) else MDConfig(config or {})
-    raster = keep_raster(assets, items, config).persist()
-    first = first_assets(raster).persist()  # a row for each asset of a collection; bands, aliases and grids read it
-    return Collections(items, raster, bands_table(first, config), aliases_table(first, config), grids_table(first, raster))
+    some = candidates(assets, config).persist()
+    proj = measured(projections(some, items, config))
+    raster = with_projection(some, proj)
+    turns = measured(first_seqs(raster))
+    rows = measured(raster.join(turns, ["collection_id", "item_seq"], "left_semi"))
+    first = _first(rows)
+    return Collections(items, raster, bands_table(first, config), aliases_table(first, config), grids_table(rows), first, kept=(some, proj, turns, rows))
 
 
 def parse_items(spark: SparkSession, docs, config: MDConfig | dict | None = None) -> Collections:

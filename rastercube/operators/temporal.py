@@ -77,8 +77,9 @@ def number_planes(items: DataFrame, key: Column) -> DataFrame:
 
 def ranked(rows: DataFrame, *order: Column) -> DataFrame:
     """``rows`` with ``t_idx``, their place in the order from 0. ``monotonically_increasing_id`` over sorted ranges has the
-    range in its upper bits and the place inside it in the lower 33."""
-    at = rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id())
+    range in its upper bits and the place inside it in the lower 33. The sorted rows are kept, as the sizes of the ranges
+    and the rows must come of one sort: of two, ranges may differ, and the join would lose rows."""
+    at = rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).persist()
     part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = at.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     start = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

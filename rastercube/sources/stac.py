@@ -95,22 +95,24 @@ def items_table(parsed: DataFrame) -> DataFrame:
 
 def assets_table(parsed: DataFrame) -> DataFrame:
     """One row an asset, in document order; projection metadata that an asset lacks comes from the item's properties."""
-    rows = parsed.select("item_seq", "doc", F.posexplode("d.assets").alias("asset_pos", "asset", "a"))
     collection = F.coalesce(F.try_variant_get("doc", "$.collection", "string"), F.try_variant_get("doc", "$.properties['odc:product']", "string"), F.lit("_"))
-    text = lambda k: F.try_variant_get("a", f"$['{k}']", "string")
-
-    def proj(k: str, kind: str) -> Column:
-        return F.coalesce(F.try_variant_get("a", f"$['proj:{k}']", kind), F.try_variant_get("doc", f"$.properties['proj:{k}']", kind))
-
     self_href = F.get(F.filter(F.from_json(F.to_json(F.try_variant_get("doc", "$.links", "variant")), "array<struct<rel:string,href:string>>"), lambda x: x["rel"] == "self"), F.lit(0))["href"]
-    crs = F.coalesce(F.concat(F.lit("EPSG:"), proj("epsg", "bigint").cast("string")), proj("code", "string"), proj("wkt2", "string"), F.to_json(proj("projjson", "variant")))
+    kinds = {"shape": "array<int>", "transform": "array<double>", "epsg": "bigint", "code": "string", "wkt2": "string", "projjson": "variant"}
+    # what the document says is read once, not once an asset
+    whole = [F.try_variant_get("doc", f"$.properties['proj:{k}']", kind).alias(f"_{k}") for k, kind in kinds.items()]
+    rows = parsed.select("item_seq", collection.alias("collection_id"), self_href.alias("item_href"), *whole, F.col("d.assets").alias("_assets"))
+    # outer: else Spark tests before it whether there are assets, which parses each document once more
+    rows = rows.select("item_seq", "collection_id", "item_href", *[f"_{k}" for k in kinds], F.posexplode_outer("_assets").alias("asset_pos", "asset", "a")).where("asset_pos IS NOT NULL")
+    text = lambda k: F.try_variant_get("a", f"$['{k}']", "string")
+    proj = lambda k: F.coalesce(F.try_variant_get("a", f"$['proj:{k}']", kinds[k]), f"_{k}")
+    crs = F.coalesce(F.concat(F.lit("EPSG:"), proj("epsg").cast("string")), proj("code"), proj("wkt2"), F.to_json(proj("projjson")))
     return rows.select(
-        "item_seq", collection.alias("collection_id"), "asset_pos", "asset", text("href").alias("href"), text("type").alias("media_type"), text("title").alias("title"),
+        "item_seq", "collection_id", "asset_pos", "asset", text("href").alias("href"), text("type").alias("media_type"), text("title").alias("title"),
         F.try_variant_get("a", "$.roles", "array<string>").alias("roles"), F.try_variant_get("a", "$.gsd", "double").alias("gsd"),
-        proj("shape", "array<int>").alias("proj_shape"), proj("transform", "array<double>").alias("proj_transform"), crs.alias("proj_crs"),
+        proj("shape").alias("proj_shape"), proj("transform").alias("proj_transform"), crs.alias("proj_crs"),
         F.from_json(F.to_json(F.try_variant_get("a", "$['raster:bands']", "variant")), "array<struct<data_type:string,nodata:string,unit:string>>").alias("raster_bands"),
         F.from_json(F.to_json(F.try_variant_get("a", "$['eo:bands']", "variant")), "array<struct<name:string,common_name:string>>").alias("eo_bands"),
-        self_href.alias("item_href"),
+        "item_href",
     )
 
 
